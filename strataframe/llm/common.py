@@ -75,5 +75,13 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
 
 
+#: Stands for a null id where ids are keys: such rows are one document, smaller than all others.
+NO_ID = -(1 << 63)
+
+
+def id_key(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

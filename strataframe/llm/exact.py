@@ -20,6 +20,9 @@ from strataframe.llm.common import BLANKS, scratch_path, stored, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state's settings. A store reserves megabytes of disk for its logs unless told otherwise; there is one for
+#: each partition, so with many small ones that would outweigh what they hold.
+STATE_CONF = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(docs: DataFrame) -> Column:
@@ -44,8 +47,9 @@ def run_stream(spark: SparkSession, source: DataFrame, state_path: str, out_path
     state and reads only new files. Each micro-batch writes the digests that it touched into a
     folder of its own, so a batch that is run again replaces what it wrote.
     """
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             first_seen(source).writeStream.outputMode("update")
@@ -56,7 +60,11 @@ def run_stream(spark: SparkSession, source: DataFrame, state_path: str, out_path
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     schema = "digest binary, first struct<none:boolean,doc_id:bigint,locator:bigint>, group_size bigint, batch int"
     touched = spark.read.schema(schema).option("basePath", out_path).parquet(out_path)
     # group_size only grows, so the latest row of a digest is its largest

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact, lines, mixing, secrets
+from strataframe.llm import exact, lines, mixing, secrets, simhash, substrings
 from strataframe.llm.common import table
 
 
@@ -12,12 +12,15 @@ def _documents(f):
 
 QUERIES = {
     "op1_secrets": _documents(secrets.op1_secrets),
+    "op2_simhash": _documents(simhash.op2_simhash),
     "op3_lines": _documents(lines.op3_lines),
+    "op4_substrings": _documents(substrings.op4_substrings),
     "op6_mixing": _documents(mixing.op6_mixing),
     "op10_exact": _documents(exact.op10_exact),
 }
 ORACLES = {
     "op3_lines": lines.ORACLE,
+    "op4_substrings": substrings.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op10_exact": exact.ORACLE,
 }

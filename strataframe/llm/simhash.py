@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import row_key, stored, text_of, utf8
+from strataframe.llm.common import NO_ID, id_key, row_key, stored, utf8
 from strataframe.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -228,8 +228,10 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of their group, with all their columns."""
     groups = near_groups(docs, radius)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__sf_row")).distinct()
-    return docs.withColumn("__sf_own", row_key(docs)).join(stay, F.col("__sf_own") == F.col("__sf_row"), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__sf_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("__sf_id"))
+    own = docs.withColumns({"__sf_own": row_key(docs), "__sf_own_id": id_key(docs)})
+    kept = own.join(stay, (F.col("__sf_own") == F.col("__sf_row")) & (F.col("__sf_own_id") == F.col("__sf_id")), "left_semi")
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:
