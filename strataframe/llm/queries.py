@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact, lines, mixing, secrets, simhash, substrings
+from strataframe.llm import decontam, exact, lines, mixing, quality, secrets, simhash, substrings, toxicity
 from strataframe.llm.common import table
 
 
@@ -15,7 +15,10 @@ QUERIES = {
     "op2_simhash": _documents(simhash.op2_simhash),
     "op3_lines": _documents(lines.op3_lines),
     "op4_substrings": _documents(substrings.op4_substrings),
+    "op5_quality": quality.op5_quality,
     "op6_mixing": _documents(mixing.op6_mixing),
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontam": decontam.op9_decontam,
     "op10_exact": _documents(exact.op10_exact),
 }
 ORACLES = {
