@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import decontam, exact, lines, mixing, quality, secrets, simhash, substrings, toxicity
+from strataframe.llm import decontam, exact, lines, mixing, quality, secrets, simhash, substrings, suffixes, toxicity
 from strataframe.llm.common import table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_substrings": _documents(substrings.op4_substrings),
     "op5_quality": quality.op5_quality,
     "op6_mixing": _documents(mixing.op6_mixing),
+    "op7_suffixes": _documents(suffixes.op7_suffixes),
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontam": decontam.op9_decontam,
     "op10_exact": _documents(exact.op10_exact),
