@@ -1 +1,255 @@
-QUERIES, ORACLES = {}, {}
+"""The registered queries over the driver tables and the SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataframe.functions import text
+from strataframe.operators import changes, commits, pairing, stanzas
+from strataframe.sources import artifact, star
+
+TERM, PREDICATE, SINCE, AT = "USER:0000003", "click", 20, 17
+#: SHA-1 prefixes of the commits 12 and 7.
+SHA_12, SHA_7 = "7b52009b64", "902ba3cda1"
+
+STATE = """state AS (
+  SELECT concat('USER:', lpad(CAST(user_id AS VARCHAR), 7, '0')) AS term_id,
+         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS commit_seq,
+         event_type AS predicate, CAST(CAST(floor(value) AS INT) AS VARCHAR) AS value
+  FROM events)"""
+EVENTS = """ev AS (
+  SELECT *, 'add' AS operation FROM (
+    SELECT term_id, commit_seq, predicate, value FROM state EXCEPT ALL SELECT term_id, commit_seq + 1, predicate, value FROM state)
+  UNION ALL
+  SELECT *, 'remove' AS operation FROM (
+    SELECT term_id, commit_seq + 1 AS commit_seq, predicate, value FROM state WHERE commit_seq < (SELECT max(commit_seq) FROM state)
+    EXCEPT ALL SELECT term_id, commit_seq, predicate, value FROM state))"""
+COMMITS = r"""raw_commits AS (
+  SELECT commit_seq, sha1(CAST(commit_seq AS VARCHAR)) AS sha, concat('author-', CAST(commit_seq % 5 AS VARCHAR)) AS author_name, first_ts AS committed_date,
+         CASE commit_seq % 3
+           WHEN 0 THEN concat('daily load (#', CAST(1000 + commit_seq AS VARCHAR), ')')
+           WHEN 1 THEN concat('Merge pull request #', CAST(2000 + commit_seq AS VARCHAR), ' from u/b', chr(10), chr(10), 'Title ', CAST(commit_seq AS VARCHAR), ' (#7)')
+           ELSE concat('v', CAST(commit_seq AS VARCHAR), chr(10), chr(10), 'notes (#9)', chr(10), 'Release URL: https://example.org/r/', CAST(commit_seq AS VARCHAR)) END AS message
+  FROM (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS commit_seq, min(ts) AS first_ts FROM events GROUP BY 1) x),
+com AS (
+  SELECT *, nullif(regexp_extract(message, '(?m)^Release URL: (\S+)', 1), '') AS snapshot_url,
+         CASE WHEN message LIKE '%Release URL: %' THEN NULL
+              ELSE CAST(coalesce(nullif(regexp_extract(message, '^Merge pull request #(\d+) from ', 1), ''), nullif(regexp_extract(message, '\(#(\d+)\)', 1), '')) AS INT) END AS pr_number
+  FROM raw_commits)"""
+SNAPS = """pres AS (
+  SELECT term_id, commit_seq, sha1(string_agg(predicate || chr(0) || value || chr(0), '' ORDER BY predicate, value)) AS content_hash,
+         min(value) FILTER (WHERE predicate = 'signup') AS name, coalesce(bool_or(predicate = 'error' AND value = '100'), FALSE) AS is_obsolete
+  FROM state GROUP BY 1, 2),
+snap AS (
+  SELECT * FROM pres QUALIFY lag(commit_seq) OVER (PARTITION BY term_id ORDER BY commit_seq) IS NULL
+    OR lag(commit_seq) OVER (PARTITION BY term_id ORDER BY commit_seq) <> commit_seq - 1
+    OR lag(content_hash) OVER (PARTITION BY term_id ORDER BY commit_seq) <> content_hash)"""
+RELEASES = """rel AS (
+  SELECT t.tag, t.sha, t.date, max(c.commit_seq) AS commit_seq
+  FROM (SELECT concat('v', CAST(commit_seq AS VARCHAR)) AS tag, sha, committed_date AS date FROM com WHERE commit_seq % 7 = 3) t
+  JOIN (SELECT commit_seq, max(committed_date) OVER (ORDER BY commit_seq) AS runmax FROM com) c ON c.runmax <= t.date GROUP BY 1, 2, 3)"""
+ALL = f"WITH {STATE}, {EVENTS}, {COMMITS}, {SNAPS}, {RELEASES}"
+DETAIL_COLUMNS = "e.term_id, s.name, e.commit_seq, c.committed_date, c.sha, c.author_name, c.pr_number, c.message, e.operation, e.predicate, e.value, c.snapshot_url"
+DETAIL = f"SELECT {DETAIL_COLUMNS} FROM ev e JOIN com c USING (commit_seq) LEFT JOIN snap s ON s.term_id = e.term_id AND s.commit_seq = e.commit_seq"
+TIMELINE = "SELECT e.commit_seq, c.committed_date, c.sha, c.author_name, c.pr_number, c.message, e.operation, e.predicate, e.value, c.snapshot_url FROM ev e JOIN com c USING (commit_seq)"
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def asked(name: str, oracle: str | None, f) -> None:
+    """A query to the history of the users."""
+    query(name, oracle and f"{ALL} {oracle}")(lambda spark, sf_dir: flat(f(star.history(spark, sf_dir))))
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Without the nested column, which SQL engines print each in its own way."""
+    return df.drop("branch_commits", "clauses")
+
+
+# Build: deltas, snapshots, derived columns.
+query("events_delta", f"WITH {STATE}, {EVENTS} SELECT * FROM ev")(lambda spark, d: changes.state_delta(star.state(spark, d)))
+query(
+    "events_delta_suppliers",
+    "WITH state AS (SELECT concat('SUPP:', lpad(CAST(l_suppkey AS VARCHAR), 7, '0')) AS term_id, CAST((year(l_shipdate) * 12 + month(l_shipdate)) - (SELECT min(year(l_shipdate) * 12 + month(l_shipdate)) FROM lineitem) AS INT) AS commit_seq, "
+    f"concat(l_returnflag, l_linestatus) AS predicate, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS value FROM lineitem), {EVENTS} SELECT * FROM ev",
+)(lambda spark, d: changes.state_delta(star.supplier_state(spark, d)))
+asked("events_by_content", "SELECT e.*, c.sha FROM ev e JOIN com c USING (commit_seq)", lambda h: h.events)
+asked("snapshots_changed", "SELECT s.*, c.sha FROM snap s JOIN com c USING (commit_seq)", lambda h: h.snapshots)
+asked("derived_name_obsolete", "SELECT term_id, commit_seq, name, is_obsolete FROM snap WHERE name IS NOT NULL OR is_obsolete", lambda h: h.snapshots.filter("name is not null or is_obsolete").select("term_id", "commit_seq", "name", "is_obsolete"))
+query("content_hash", f"WITH {STATE}, {SNAPS} SELECT term_id, commit_seq, content_hash FROM pres")(
+    lambda spark, d: changes.presence_of_state(star.state(spark, d)).select("term_id", F.col("vidx").alias("commit_seq"), "content_hash")
+)
+query(
+    "term_removed",
+    f"WITH {STATE}, {SNAPS} SELECT term_id, commit_seq + 1 AS commit_seq FROM pres QUALIFY commit_seq < (SELECT max(commit_seq) FROM pres) AND coalesce(lead(commit_seq) OVER (PARTITION BY term_id ORDER BY commit_seq), -1) <> commit_seq + 1",
+)(lambda spark, d: changes.removals(changes.episodes(changes.presence_of_state(star.state(spark, d))), star.numbered(spark, d)).select("term_id", F.col("vidx").alias("commit_seq")))
+query("term_born", f"WITH {STATE} SELECT term_id, min(commit_seq) AS commit_seq, count(*) AS n_clauses FROM (SELECT *, min(commit_seq) OVER (PARTITION BY term_id) AS b FROM state) WHERE commit_seq = b GROUP BY term_id")(
+    lambda spark, d: changes.good_changes(changes.episodes(changes.presence_of_state(star.state(spark, d)))).filter("before is null and ep = 1").select("term_id", F.col("vidx").alias("commit_seq"), F.size("clauses").cast("long").alias("n_clauses"))
+)
+query("build_window", f"WITH {STATE} SELECT commit_seq, count(*) AS n FROM state WHERE commit_seq > (SELECT max(commit_seq) FROM state) - 10 GROUP BY 1")(
+    lambda spark, d: changes.last_versions(star.commits(spark, d), 10).select("commit_seq").join(star.state(spark, d), "commit_seq").groupBy("commit_seq").agg(F.count(F.lit(1)).alias("n"))
+)
+
+# Entities.
+asked("term_timeline", f"{TIMELINE} WHERE e.term_id = '{TERM}'", lambda h: h.timeline(TERM))
+asked("term_timeline_predicate", f"{TIMELINE} WHERE e.term_id = '{TERM}' AND e.predicate = '{PREDICATE}'", lambda h: h.timeline(TERM, PREDICATE))
+asked("timeline_since", f"{TIMELINE} WHERE e.term_id = '{TERM}' AND e.commit_seq >= {SINCE}", lambda h: h.timeline(TERM, since=SINCE))
+asked("timeline_last_n_commits", f"SELECT * FROM ({TIMELINE} WHERE e.term_id = '{TERM}') QUALIFY dense_rank() OVER (ORDER BY commit_seq DESC) <= 3", lambda h: h.timeline(TERM, last_commits=3))
+asked("timeline_predicate_counts", f"SELECT predicate, count(*) AS n, min(commit_seq) AS first_seq FROM ev WHERE term_id = '{TERM}' GROUP BY 1", lambda h: h.predicate_counts(TERM))
+HEADERS = """SELECT x.term_id, n.name AS current_name, x.event_count, a.sha AS first_sha, a.committed_date AS first_date, b.sha AS last_sha, b.committed_date AS last_date, b.pr_number AS last_pr
+FROM (SELECT term_id, count(*) AS event_count, min(commit_seq) AS lo, max(commit_seq) AS hi FROM ev GROUP BY 1) x
+JOIN com a ON a.commit_seq = x.lo JOIN com b ON b.commit_seq = x.hi
+LEFT JOIN (SELECT term_id, max_by(name, commit_seq) AS name FROM snap WHERE name IS NOT NULL GROUP BY 1) n ON n.term_id = x.term_id"""
+asked("term_headers", HEADERS, lambda h: h.headers())
+asked("term_header", f"{HEADERS} WHERE x.term_id = '{TERM}'", lambda h: h.headers(TERM))
+STATES = f"SELECT s.term_id, s.predicate, s.value FROM state s JOIN (SELECT term_id, max(commit_seq) AS commit_seq FROM snap WHERE commit_seq <= {AT} GROUP BY 1) m ON m.term_id = s.term_id AND m.commit_seq = s.commit_seq"
+asked("term_at", f"{STATES} WHERE s.term_id = '{TERM}'", lambda h: h.states_at(AT, TERM))
+asked("all_terms_at", STATES, lambda h: h.states_at(AT))
+asked("all_terms_at_strict", f"SELECT term_id, predicate, value FROM state WHERE commit_seq = {AT}", lambda h: h.states_at(AT, strict=True))
+
+# Commits, pull requests, references.
+asked("commit_view", f"SELECT commit_seq, committed_date, sha, author_name, pr_number, message, snapshot_url FROM com WHERE sha LIKE '{SHA_12}%' ORDER BY commit_seq LIMIT 1", lambda h: h.commit(SHA_12))
+COMMIT_EVENTS = f"SELECT e.term_id, s.name, e.operation, e.predicate, e.value FROM ev e LEFT JOIN snap s ON s.term_id = e.term_id AND s.commit_seq = e.commit_seq WHERE e.commit_seq = (SELECT min(commit_seq) FROM com WHERE sha LIKE '{SHA_12}%')"
+asked("commit_events", COMMIT_EVENTS, lambda h: h.commit_events(SHA_12))
+asked("commit_events_namespace", f"{COMMIT_EVENTS} AND starts_with(e.term_id, 'USER:')", lambda h: h.commit_events(SHA_12, "USER"))
+asked("pr_terms", "SELECT DISTINCT e.term_id, s.name FROM ev e JOIN com c USING (commit_seq) LEFT JOIN snap s ON s.term_id = e.term_id AND s.commit_seq = e.commit_seq WHERE c.pr_number = 2010", lambda h: h.pr_terms(2010))
+for kind, ref, sql in (("head", "head", "SELECT max(commit_seq) AS commit_seq FROM com"), ("tag", "v17", "SELECT commit_seq FROM rel WHERE tag = 'v17'"), ("seq", "9", "SELECT 9 AS commit_seq"), ("sha", SHA_7, f"SELECT min(commit_seq) AS commit_seq FROM com WHERE sha LIKE '{SHA_7}%'")):
+    asked(f"resolve_ref_{kind}", sql, lambda h, ref=ref: h.resolved(ref))
+asked("releases", "SELECT tag, commit_seq, date FROM rel", lambda h: h.releases())
+query("release_asof", f"WITH {COMMITS}, moved AS (SELECT * REPLACE (CASE WHEN commit_seq = 5 THEN committed_date + INTERVAL 10 DAY ELSE committed_date END AS committed_date) FROM com), t AS (SELECT concat('v', CAST(commit_seq AS VARCHAR)) AS tag, sha, committed_date AS date FROM com WHERE commit_seq % 7 = 3) SELECT t.tag, t.sha, t.date, max(c.commit_seq) AS commit_seq FROM t JOIN (SELECT commit_seq, max(committed_date) OVER (ORDER BY commit_seq) AS runmax FROM moved) c ON c.runmax <= t.date GROUP BY 1, 2, 3")(
+    lambda spark, d: commits.releases_asof(star.tags(spark, d), star.future_commits(star.commits(spark, d)))
+)
+asked("commit_pr_number", "SELECT commit_seq, pr_number FROM com", lambda h: h.commits.select("commit_seq", "pr_number"))
+asked("commit_snapshot_url", "SELECT commit_seq, snapshot_url FROM com", lambda h: h.commits.select("commit_seq", "snapshot_url"))
+asked("commit_subject", "SELECT commit_seq, CASE WHEN commit_seq % 3 = 1 THEN concat('Title ', CAST(commit_seq AS VARCHAR), ' (#7)') ELSE string_split(message, chr(10))[1] END AS subject FROM com", lambda h: h.commits.select("commit_seq", text.subject(F.col("message")).alias("subject")))
+query(
+    "branch_commits_nested",
+    "SELECT commit_seq, string_agg(concat(message, '/', sha1(concat(CAST(commit_seq AS VARCHAR), '/', message))), ',' ORDER BY newest DESC, sha1(concat(CAST(commit_seq AS VARCHAR), '/', message)) DESC) AS nested "
+    "FROM (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS commit_seq, event_type AS message, max(ts) AS newest FROM events GROUP BY 1, 2) WHERE commit_seq % 3 = 1 GROUP BY 1",
+)(lambda spark, d: star.branch_commits(spark, d).select("commit_seq", F.array_join(F.transform("branch_commits", lambda x: F.concat_ws("/", x["message"], x["sha"])), ",").alias("nested")))
+
+# Ranges and search.
+asked("range_events", f"{DETAIL} WHERE e.commit_seq > 3 AND e.commit_seq <= 10", lambda h: h.range_events("v10", "v3"))
+asked("range_events_term", f"{DETAIL} WHERE e.commit_seq > 3 AND e.commit_seq <= 24 AND e.term_id = '{TERM}'", lambda h: h.range_events("v3", "v24", term_id=TERM))
+asked("range_events_namespace", f"{DETAIL} WHERE e.commit_seq > 26 AND starts_with(e.term_id, 'USER:')", lambda h: h.range_events(26, "HEAD", namespace="USER"))
+asked("range_summary", "SELECT count(*) AS n_events, count(DISTINCT term_id) AS n_terms, count(DISTINCT commit_seq) AS n_commits FROM ev WHERE commit_seq > 3 AND commit_seq <= 10", lambda h: h.summary(h.range_events(3, 10)))
+asked("section_names", f"SELECT term_id, max_by(name, commit_seq) FILTER (WHERE name IS NOT NULL) AS name FROM ({DETAIL} WHERE e.commit_seq > 3 AND e.commit_seq <= 10) GROUP BY 1", lambda h: h.section_names(h.range_events(3, 10)))
+asked("search_substring", f"{DETAIL} WHERE contains(e.value, '13')", lambda h: h.search("13"))
+asked("search_icase", f"{DETAIL} WHERE contains(lower(e.value), lower('7E')) OR contains(lower(e.value), '17')", lambda h: h.search("17", ignore_case=True))
+asked("search_regex", f"{DETAIL} WHERE regexp_matches(e.value, '^1[0-3]$')", lambda h: h.search("^1[0-3]$", regex=True))
+asked("search_regex_icase", f"{DETAIL} WHERE regexp_matches(e.value, '^(2|3)1$', 'i')", lambda h: h.search("^(2|3)1$", regex=True, ignore_case=True))
+asked("search_since", f"{DETAIL} WHERE contains(e.value, '4') AND e.commit_seq >= {SINCE}", lambda h: h.search("4", since=SINCE))
+asked("search_predicate", f"{DETAIL} WHERE contains(e.value, '5') AND e.predicate = '{PREDICATE}' AND e.term_id = '{TERM}'", lambda h: h.search("5", term_id=TERM, predicate=PREDICATE))
+asked("search_namespace", f"{DETAIL} WHERE contains(e.value, '99') AND starts_with(e.term_id, 'USER:')", lambda h: h.search("99", namespace="USER"))
+query("commit_count", f"WITH {COMMITS} SELECT count(*) AS n_commits, CASE WHEN count(*) > 0 THEN 'built' ELSE 'not built' END AS status FROM com")(
+    lambda spark, d: star.commits(spark, d).agg(F.count(F.lit(1)).alias("n_commits"), F.when(F.count(F.lit(1)) > 0, "built").otherwise("not built").alias("status"))
+)
+
+# Text kernels.
+TOKENS = r"[\p{L}\p{N}_][\p{L}\p{N}_:/.\-]*|\s+|[^\p{L}\p{N}_\s]"
+query("tokenize", f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, '|')) AS tokens FROM (SELECT doc_id, regexp_extract_all(text, '{TOKENS}') AS t FROM documents)")(
+    lambda spark, d: star.table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", "|")).alias("tokens"))
+)
+query("clause_partition", "SELECT conv_id, turn, substr(x, 1, instr(x, ': ') - 1) AS predicate, substr(x, instr(x, ': ') + 2) AS value FROM (SELECT conv_id, turn, concat(role, ': ', text) AS x FROM conversations)")(
+    lambda spark, d: star.table(spark, d, "conversations").select("conv_id", "turn", text.clause(F.concat("role", F.lit(": "), "text")).alias("c")).select("conv_id", "turn", "c.predicate", "c.value")
+)
+query("first_lines", "SELECT conv_id, turn, string_split(text, chr(10))[1] AS first_line, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 199), '…') ELSE text END AS short FROM conversations")(
+    lambda spark, d: star.table(spark, d, "conversations").select("conv_id", "turn", text.first_line(F.col("text")).alias("first_line"), text.truncated(F.col("text")).alias("short"))
+)
+query("url_repository", r"SELECT page_id, nullif(regexp_extract(u, '^https?://github\.com/([^/]+/[^/]+?)(?:\.git)?/?$', 1), '') AS repository FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('https://github.com/p', CAST(page_id AS VARCHAR), '/r.git') ELSE url END AS u FROM pages)")(
+    lambda spark, d: star.table(spark, d, "pages").select("page_id", text.repository(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://github.com/p"), F.col("page_id").cast("string"), F.lit("/r.git"))).otherwise(F.col("url"))).alias("repository"))
+)
+SUBMISSIONS = "SELECT doc_id AS submission_id, CASE doc_id % 4 WHEN 0 THEN concat('v', CAST(doc_id % 50 AS VARCHAR)) WHEN 1 THEN 'Unknown' WHEN 2 THEN 'not a tag!' ELSE NULL END AS version, source AS released, lang FROM documents"
+
+
+def submissions(spark, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    version = F.when(i % 4 == 0, F.concat(F.lit("v"), (i % 50).cast("string"))).when(i % 4 == 1, "Unknown").when(i % 4 == 2, "not a tag!")
+    return star.table(spark, d, "documents").select(
+        i.alias("submission_id"), version.alias("version"), F.col("source").alias("released"), F.lit("").alias("creation_date"),
+        F.when(F.col("lang") == "en", "OBO").otherwise("OWL").alias("language"), F.array(F.struct(F.col("lang").alias("name"), F.lit("").alias("email"))).alias("contact"),
+    )
+
+
+TAG_SQL = "CASE WHEN regexp_matches(version, '^[A-Za-z0-9._/-]+$') AND lower(trim(version)) <> 'unknown' THEN version ELSE concat('sub-', CAST(submission_id AS VARCHAR)) END"
+query("pick_tag", f"SELECT submission_id, {TAG_SQL} AS tag FROM ({SUBMISSIONS})")(lambda spark, d: submissions(spark, d).select("submission_id", text.release_tag(F.col("version"), F.col("submission_id")).alias("tag")))
+query(
+    "dedup_submissions",
+    f"SELECT tag, released AS date, submission_id, CASE WHEN starts_with(tag, 'sub-') THEN concat('Submission #', CAST(submission_id AS VARCHAR)) ELSE tag END AS subject, lang AS author_name, 'bioportal@bioontology.org' AS author_email "
+    f"FROM (SELECT *, {TAG_SQL} AS tag FROM ({SUBMISSIONS}) WHERE lang = 'en') WHERE tag <> 'v8' QUALIFY row_number() OVER (PARTITION BY tag ORDER BY released, submission_id) = 1",
+)(lambda spark, d: commits.new_submissions(submissions(spark, d), spark.range(1).select(F.lit("v8").alias("tag"))).withColumn("author_name", F.lit("en")))
+query(
+    "new_releases",
+    "SELECT concat('t', CAST(o_orderkey AS VARCHAR)) AS tag, o_orderdate AS date, concat('u', CAST(o_custkey AS VARCHAR)) AS author_name, concat('u', CAST(o_custkey AS VARCHAR), '@users.noreply.github.com') AS author_email, "
+    "concat('t', CAST(o_orderkey AS VARCHAR), chr(10), chr(10), o_orderpriority, chr(10), chr(10), 'Release URL: https://example.org/', CAST(o_orderkey AS VARCHAR)) AS message FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0",
+)(
+    lambda spark, d: commits.new_releases(
+        star.table(spark, d, "orders").select(
+            F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("tag_name"), F.col("o_orderdate").alias("published_at"), F.col("o_orderpriority").alias("body"),
+            F.concat(F.lit("https://example.org/"), F.col("o_orderkey").cast("string")).alias("html_url"), (F.col("o_orderstatus") == "O").alias("draft"), (F.col("o_orderkey") % 3 == 0).alias("prerelease"),
+            F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("author_login"), F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit("other.zip"))).otherwise(F.array(F.lit("onto.obo"))).alias("assets"),
+        ),
+        star.table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("tag")),
+        "onto.obo",
+    )
+)
+query(
+    "unchanged_content_dedup",
+    "SELECT commit_seq, kept, max(CASE WHEN kept THEN commit_seq END) OVER (ORDER BY commit_seq) AS version FROM (SELECT commit_seq, coalesce(lag(n) OVER (ORDER BY commit_seq) <> n, TRUE) AS kept FROM (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS commit_seq, count(*) // 20 AS n FROM events GROUP BY 1))",
+)(
+    lambda spark, d: commits.unchanged_content(
+        star.state(spark, d).groupBy("commit_seq").agg(F.floor(F.count(F.lit(1)) / 20).cast("string").alias("content")), "content", "commit_seq"
+    ).select("commit_seq", "kept", "version")
+)
+query("build_meta", f"WITH {COMMITS} SELECT '1' AS schema_version, '0' AS generator_version, 'events' AS source_path, min(commit_seq) AS first_commit_seq, max(commit_seq) AS last_commit_seq, CAST(count(*) AS INT) AS n_commits FROM com")(
+    lambda spark, d: artifact.build_meta(star.commits(spark, d), "events", "0")
+)
+
+# Documents of stanzas, from text on.
+BAD = "predicate = 'error' AND value = '13'"
+query("stanza_split", f"WITH {STATE} SELECT term_id, commit_seq, count(*) AS n_lines FROM state GROUP BY 1, 2")(
+    lambda spark, d: stanzas.stanzas(star.documents(spark, d)).select("term_id", "commit_seq", F.size(stanzas.lines_of(F.col("stanza"))).cast("long").alias("n_lines"))
+)
+# Carried over failures and gaps: a stretch of versions, what is good in it, and what it had last.
+CARRIED = f"""WITH {STATE}, lines AS (SELECT term_id, commit_seq AS v, CASE WHEN {BAD} THEN 'synonym' ELSE predicate END AS p, CASE WHEN {BAD} THEN '"x" WRONGSCOPE []' ELSE value END AS x, {BAD} AS bad FROM state),
+here AS (SELECT term_id, v, string_agg(p || ': ' || x, chr(10) ORDER BY p || ': ' || x) AS b, NOT bool_or(bad) AS ok FROM lines GROUP BY 1, 2),
+a AS (SELECT *, lag(v) OVER w AS pv, lag(b) OVER w AS pb FROM here WINDOW w AS (PARTITION BY term_id ORDER BY v)),
+e AS (SELECT *, sum(CASE WHEN pv IS NULL OR v <> pv + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY term_id ORDER BY v) AS ep, (pv IS NULL OR v <> pv + 1 OR b <> pb) AS ch FROM a),
+g AS (SELECT term_id, ep, v, b, lag(v) OVER w AS gv, lag(b) OVER w AS gb FROM e WHERE ok AND ch WINDOW w AS (PARTITION BY term_id, ep ORDER BY v)),
+good AS (SELECT * FROM g WHERE gv IS NULL OR b <> gb),
+over AS (SELECT e.term_id, max(v) + 1 AS v, max(CASE WHEN ok AND ch THEN v END) AS gv FROM e GROUP BY e.term_id, ep HAVING max(v) < (SELECT max(v) FROM here)),
+now AS (SELECT l.term_id, g.v, l.p, l.x FROM good g JOIN lines l ON l.term_id = g.term_id AND l.v = g.v),
+old AS (SELECT l.term_id, g.v, l.p, l.x FROM (SELECT term_id, v, gv FROM good UNION ALL SELECT * FROM over) g JOIN lines l ON l.term_id = g.term_id AND l.v = g.gv)"""
+query("skipped_rows", f"{CARRIED} SELECT v AS commit_seq, sha1(CAST(v AS VARCHAR)) AS sha, term_id, 'ParseError' AS error FROM e WHERE ch AND NOT ok")(lambda spark, d: changes.build(star.documents(spark, d))["skipped"])
+query(
+    "build_events",
+    f"{CARRIED} SELECT term_id, v AS commit_seq, sha1(CAST(v AS VARCHAR)) AS sha, p AS predicate, x AS value, operation FROM (SELECT *, 'add' AS operation FROM (SELECT * FROM now EXCEPT ALL SELECT * FROM old) UNION ALL SELECT *, 'remove' AS operation FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM now))",
+)(lambda spark, d: changes.build(star.documents(spark, d))["events"])
+
+# Clause-aware views: no SQL can pair greedily; tests compare them with small worked cases.
+query("pair_events", None)(lambda spark, d: pairing.pair_changes(changes.state_delta(star.state(spark, d))))
+query("edit_kind", None)(lambda spark, d: pairing.edit_kinds(pairing.pair_changes(changes.state_delta(star.state(spark, d)))))
+query("word_diff", None)(lambda spark, d: pairing.edit_texts(pairing.pair_changes(changes.state_delta(star.state(spark, d)))))
+
+
+def qualified(spark, d: str) -> DataFrame:
+    """The delta with values that have qualifiers and a comment, so that edits of every kind occur."""
+    v = F.col("value").cast("int")
+    value = F.concat(F.lit("X:"), (v % 7).cast("string"), F.lit(' {source="S:'), (v % 5).cast("string"), F.lit('", note="n'), (v % 3).cast("string"), F.lit('"} ! name '), (v % 2).cast("string"))
+    return changes.state_delta(star.state(spark, d)).withColumn("value", value)
+
+
+query("qualifier_block", None)(lambda spark, d: pairing.edit_texts(pairing.pair_changes(qualified(spark, d))))
+query("search_delta_filtered", None)(lambda spark, d: pairing.search_hits(qualified(spark, d).filter(F.col("value").contains("S:3")), "S:3"))
