@@ -108,13 +108,12 @@ def number_readable(versions: DataFrame) -> DataFrame:
     return ids.withColumn("vidx", F.row_number().over(Window.orderBy("commit_seq")) - 1)
 
 
-def build(versions: DataFrame) -> dict[str, DataFrame]:
-    """The change tables of versions (commit_seq int, sha string, content string; null content: missing).
+def presence_of_documents(versions: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Presence of the entities of versions (commit_seq, sha, content), numbered by ``number_readable``.
 
     Stanza hashes are compared first, and only stanzas whose bytes changed are parsed: the
-    windows carry 40 characters a stanza, not its text.
+    windows carry 40 characters a stanza, not its text. Rows that didn't change have no clauses.
     """
-    numbered = number_readable(versions)
     text = versions.filter("content is not null").join(numbered.select("commit_seq", "vidx"), "commit_seq").select("vidx", "content")
     found = stanzas(text)
     # of repeated ids in a document the last counts
@@ -125,15 +124,46 @@ def build(versions: DataFrame) -> dict[str, DataFrame]:
     error = parse_error(F.col("stanza"), F.col("term_id"))
     parsed = found.join(fresh, ["term_id", "vidx", "pos"]).select("term_id", "vidx", error.alias("error"), clauses_of(F.col("stanza")).alias("clauses"))
     parsed = parsed.select("term_id", "vidx", "error", F.when(F.col("error").isNull(), F.col("clauses")).alias("clauses"))
-    presence = seen.join(parsed, ["term_id", "vidx"], "left").select(
+    return seen.join(parsed, ["term_id", "vidx"], "left").select(
         "term_id", "vidx", "raw", F.col("error").isNull().alias("ok"), "clauses", content_hash(F.col("clauses")).alias("content_hash"), "error"
     )
-    out = change_tables(presence, numbered)
-    missing = versions.filter("content is null").select("commit_seq", "sha", F.lit(None).cast("string").alias("term_id"), F.lit("BlobMissing").alias("error"))
-    out["skipped"] = out["skipped"].unionByName(missing)
+
+
+def missing_content(versions: DataFrame) -> DataFrame:
+    return versions.filter("content is null").select("commit_seq", "sha", F.lit(None).cast("string").alias("term_id"), F.lit("BlobMissing").alias("error"))
+
+
+def build(versions: DataFrame) -> dict[str, DataFrame]:
+    """The change tables of versions (commit_seq int, sha string, content string; null content: missing)."""
+    numbered = number_readable(versions)
+    out = change_tables(presence_of_documents(versions, numbered), numbered)
+    out["skipped"] = out["skipped"].unionByName(missing_content(versions))
     return out
 
 
+HEADS = "term_id string, vidx int, raw string, ok boolean, clauses array<struct<predicate:string,value:string>>, content_hash string"
+
+
+def heads_of(presence: DataFrame, last: int) -> DataFrame:
+    """What a later build has to know of the entities present in version ``last``: raw hash, whether it could be read, last good clauses."""
+    marked = episodes(presence)
+    good = F.when(F.col("ok") & F.col("changed"), F.struct("clauses", "content_hash"))
+    by_stretch = marked.groupBy("term_id", "ep").agg(F.max("vidx").alias("vidx"), F.max_by(F.struct("raw", "ok"), "vidx").alias("r"), F.max_by(good, F.when(good.isNotNull(), F.col("vidx"))).alias("g"))
+    return by_stretch.filter(F.col("vidx") == last).select("term_id", "vidx", "r.raw", "r.ok", "g.clauses", "g.content_hash")
+
+
+def seeded(presence: DataFrame, heads: DataFrame) -> DataFrame:
+    """presence of new versions, with rows before them that carry on the stretches of ``heads``.
+
+    A head gives the row of the last version; where that couldn't be read, a row before it
+    holds the last good clauses.
+    """
+    none = F.lit(None).cast("string").alias("error")
+    last = heads.select("term_id", "vidx", "raw", "ok", "clauses", "content_hash", none)
+    failed = heads.filter("not ok and clauses is not null").select("term_id", (F.col("vidx") - 1).alias("vidx"), F.lit("seed").alias("raw"), F.lit(True).alias("ok"), "clauses", "content_hash", none)
+    return presence.unionByName(last).unionByName(failed)
+
+
 def last_versions(versions: DataFrame, n: int) -> DataFrame:
     """The window of the last n commits; their numbers stay."""
     keep = versions.select("commit_seq").orderBy(F.desc("commit_seq")).limit(n)
