@@ -21,6 +21,8 @@ from strataframe.llm.learning import held_out, sample
 
 #: Labelled rows that are fitted on, words of a category, and inner folds.
 MAX_LABELLED, WORDS, INNER = 20_000, 192, 5
+#: Standard deviations from which a word is told from chance among very many; where none is, the first few are taken.
+CLEAR, FEW = 4.0, 16
 #: The chain: name and the label column with its value that means yes.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
@@ -63,27 +65,37 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which calling a row yes has the best F1 on these out-of-fold predictions; 0.5 without any yes."""
+    """The probability from which calling a row yes has the best F-score on these out-of-fold predictions, precision
+    weighing twice as much as recall (beta 1/2); 0.5 without any yes."""
     if not (y == 1).any():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order] == 1)
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + (y == 1).sum())
-    k = int(np.argmax(f1))
+    f = 1.25 * hits / (np.arange(1, len(p) + 1) + 0.25 * (y == 1).sum())
+    k = int(np.argmax(f))
     return float((p[order[k]] + p[order[min(k + 1, len(p) - 1)]]) / 2)
 
 
-def fit_chain(words: list[bytes], x: np.ndarray, y: np.ndarray, names: list[str], folds: np.ndarray) -> Chain:
-    """y: a column for each link; -1 where a row has no such label."""
+def fit_chain(words: list[bytes], x: np.ndarray, y: np.ndarray, names: list[str], folds: np.ndarray, own: list[np.ndarray] | None = None) -> Chain:
+    """y: a column for each link; -1 where a row has no such label. own: which of the words each link looks at (all)."""
     links, thresholds = [], []
     for k, name in enumerate(names):
         known = y[:, k] >= 0
-        w = fit_logistic(x[known], y[known, k])
+        used = np.ones(x.shape[1] + 1, bool)
+        if own is not None:
+            used[: len(words)] = own[k]
+
+        def fit(rows, used=used, k=k):
+            w = np.zeros(len(used))
+            w[used] = fit_logistic(x[np.ix_(rows, used[:-1])], y[rows, k])
+            return w
+
+        w = fit(np.flatnonzero(known))
         outside = probability(x, w)
         for f in range(INNER):
-            inner = known & (folds != f)
-            if inner.any() and (folds == f).any():
-                outside[folds == f] = probability(x[folds == f], fit_logistic(x[inner], y[inner, k]))
+            inner = np.flatnonzero(known & (folds != f))
+            if len(inner) and (folds == f).any():
+                outside[folds == f] = probability(x[folds == f], fit(inner))
         links.append((name, w))
         thresholds.append(best_threshold(outside[known], y[known, k]))
         x = np.hstack([x, outside[:, None]])
@@ -98,6 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = M
     # bounded by max_labelled, so it is broadcast
     chosen = F.broadcast(sample(seen, max_labelled))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), utf8(docs).alias("text")).join(chosen, "doc_id")
+    # of equal texts one: many copies of a single text would make its every word look telling
+    texts = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "text", *names), "doc_id").alias("r")).select("r.*")
 
     def distinct_words(batches):
         for b in batches:
@@ -112,14 +126,16 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = M
     if not totals[0]:
         return None
     counts = counts.persist()
-    words: set[bytes] = set()
+    chosen_words: list[set[bytes]] = []
     for k, n in enumerate(names):
         rate = totals[k + 1] / totals[0]
         # how far the word's share of yes is from the common one, in standard deviations
         z = (F.col(n) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1.0)
-        words |= {bytes(r.w) for r in counts.orderBy(F.abs(z).desc(), "w").limit(n_words).collect()}
+        best = counts.select("w", F.abs(z).alias("z")).orderBy(F.desc("z"), "w").limit(n_words).collect()
+        clear = [r for r in best if r.z >= CLEAR]
+        chosen_words.append({bytes(r.w) for r in clear or best[:FEW]})
     counts.unpersist()
-    words = sorted(words)
+    words = sorted(set().union(*chosen_words))
     known = {w: i for i, w in enumerate(words)}
 
     def presence(batches):
@@ -134,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = M
     x, y = np.zeros((len(rows), len(words))), np.array([[-1 if r[n] is None else r[n] for n in names] for r in rows])
     for i, r in enumerate(rows):
         x[i, r.x] = 1
-    return fit_chain(words, x, y, names, np.arange(len(rows)) % INNER)
+    own = [np.array([w in c for w in words], bool) for c in chosen_words]
+    return fit_chain(words, x, y, names, np.arange(len(rows)) % INNER, own)
 
 
 def probabilities(docs: DataFrame, model: Chain | None, chain=CHAIN) -> DataFrame:
