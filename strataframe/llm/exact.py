@@ -67,8 +67,9 @@ def run_stream(spark: SparkSession, source: DataFrame, state_path: str, out_path
                 spark.conf.set(k, v)
     schema = "digest binary, first struct<none:boolean,doc_id:bigint,locator:bigint>, group_size bigint, batch int"
     touched = spark.read.schema(schema).option("basePath", out_path).parquet(out_path)
-    # group_size only grows, so the latest row of a digest is its largest
-    return touched.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("s")).select("digest", "s.first", "s.group_size")
+    latest = touched.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("s")).select("digest", "s.first", "s.group_size")
+    # written, so that a join with it isn't bound to the aggregation's partitions and can be split where a digest is hot
+    return stored(latest, "exact-latest")
 
 
 def decisions(docs: DataFrame, files_per_batch: int = 64) -> DataFrame:
