@@ -197,7 +197,8 @@ def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     large = passages.filter(F.col("kinds") > shard).select("anchor", "doc_id", "context", "words")
     windows = large.mapInArrow(explode_windows(window), "anchor long, doc_id long, context long, at int, h long")
     windows = stored(windows, "substring-windows")
-    least = windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("least"))
+    # written, so that the join can be split where a window is hot
+    least = stored(windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("top")).filter("top > least").drop("top"), "substring-least")
     one_by_one = windows.join(least, ["anchor", "h"]).filter("doc_id > least").select("anchor", "context", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     ranges = partly.unionByName(one_by_one).groupBy("anchor", "context").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     told = known.filter("n > 1").select("anchor", "context", F.col("home.doc_id").alias("home_id")).join(ranges, ["anchor", "context"], "full")
