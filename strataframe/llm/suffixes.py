@@ -194,7 +194,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     merged = small.mapInArrow(merge_shards(window, block), "anchor long, context long, start int, end int")
     large = passages.filter(F.col("kinds") > shard).select("anchor", "context", "bytes")
     windows = stored(large.mapInArrow(window_hashes(window), "anchor long, context long, at int, h long"), "suffix-windows")
-    twice = windows.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # written, so that the join can be split where a window is hot
+    twice = stored(windows.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "suffix-twice")
     one_by_one = windows.join(twice, ["anchor", "h"]).select("anchor", "context", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     ranges = merged.unionByName(one_by_one).groupBy("anchor", "context").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     told = known.filter("n > 1").select("anchor", "context", F.lit(True).alias("whole")).join(ranges, ["anchor", "context"], "full")
