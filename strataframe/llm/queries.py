@@ -26,5 +26,6 @@ ORACLES = {
     "op3_lines": lines.ORACLE,
     "op4_substrings": substrings.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op7_suffixes": suffixes.ORACLE,
     "op10_exact": exact.ORACLE,
 }

@@ -240,3 +240,27 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
 
 def op7_suffixes(docs: DataFrame) -> DataFrame:
     return without_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (
+  SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800),
+x AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 800)) AS k FROM p) QUALIFY count(*) OVER (PARTITION BY k) > 1),
+r AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM x)),
+g AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 399 AS b FROM r GROUP BY doc_id, run),
+n AS (
+  SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS past FROM g),
+s AS (
+  SELECT n.doc_id, CAST(sum(b - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * past + 1, 2 * (a - 1 - past)), '' ORDER BY run) AS head, max(b) AS last
+  FROM n JOIN d ON n.doc_id = d.doc_id GROUP BY n.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN s.doc_id IS NULL THEN h ELSE concat(head, substr(h, 2 * last + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
