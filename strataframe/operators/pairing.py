@@ -1,14 +1,14 @@
 """Edits out of removed and added clauses, and what a search really hits.
 
-Pairing is sequential within the changes of one entity in one commit, so it runs in Python, on rows that
-Spark has dealt by (term_id, commit_seq, predicate) and sorted. Groups without both a removal and an addition, which are
-most, never reach Python.
+Pairing is sequential within the changes of one predicate of an entity in one commit, so it runs in Python, on
+both sides as Spark has gathered and sorted them (a group is a part of one entity). Groups without both a removal
+and an addition, which are most, never reach Python.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.clauses import delta_matches, edit_kind, edit_lines, pair
@@ -22,26 +22,28 @@ def pair_changes(changes: DataFrame, least: float = 0.5) -> DataFrame:
 
     No changes: no rows. Nulls among the keys form groups of their own; null values count as empty.
     """
-    rows = changes.select(*GROUP, F.coalesce("value", F.lit("")).alias("value"), "operation")
-    # keys are dealt together, so that the pairing below needs no second exchange
-    sides = rows.repartition(*GROUP).withColumns({x: F.max((F.col("operation") == x).cast("int")).over(Window.partitionBy(*GROUP)) for x in ("add", "remove")})
-    alone = sides.filter("add = 0 or remove = 0").select(
-        *GROUP, F.col("operation").alias("kind"),
-        F.when(F.col("operation") == "remove", F.col("value")).alias("before"), F.when(F.col("operation") == "add", F.col("value")).alias("after"),
-    )
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["operation", "value"], kind="stable")
-        key = {c: group[c].iloc[0] for c in GROUP}
-        old, new = (group.loc[group["operation"] == x, "value"].tolist() for x in ("remove", "add"))
-        pairs = pair(key["predicate"], old, new, least)
-        left, right = {i for i, _ in pairs}, {j for _, j in pairs}
-        out = [("edit", old[i], new[j]) for i, j in pairs]
-        out += [("remove", x, None) for i, x in enumerate(old) if i not in left] + [("add", None, x) for j, x in enumerate(new) if j not in right]
-        return pd.DataFrame([{**key, "kind": k, "before": b, "after": a} for k, b, a in out], columns=[*GROUP, "kind", "before", "after"])
-
-    both = sides.filter("add = 1 and remove = 1").select(*GROUP, "operation", "value")
-    return alone.unionByName(both.groupBy(*GROUP).applyInPandas(run, OPS))
+    side = lambda x: F.sort_array(F.collect_list(F.when(F.col("operation") == x, F.coalesce("value", F.lit(""))))).alias(x)
+    groups = changes.groupBy(*GROUP).agg(side("remove"), side("add"))
+    none = F.lit(None).cast("string")
+    one = lambda kind, before, after: F.struct(F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"))
+    ops = F.concat(F.transform("remove", lambda x: one("remove", x, none)), F.transform("add", lambda x: one("add", none, x)))
+    alone = groups.filter("size(remove) = 0 or size(add) = 0").select(*GROUP, F.explode(ops).alias("o")).select(*GROUP, "o.*")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for *key, old, new in zip(*(b.column(c).to_pylist() for c in (*GROUP, "remove", "add"))):
+                pairs = pair(key[2], old, new, least)
+                left, right = {i for i, _ in pairs}, {j for _, j in pairs}
+                out += [(*key, "edit", old[i], new[j]) for i, j in pairs]
+                out += [(*key, "remove", x, None) for i, x in enumerate(old) if i not in left]
+                out += [(*key, "add", None, x) for j, x in enumerate(new) if j not in right]
+            if out:
+                kinds = (pa.string(), pa.int32(), *[pa.string()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[*GROUP, "kind", "before", "after"])
+
+    both = groups.filter("size(remove) > 0 and size(add) > 0").select(*GROUP, "remove", "add")
+    return alone.unionByName(both.mapInArrow(run, OPS))
 
 
 def in_order(ops: DataFrame) -> DataFrame:
