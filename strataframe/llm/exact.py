@@ -115,7 +115,8 @@ def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
         F.col("keep_id").eqNullSafe(F.col("k_id")) & (F.col("keep_locator") == F.col("k_loc")),
     )
     own = hits.join(texts.select(F.col("doc_id").alias("o_id"), F.col("locator").alias("o_loc"), "norm"), F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("locator") == F.col("o_loc"))).select(*hits.columns, "norm")
-    kept = kept_texts.select(F.col("keep_id").alias("j_id"), F.col("keep_locator").alias("j_loc"), "kept_norm")
+    # written, so that the join of a hot group's rows with the one text that stays can be split
+    kept = stored(kept_texts.select(F.col("keep_id").alias("j_id"), F.col("keep_locator").alias("j_loc"), "kept_norm"), "exact-kept")
     pairs = own.join(kept, F.col("keep_id").eqNullSafe(F.col("j_id")) & (F.col("keep_locator") == F.col("j_loc")))
     pairs = pairs.select("doc_id", "locator", "digest", "keep_id", "group_size", (F.col("norm") != F.col("kept_norm")).alias("differs"), F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other"))
     pairs = stored(pairs, "exact-pairs")
