@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm import anchors
@@ -164,18 +164,30 @@ def explode_windows(window: int):
     return run
 
 
+def shared_contexts(contexts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """All contexts -> (those whose anchor occurs again, what is known of each distinct one that has company).
+
+    The second has anchor, context, home (the first place), n (places) and kinds (distinct contexts of the anchor), for
+    contexts with several places or several kinds. Most anchors occur once; they leave after one small count, and
+    only the rest is shuffled whole. Counts have partial sums and their results are written, so the joins with
+    them split an anchor that very many places share.
+    """
+    contexts = stored(contexts, f"{name}-contexts")
+    again = stored(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor"), f"{name}-again")
+    found = stored(contexts.join(again, "anchor", "left_semi"), f"{name}-found")
+    home = F.min(F.struct("doc_id", "row", "first", "last")).alias("home")
+    distinct = stored(found.groupBy("anchor", "context").agg(home, F.count(F.lit(1)).alias("n")), f"{name}-distinct")
+    several = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), f"{name}-several")
+    known = distinct.join(several, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long"))).filter("n > 1 or kinds > 1")
+    return found, stored(known, f"{name}-known")
+
+
 def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """rows (doc_id, row, text), dealt by row -> row, doc_id and the sorted word spans that earlier documents have.
 
     doc_id must not be null here: callers put a number in its place.
     """
-    found = stored(word_contexts(rows, window, gram), "substring-contexts")
-    distinct = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "row", "first", "last")).alias("home"), F.count(F.lit(1)).alias("n"))
-    by_anchor = Window.partitionBy("anchor")
-    known = stored(
-        distinct.select("anchor", "context", "home", "n", F.count(F.lit(1)).over(by_anchor).alias("kinds")).filter("n > 1 or kinds > 1"),
-        "substring-known",
-    )
+    found, known = shared_contexts(word_contexts(rows, window, gram), "substring")
     # the first document of each context of an anchor that has several brings the words
     wanted = known.filter("kinds > 1").select("anchor", "context", "kinds", F.col("home.row").alias("row"), F.col("home.doc_id").alias("doc_id"), F.col("home.first").alias("first"), F.col("home.last").alias("last"))
 
@@ -201,7 +213,7 @@ def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     least = stored(windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("top")).filter("top > least").drop("top"), "substring-least")
     one_by_one = windows.join(least, ["anchor", "h"]).filter("doc_id > least").select("anchor", "context", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     ranges = partly.unionByName(one_by_one).groupBy("anchor", "context").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    told = known.filter("n > 1").select("anchor", "context", F.col("home.doc_id").alias("home_id")).join(ranges, ["anchor", "context"], "full")
+    told = stored(known.filter("n > 1").select("anchor", "context", F.col("home.doc_id").alias("home_id")).join(ranges, ["anchor", "context"], "full"), "substring-told")
     hit = found.join(told, ["anchor", "context"])
     whole = F.array(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end")))
     moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["end"] + F.col("first") + (window - 1)).alias("end")))
