@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm import anchors
 from strataframe.llm.common import NO_ID, stored
-from strataframe.llm.substrings import CONTEXTS, keyed_rows, runs_of
+from strataframe.llm.substrings import CONTEXTS, keyed_rows, runs_of, shared_contexts
 
 WINDOW, GRAM, BLOCK = 400, 128, 100
 #: Distinct contexts of an anchor up to which one task takes all of them.
@@ -175,12 +175,7 @@ def window_hashes(window: int):
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """rows (doc_id, row, text), dealt by row and doc_id -> row, doc_id and the sorted byte spans that occur elsewhere too."""
-    found = stored(byte_contexts(rows, window, gram), "suffix-contexts")
-    distinct = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "row", "first", "last")).alias("home"), F.count(F.lit(1)).alias("n"))
-    known = stored(
-        distinct.select("anchor", "context", "home", "n", F.count(F.lit(1)).over(Window.partitionBy("anchor")).alias("kinds")).filter("n > 1 or kinds > 1"),
-        "suffix-known",
-    )
+    found, known = shared_contexts(byte_contexts(rows, window, gram), "suffix")
     wanted = known.filter("kinds > 1").select("anchor", "context", "kinds", F.col("home.row").alias("row"), F.col("home.doc_id").alias("doc_id"), F.col("home.first").alias("first"), F.col("home.last").alias("last"))
 
     def cut(batches):
@@ -198,7 +193,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     twice = stored(windows.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "suffix-twice")
     one_by_one = windows.join(twice, ["anchor", "h"]).select("anchor", "context", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     ranges = merged.unionByName(one_by_one).groupBy("anchor", "context").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    told = known.filter("n > 1").select("anchor", "context", F.lit(True).alias("whole")).join(ranges, ["anchor", "context"], "full")
+    told = stored(known.filter("n > 1").select("anchor", "context", F.lit(True).alias("whole")).join(ranges, ["anchor", "context"], "full"), "suffix-told")
     whole = F.array(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end")))
     moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["end"] + F.col("first") + (window - 1)).alias("end")))
     hit = found.join(told, ["anchor", "context"]).select("row", "doc_id", F.explode(F.when(F.col("whole"), whole).otherwise(moved)).alias("span"))
