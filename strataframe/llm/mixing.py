@@ -24,7 +24,9 @@ BUCKETS = 16**RANGE_DIGITS
 
 
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), docs["doc_id"].cast("string")))
+    # rows without an id are told apart, and spread over the ranges, by their texts
+    name = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.sha2(text_of(docs), 256)))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     return docs.select(
         docs["doc_id"],
         docs["source"].isNull().alias("no_source"),
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, r
     by random key, the last of them in part, up to exactly its rounded target.
 
     Null text: size 0, taken 0. Null source: a source of its own, last by name. Null doc_id: such rows
-    share one key and are ordered by text. Rows that repeat an id are rows of their own. No rows: no rows.
+    are keyed by text. Rows that repeat an id are rows of their own. No rows: no rows.
     Extra columns are left out.
     """
     place = ["no_source", "source_key", "mix_range"]

@@ -230,6 +230,13 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_rows_without_an_id_are_spread_over_ranges(spark):
+    docs = frame(spark, [(None, f"text {i}", "a") for i in range(60)])
+    assert mixing.sized(docs).select("mix_range").distinct().count() > 50
+    got = mixing.mix(docs).collect()
+    assert sum(r.taken for r in got) == 180 and all(r.taken in (2, 3, 4) for r in got)
+
+
 def test_exact(spark):
     docs = documents()
     norm = [BLANK.sub(" ", t or "") for _, t, _ in docs]
