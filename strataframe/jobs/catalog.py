@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import text
 from strataframe.operators import changes, commits, pairing, stanzas
+from strataframe.operators.history import History
 from strataframe.sources import artifact, star
 
 TERM, PREDICATE, SINCE, AT = "USER:0000003", "click", 20, 17
@@ -108,6 +109,30 @@ asked("term_timeline_predicate", f"{TIMELINE} WHERE e.term_id = '{TERM}' AND e.p
 asked("timeline_since", f"{TIMELINE} WHERE e.term_id = '{TERM}' AND e.commit_seq >= {SINCE}", lambda h: h.timeline(TERM, since=SINCE))
 asked("timeline_last_n_commits", f"SELECT * FROM ({TIMELINE} WHERE e.term_id = '{TERM}') QUALIFY dense_rank() OVER (ORDER BY commit_seq DESC) <= 3", lambda h: h.timeline(TERM, last_commits=3))
 asked("timeline_predicate_counts", f"SELECT predicate, count(*) AS n, min(commit_seq) AS first_seq FROM ev WHERE term_id = '{TERM}' GROUP BY 1", lambda h: h.predicate_counts(TERM))
+
+
+def under_former_ids(h: History) -> History:
+    """The history with the ids of the commits before the fifteenth under another prefix."""
+    old = F.when(F.col("commit_seq") < 15, F.concat(F.lit("OLD:"), F.substring_index("term_id", ":", -1))).otherwise(F.col("term_id"))
+    return History(h.events.withColumn("term_id", old), h.commits, h.snapshots)
+
+
+asked("timeline_former_prefix", f"{TIMELINE} WHERE e.term_id = '{TERM}'", lambda h: under_former_ids(h).timeline(TERM, former=("OLD",)))
+asked("timeline_former_prefix_last", f"SELECT * FROM ({TIMELINE} WHERE e.term_id = '{TERM}') QUALIFY dense_rank() OVER (ORDER BY commit_seq DESC) <= 20", lambda h: under_former_ids(h).timeline(TERM, last_commits=20, former=("OLD",)))
+asked(
+    "milestones",
+    """, net AS (
+  SELECT term_id, commit_seq, sum(CASE operation WHEN 'add' THEN 1 ELSE -1 END) AS n,
+         sum(CASE operation WHEN 'add' THEN 1 ELSE -1 END) FILTER (WHERE predicate = 'error' AND value = '100') AS flagged
+  FROM ev GROUP BY 1, 2),
+run AS (SELECT *, sum(n) OVER (PARTITION BY term_id ORDER BY commit_seq) AS rest FROM net)
+SELECT term_id, commit_seq, 'created' AS kind, NULL AS target FROM run WHERE rest = n
+UNION ALL SELECT term_id, commit_seq, 'removed', NULL FROM run WHERE rest = 0
+UNION ALL SELECT term_id, commit_seq, 'obsoleted', NULL FROM run WHERE flagged > 0
+UNION ALL SELECT term_id, commit_seq, 'restored', NULL FROM run WHERE flagged < 0 AND rest > 0
+UNION ALL SELECT DISTINCT term_id, commit_seq, 'merged', value FROM ev WHERE predicate = 'signup' AND operation = 'add'""",
+    lambda h: h.milestones(star.OBSOLETE, star.NAME),
+)
 HEADERS = """SELECT x.term_id, n.name AS current_name, x.event_count, a.sha AS first_sha, a.committed_date AS first_date, b.sha AS last_sha, b.committed_date AS last_date, b.pr_number AS last_pr
 FROM (SELECT term_id, count(*) AS event_count, min(commit_seq) AS lo, max(commit_seq) AS hi FROM ev GROUP BY 1) x
 JOIN com a ON a.commit_seq = x.lo JOIN com b ON b.commit_seq = x.hi

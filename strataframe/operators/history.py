@@ -35,16 +35,21 @@ class History:
     def _in(namespace: str | None) -> Column:
         return F.lit(True) if namespace is None else F.col("term_id").startswith(f"{namespace}:")
 
-    def timeline(self, term_id: str, predicate: str | None = None, since: int | None = None, last_commits: int | None = None) -> DataFrame:
-        """Changes of an entity, oldest first; from a commit on, or of its last so many commits."""
-        own = self.events.filter(F.col("term_id") == term_id)
+    def timeline(self, term_id: str, predicate: str | None = None, since: int | None = None, last_commits: int | None = None, former: tuple[str, ...] = ()) -> DataFrame:
+        """Changes of an entity, oldest first; from a commit on, or of its last so many commits.
+
+        ``former`` are prefixes that its id had before the present one: changes under those ids are its own too.
+        """
+        ids = [term_id, *(f"{prefix}:{term_id.partition(':')[2]}" for prefix in former)]
+        own = self.events.filter(F.col("term_id").isin(ids))
         if predicate is not None:
             own = own.filter(F.col("predicate") == predicate)
         if since is not None:
             own = own.filter(F.col("commit_seq") >= since)
         if last_commits is not None:
-            rank = F.dense_rank().over(Window.partitionBy("term_id").orderBy(F.desc("commit_seq")))
-            own = own.withColumn("__rank", rank).filter(F.col("__rank") <= last_commits).drop("__rank")
+            own = own.withColumn("__id", F.lit(term_id))  # one entity, under whichever id
+            rank = F.dense_rank().over(Window.partitionBy("__id").orderBy(F.desc("commit_seq")))
+            own = own.withColumn("__rank", rank).filter(F.col("__rank") <= last_commits).drop("__rank", "__id")
         return self._with_commits(own).select(*ROW).orderBy("commit_seq", "operation", "predicate", "value")
 
     def predicate_counts(self, term_id: str) -> DataFrame:
@@ -79,6 +84,30 @@ class History:
             latest = latest.join(lost, "term_id", "left").filter("lost is null or lost <= at")
         return latest.select("term_id", F.explode("clauses").alias("c")).select("term_id", "c.predicate", "c.value").orderBy("term_id", "predicate", "value")
 
+    def milestones(self, obsolete: tuple[str, str] = ("is_obsolete", "true"), replaced: str = "replaced_by") -> DataFrame:
+        """(term_id, commit_seq, kind, target): when entities were created, removed, obsoleted, restored or merged into a target.
+
+        Read off the events: an entity is created where it had no clause before, removed where none is left. An
+        entity that is removed isn't restored by that. ``target`` is null for all kinds but merged.
+        """
+        flag = (F.col("predicate") == obsolete[0]) & (F.col("value") == obsolete[1])
+        sign = F.when(F.col("operation") == "add", 1).otherwise(-1)
+        target = F.when((F.col("operation") == "add") & (F.col("predicate") == replaced), F.col("value"))
+        steps = self.events.groupBy("term_id", "commit_seq").agg(F.sum(sign).alias("net"), F.sum(F.when(flag, sign)).alias("flagged"), F.collect_set(target).alias("targets"))
+        left = F.sum("net").over(Window.partitionBy("term_id").orderBy("commit_seq"))
+        one = lambda name: F.struct(F.lit(name).alias("kind"), F.lit(None).cast("string").alias("target"))
+        kinds = F.array_compact(
+            F.array(
+                F.when(F.col("left") == F.col("net"), one("created")),
+                F.when(F.col("left") == 0, one("removed")),
+                F.when(F.col("flagged") > 0, one("obsoleted")),
+                F.when((F.col("flagged") < 0) & (F.col("left") > 0), one("restored")),
+            )
+        )
+        merged = F.transform("targets", lambda t: F.struct(F.lit("merged").alias("kind"), t.alias("target")))
+        told = steps.withColumn("left", left).select("term_id", "commit_seq", F.explode(F.concat(kinds, merged)).alias("k"))
+        return told.select("term_id", "commit_seq", "k.kind", "k.target").orderBy("term_id", "commit_seq", "kind", "target")
+
     def commit(self, sha_prefix: str) -> DataFrame:
         """The first commit whose sha starts so."""
         return self.commits.filter(F.col("sha").startswith(sha_prefix)).orderBy("commit_seq").limit(1).select(*COMMIT)

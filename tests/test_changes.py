@@ -4,6 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from strataframe.operators import changes, stanzas
+from strataframe.operators.history import History
 from strataframe.streaming.append import VERSIONS, append_batch, append_stream
 
 HEAD = "format-version: 1.2\n\n"
@@ -90,6 +91,14 @@ def test_five_versions(spark):
     assert shots[b, 4].is_obsolete and shots[b, 4].name == "cancer" and not shots[a, 3].is_obsolete
 
 
+def test_milestones(spark):
+    a = "M:1"
+    history = [{}, {a: ["name: x"]}, {a: ["name: x", "is_obsolete: true", "replaced_by: M:2"]}, {a: ["name: x"]}, {a: ["name: x", "is_obsolete: true"]}, {}, {a: ["name: y"]}]
+    made = changes.build(frame(spark, [document(d) for d in history]))
+    got = History(made["events"], None, made["term_snapshots"]).milestones()
+    assert rows(got, "commit_seq", "kind", "target") == sorted([(1, "created", None), (2, "obsoleted", None), (2, "merged", "M:2"), (3, "restored", None), (4, "obsoleted", None), (5, "removed", None), (6, "created", None)], key=str)
+
+
 def test_replaying_events_gives_the_states(spark):
     history = [d for d in random_history(9) if d is not None]
     made = changes.build(frame(spark, [document(d) for d in history]))
