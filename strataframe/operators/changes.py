@@ -105,6 +105,8 @@ def change_tables(presence: DataFrame, versions: DataFrame, name_predicate: str
 def number_readable(versions: DataFrame) -> DataFrame:
     """versions (commit_seq, sha, content) that have content, with their dense number; a window over ids and not texts."""
     ids = versions.filter("content is not null").select("commit_seq", "sha")
+    if "part" in versions.columns:
+        ids = ids.distinct()
     return ids.withColumn("vidx", F.row_number().over(Window.orderBy("commit_seq")) - 1)
 
 
@@ -113,9 +115,12 @@ def presence_of_documents(versions: DataFrame, numbered: DataFrame) -> DataFrame
 
     Stanza hashes are compared first, and only stanzas whose bytes changed are parsed: the
     windows carry 40 characters a stanza, not its text. Rows that didn't change have no clauses.
+    A version may come in parts: rows with a column ``part`` that orders them, each of whole stanzas.
     """
-    text = versions.filter("content is not null").join(numbered.select("commit_seq", "vidx"), "commit_seq").select("vidx", "content")
+    text = versions.filter("content is not null").join(numbered.select("commit_seq", "vidx"), "commit_seq").drop("commit_seq", "sha")
     found = stanzas(text)
+    if "part" in versions.columns:
+        found = found.withColumn("pos", F.struct("part", "pos"))
     # of repeated ids in a document the last counts
     heads = found.groupBy("term_id", "vidx").agg(F.max_by(F.struct(F.sha1("stanza").alias("raw"), F.col("pos").alias("pos")), "pos").alias("h"))
     w = Window.partitionBy("term_id").orderBy("vidx")
@@ -134,7 +139,7 @@ def missing_content(versions: DataFrame) -> DataFrame:
 
 
 def build(versions: DataFrame) -> dict[str, DataFrame]:
-    """The change tables of versions (commit_seq int, sha string, content string; null content: missing)."""
+    """The change tables of versions (commit_seq int, sha string, content string; null content: missing), whole or in parts."""
     numbered = number_readable(versions)
     out = change_tables(presence_of_documents(versions, numbered), numbered)
     out["skipped"] = out["skipped"].unionByName(missing_content(versions))

@@ -84,15 +84,17 @@ def history(spark: SparkSession, sf_dir: str) -> History:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of a document of stanzas: a user is an entity, its events of a day are clauses; a day is a version.
+    """Versions of a document of stanzas, in parts: a user is an entity, its events of a day are clauses; a day is a version.
 
-    Every seventh event of value 13 is written so that its stanza can't be read.
+    A part holds one stanza, so no row grows with the number of users. Every seventh event of value 13 is
+    written so that its stanza can't be read.
     """
     rows = state(spark, sf_dir)
     line = F.when((F.col("predicate") == "error") & (F.col("value") == "13"), F.lit('synonym: "x" WRONGSCOPE []')).otherwise(F.concat_ws(": ", "predicate", "value"))
-    terms = rows.groupBy("commit_seq", "term_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-    stanza = F.concat(F.lit("[Term]\nid: "), F.col("term_id"), F.lit(" ! user\n"), F.col("body"), F.lit("\n"))
-    whole = terms.groupBy("commit_seq").agg(F.array_join(F.array_sort(F.collect_list(stanza)), "\n").alias("content"))
-    return whole.select("commit_seq", F.sha1(F.col("commit_seq").cast("string")).alias("sha"), F.concat(F.lit("format-version: 1.2\n\n"), F.col("content"), F.lit("\n[Typedef]\nid: part_of\n")).alias("content"))
+    lines = rows.groupBy("commit_seq", "term_id", line.alias("line")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("line", "n"))), lambda x: F.repeat(F.concat(x["line"], F.lit("\n")), x["n"]))
+    terms = lines.groupBy("commit_seq", "term_id").agg(F.array_join(body, "").alias("body"))
+    content = F.concat(F.lit("format-version: 1.2\n\n[Term]\nid: "), F.col("term_id"), F.lit(" ! user\n"), F.col("body"), F.lit("\n[Typedef]\nid: part_of\n"))
+    return terms.select("commit_seq", F.sha1(F.col("commit_seq").cast("string")).alias("sha"), F.col("term_id").alias("part"), content.alias("content"))
 
 

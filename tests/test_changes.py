@@ -151,3 +151,19 @@ def test_stream_appends_files(spark, tmp_path):
         versions.filter(F.col("commit_seq").between(2 * k, 2 * k + 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         append_stream(spark, str(tmp_path / "in"), str(tmp_path / "h"), str(tmp_path / "c")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "h" / "events")), *EVENT) == rows(changes.build(versions)["events"], *EVENT)
+
+
+def test_star_documents_come_in_parts_of_one_stanza(spark):
+    from strataframe.sources import star
+
+    parts = star.documents(spark, "/root/testdata/sf0.001").persist()
+    assert parts.filter(F.size(F.split("content", r"\[Term\]")) > 2).count() == 0 < parts.count()
+    whole = parts.groupBy("commit_seq", "sha").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]), "\n").alias("content"))
+    for name, columns in (("events", EVENT), ("skipped", ("commit_seq", "sha", "term_id", "error"))):
+        assert rows(changes.build(parts)[name], *columns) == rows(changes.build(whole)[name], *columns)
+
+
+def test_of_repeated_ids_the_last_part_counts(spark):
+    parts = [(0, "s0", p, document({"X:1": [f"name: {v}"]})) for p, v in (("b", 2), ("a", 1))]
+    made = changes.build(spark.createDataFrame(parts, "commit_seq int, sha string, part string, content string"))
+    assert rows(made["events"], *EVENT) == [("X:1", 0, "name", "2", "add")]
