@@ -97,7 +97,7 @@ query(
     f"WITH {STATE}, {SNAPS} SELECT term_id, commit_seq + 1 AS commit_seq FROM pres QUALIFY commit_seq < (SELECT max(commit_seq) FROM pres) AND coalesce(lead(commit_seq) OVER (PARTITION BY term_id ORDER BY commit_seq), -1) <> commit_seq + 1",
 )(lambda spark, d: changes.removals(changes.episodes(changes.presence_of_state(star.state(spark, d))), star.numbered(spark, d)).select("term_id", F.col("vidx").alias("commit_seq")))
 query("term_born", f"WITH {STATE} SELECT term_id, min(commit_seq) AS commit_seq, count(*) AS n_clauses FROM (SELECT *, min(commit_seq) OVER (PARTITION BY term_id) AS b FROM state) WHERE commit_seq = b GROUP BY term_id")(
-    lambda spark, d: changes.good_changes(changes.episodes(changes.presence_of_state(star.state(spark, d)))).filter("before is null and ep = 1").select("term_id", F.col("vidx").alias("commit_seq"), F.size("clauses").cast("long").alias("n_clauses"))
+    lambda spark, d: changes.good_changes(changes.episodes(changes.presence_of_state(star.state(spark, d)).withColumn("n_clauses", F.expr("aggregate(clauses, 0L, (a, x) -> a + x.n)")).drop("clauses"))).filter("before is null and ep = 1").select("term_id", F.col("vidx").alias("commit_seq"), "n_clauses")
 )
 query("build_window", f"WITH {STATE} SELECT commit_seq, count(*) AS n FROM state WHERE commit_seq > (SELECT max(commit_seq) FROM state) - 10 GROUP BY 1")(
     lambda spark, d: changes.last_versions(star.commits(spark, d), 10).select("commit_seq").join(star.state(spark, d), "commit_seq").groupBy("commit_seq").agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,8 @@
 """Change detection: snapshots, events and skipped rows from the presence of entities in versions.
 
-Everything is a window or an aggregation by entity, so one exchange by term_id serves all of it; no
-chunk has to be seeded with the state before it.
+Everything is a window or an aggregation by entity; no chunk has to be seeded with the state before it.
+Windows carry a hash and a number a version. Clauses are counted (predicate, value, n) and joined back by
+entity and version for the rows that changed, so an entity that holds much of a table is spread over its versions.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators.stanzas import clauses_of, content_hash, is_obsolete, name_of, parse_error, stanzas
+from strataframe.operators.stanzas import clauses_of, content_hash, counted_hash, expanded, is_obsolete, name_of, once_each, parse_error, stanzas
 
 
 def signed_delta(rows: DataFrame, keys: list[str], sign: str = "sign") -> DataFrame:
@@ -36,9 +37,10 @@ def state_delta(state: DataFrame) -> DataFrame:
 
 
 def presence_of_state(state: DataFrame) -> DataFrame:
-    """(term_id, vidx, raw, ok, clauses, content_hash) of a state table."""
-    grouped = state.groupBy("term_id", F.col("commit_seq").alias("vidx")).agg(F.array_sort(F.collect_list(F.struct("predicate", "value"))).alias("clauses"))
-    hashed = grouped.withColumn("content_hash", content_hash(F.col("clauses")))
+    """(term_id, vidx, raw, ok, clauses, content_hash, error) of a state table; clauses are counted before they are gathered."""
+    counted = state.groupBy("term_id", F.col("commit_seq").alias("vidx"), "predicate", "value").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    grouped = counted.groupBy("term_id", "vidx").agg(F.array_sort(F.collect_list(F.struct("predicate", "value", "n"))).alias("clauses"))
+    hashed = grouped.withColumn("content_hash", counted_hash(F.col("clauses")))
     return hashed.select("term_id", "vidx", F.col("content_hash").alias("raw"), F.lit(True).alias("ok"), "clauses", "content_hash", F.lit(None).cast("string").alias("error"))
 
 
@@ -58,23 +60,23 @@ def episodes(presence: DataFrame) -> DataFrame:
 
 
 def good_changes(marked: DataFrame) -> DataFrame:
-    """Rows whose content differs from the last good one of their stretch, with that as ``before`` (null: none)."""
+    """Rows whose content differs from the last good one of their stretch, with its vidx as ``before`` (null: none)."""
     w = Window.partitionBy("term_id", "ep").orderBy("vidx")
     good = marked.filter("ok and changed")
-    told = good.withColumn("before", F.lag("clauses").over(w)).withColumn("__hash", F.lag("content_hash").over(w))
+    told = good.withColumn("before", F.lag("vidx").over(w)).withColumn("__hash", F.lag("content_hash").over(w))
     return told.filter("__hash is null or __hash <> content_hash").drop("__hash")
 
 
 def removals(marked: DataFrame, versions: DataFrame) -> DataFrame:
-    """(term_id, vidx, clauses): the last good clauses of a stretch, at the first version after it.
+    """(term_id, vidx, before): the version of a stretch's last good clauses, at the first version after it.
 
     A stretch without any good row has nothing to take away; one that lasts to the end isn't over.
     """
     ended = marked.groupBy("term_id", "ep").agg(
         (F.max("vidx") + 1).alias("vidx"),
-        F.max_by(F.when(F.col("ok") & F.col("changed"), F.col("clauses")), F.when(F.col("ok") & F.col("changed"), F.col("vidx"))).alias("clauses"),
+        F.max(F.when(F.col("ok") & F.col("changed"), F.col("vidx"))).alias("before"),
     )
-    return ended.filter(F.col("clauses").isNotNull() & (F.col("vidx") <= versions.agg(F.max("vidx")).scalar())).select("term_id", "vidx", "clauses")
+    return ended.filter(F.col("before").isNotNull() & (F.col("vidx") <= versions.agg(F.max("vidx")).scalar())).select("term_id", "vidx", "before")
 
 
 def change_tables(presence: DataFrame, versions: DataFrame, name_predicate: str = "name", obsolete: tuple[str, str] = ("is_obsolete", "true")) -> dict[str, DataFrame]:
@@ -83,19 +85,20 @@ def change_tables(presence: DataFrame, versions: DataFrame, name_predicate: str
     vidx numbers the readable versions densely, so a commit whose content is missing ends no stretch. Removal
     writes events and no snapshot.
     """
-    marked = episodes(presence)
+    marked = episodes(presence.drop("clauses"))
     good = good_changes(marked)
-    snapshots = good.join(versions, "vidx").select(
+    held = presence.filter("clauses is not null").select("term_id", F.col("vidx").alias("at"), "clauses")
+    snapshots = good.withColumnRenamed("vidx", "at").join(held, ["term_id", "at"]).join(versions.withColumnRenamed("vidx", "at"), "at").select(
         "term_id", "commit_seq", "sha", name_of(F.col("clauses"), name_predicate).alias("name"),
-        is_obsolete(F.col("clauses"), *obsolete).alias("is_obsolete"), "content_hash", "clauses",
+        is_obsolete(F.col("clauses"), *obsolete).alias("is_obsolete"), "content_hash", expanded(F.col("clauses")).alias("clauses"),
     )
     gone = removals(marked, versions)
     sides = (
-        good.select("term_id", "vidx", F.explode("clauses").alias("c"), F.lit(1).alias("sign"))
-        .unionByName(good.select("term_id", "vidx", F.explode("before").alias("c"), F.lit(-1).alias("sign")))
-        .unionByName(gone.select("term_id", "vidx", F.explode("clauses").alias("c"), F.lit(-1).alias("sign")))
+        good.select("term_id", "vidx", F.col("vidx").alias("at"), F.lit(1).alias("sign"))
+        .unionByName(good.filter("before is not null").select("term_id", "vidx", F.col("before").alias("at"), F.lit(-1).alias("sign")))
+        .unionByName(gone.select("term_id", "vidx", F.col("before").alias("at"), F.lit(-1).alias("sign")))
     )
-    flat = sides.select("term_id", "vidx", F.col("c.predicate").alias("predicate"), F.col("c.value").alias("value"), "sign")
+    flat = sides.join(held, ["term_id", "at"]).select("term_id", "vidx", "sign", F.explode("clauses").alias("c")).select("term_id", "vidx", F.col("c.predicate").alias("predicate"), F.col("c.value").alias("value"), (F.col("sign") * F.col("c.n")).alias("sign"))
     delta = signed_delta(flat, ["term_id", "vidx", "predicate", "value"])
     events = delta.join(versions, "vidx").select("term_id", "commit_seq", "sha", "predicate", "value", "operation")
     skipped = marked.filter("changed and not ok").join(versions, "vidx").select("commit_seq", "sha", "term_id", "error")
@@ -130,7 +133,7 @@ def presence_of_documents(versions: DataFrame, numbered: DataFrame) -> DataFrame
     parsed = found.join(fresh, ["term_id", "vidx", "pos"]).select("term_id", "vidx", error.alias("error"), clauses_of(F.col("stanza")).alias("clauses"))
     parsed = parsed.select("term_id", "vidx", "error", F.when(F.col("error").isNull(), F.col("clauses")).alias("clauses"))
     return seen.join(parsed, ["term_id", "vidx"], "left").select(
-        "term_id", "vidx", "raw", F.col("error").isNull().alias("ok"), "clauses", content_hash(F.col("clauses")).alias("content_hash"), "error"
+        "term_id", "vidx", "raw", F.col("error").isNull().alias("ok"), once_each(F.col("clauses")).alias("clauses"), content_hash(F.col("clauses")).alias("content_hash"), "error"
     )
 
 
@@ -151,10 +154,12 @@ HEADS = "term_id string, vidx int, raw string, ok boolean, clauses array<struct<
 
 def heads_of(presence: DataFrame, last: int) -> DataFrame:
     """What a later build has to know of the entities present in version ``last``: raw hash, whether it could be read, last good clauses."""
-    marked = episodes(presence)
-    good = F.when(F.col("ok") & F.col("changed"), F.struct("clauses", "content_hash"))
-    by_stretch = marked.groupBy("term_id", "ep").agg(F.max("vidx").alias("vidx"), F.max_by(F.struct("raw", "ok"), "vidx").alias("r"), F.max_by(good, F.when(good.isNotNull(), F.col("vidx"))).alias("g"))
-    return by_stretch.filter(F.col("vidx") == last).select("term_id", "vidx", "r.raw", "r.ok", "g.clauses", "g.content_hash")
+    marked = episodes(presence.drop("clauses"))
+    good = F.when(F.col("ok") & F.col("changed"), F.struct(F.col("vidx").alias("at"), "content_hash"))
+    by_stretch = marked.groupBy("term_id", "ep").agg(F.max("vidx").alias("vidx"), F.max_by(F.struct("raw", "ok"), "vidx").alias("r"), F.max(good).alias("g"))
+    held = presence.filter("clauses is not null").select("term_id", F.col("vidx").alias("at"), "clauses")
+    heads = by_stretch.filter(F.col("vidx") == last).select("term_id", "vidx", "r.raw", "r.ok", "g.at", "g.content_hash").join(held, ["term_id", "at"], "left")
+    return heads.select("term_id", "vidx", "raw", "ok", expanded(F.col("clauses")).alias("clauses"), "content_hash")
 
 
 def seeded(presence: DataFrame, heads: DataFrame) -> DataFrame:
@@ -164,6 +169,7 @@ def seeded(presence: DataFrame, heads: DataFrame) -> DataFrame:
     holds the last good clauses.
     """
     none = F.lit(None).cast("string").alias("error")
+    heads = heads.withColumn("clauses", once_each(F.col("clauses")))
     last = heads.select("term_id", "vidx", "raw", "ok", "clauses", "content_hash", none)
     failed = heads.filter("not ok and clauses is not null").select("term_id", (F.col("vidx") - 1).alias("vidx"), F.lit("seed").alias("raw"), F.lit(True).alias("ok"), "clauses", "content_hash", none)
     return presence.unionByName(last).unionByName(failed)

@@ -77,11 +77,12 @@ class History:
         shots = self.snapshots.filter(F.col("commit_seq") <= seq)
         if term_id is not None:
             shots = shots.filter(F.col("term_id") == term_id)
-        latest = shots.groupBy("term_id").agg(F.max_by("clauses", "commit_seq").alias("clauses"), F.max("commit_seq").alias("at"))
+        latest = shots.groupBy("term_id").agg(F.max("commit_seq").alias("at"))
         if strict:
             # after the snapshot an entity only loses clauses by being removed
             lost = self.events.filter((F.col("commit_seq") <= seq) & (F.col("operation") == "remove")).groupBy("term_id").agg(F.max("commit_seq").alias("lost"))
             latest = latest.join(lost, "term_id", "left").filter("lost is null or lost <= at")
+        latest = latest.join(shots.select("term_id", F.col("commit_seq").alias("at"), "clauses"), ["term_id", "at"])
         return latest.select("term_id", F.explode("clauses").alias("c")).select("term_id", "c.predicate", "c.value").orderBy("term_id", "predicate", "value")
 
     def milestones(self, obsolete: tuple[str, str] = ("is_obsolete", "true"), replaced: str = "replaced_by") -> DataFrame:

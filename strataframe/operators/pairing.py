@@ -1,7 +1,7 @@
 """Edits out of removed and added clauses, and what a search really hits.
 
 Pairing is sequential within the changes of one predicate of an entity in one commit, so it runs in Python, on
-both sides as Spark has gathered and sorted them (a group is a part of one entity). Groups without both a removal
+both sides as Spark has counted, gathered and sorted them: a row a distinct value, however often it occurs. Groups without both a removal
 and an addition, which are most, never reach Python.
 """
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.functions.clauses import delta_matches, edit_kind, edit_lines, pair
+from strataframe.functions.clauses import delta_matches, edit_kind, edit_lines, pair_counted
 
 OPS = "term_id string, commit_seq int, predicate string, kind string, before string, after string"
 GROUP = ["term_id", "commit_seq", "predicate"]
@@ -22,28 +22,33 @@ def pair_changes(changes: DataFrame, least: float = 0.5) -> DataFrame:
 
     No changes: no rows. Nulls among the keys form groups of their own; null values count as empty.
     """
-    side = lambda x: F.sort_array(F.collect_list(F.when(F.col("operation") == x, F.coalesce("value", F.lit(""))))).alias(x)
-    groups = changes.groupBy(*GROUP).agg(side("remove"), side("add"))
+    counted = changes.groupBy(*GROUP, F.coalesce("value", F.lit("")).alias("value"), "operation").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    side = lambda x: F.sort_array(F.collect_list(F.when(F.col("operation") == x, F.struct("value", "n")))).alias(x)
+    groups = counted.groupBy(*GROUP).agg(side("remove"), side("add"))
     none = F.lit(None).cast("string")
-    one = lambda kind, before, after: F.struct(F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"))
-    ops = F.concat(F.transform("remove", lambda x: one("remove", x, none)), F.transform("add", lambda x: one("add", none, x)))
+    one = lambda kind, before, after, n: F.struct(F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"), n.alias("n"))
+    ops = F.concat(F.transform("remove", lambda x: one("remove", x["value"], none, x["n"])), F.transform("add", lambda x: one("add", none, x["value"], x["n"])))
     alone = groups.filter("size(remove) = 0 or size(add) = 0").select(*GROUP, F.explode(ops).alias("o")).select(*GROUP, "o.*")
 
     def run(batches):
         for b in batches:
             out = []
             for *key, old, new in zip(*(b.column(c).to_pylist() for c in (*GROUP, "remove", "add"))):
-                pairs = pair(key[2], old, new, least)
-                left, right = {i for i, _ in pairs}, {j for _, j in pairs}
-                out += [(*key, "edit", old[i], new[j]) for i, j in pairs]
-                out += [(*key, "remove", x, None) for i, x in enumerate(old) if i not in left]
-                out += [(*key, "add", None, x) for j, x in enumerate(new) if j not in right]
+                old, new = ([(x["value"], x["n"]) for x in side] for side in (old, new))
+                pairs = pair_counted(key[2], old, new, least)
+                left, right = [n for _, n in old], [n for _, n in new]
+                for i, j, n in pairs:
+                    left[i], right[j] = left[i] - n, right[j] - n
+                out += [(*key, "edit", old[i][0], new[j][0], n) for i, j, n in pairs]
+                out += [(*key, "remove", x, None, n) for (x, _), n in zip(old, left) if n]
+                out += [(*key, "add", None, x, n) for (x, _), n in zip(new, right) if n]
             if out:
-                kinds = (pa.string(), pa.int32(), *[pa.string()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[*GROUP, "kind", "before", "after"])
+                kinds = (pa.string(), pa.int32(), *[pa.string()] * 4, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[*GROUP, "kind", "before", "after", "n"])
 
     both = groups.filter("size(remove) > 0 and size(add) > 0").select(*GROUP, "remove", "add")
-    return alone.unionByName(both.mapInArrow(run, OPS))
+    made = alone.unionByName(both.mapInArrow(run, OPS + ", n int"))
+    return made.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "__n")
 
 
 def in_order(ops: DataFrame) -> DataFrame:

@@ -62,6 +62,22 @@ def content_hash(clauses: Column) -> Column:
     return F.sha1(F.array_join(parts, ""))
 
 
+def once_each(clauses: Column) -> Column:
+    """(predicate, value, n) of plain clauses; what repeats stays repeated."""
+    return F.transform(clauses, lambda x: F.struct(x["predicate"].alias("predicate"), x["value"].alias("value"), F.lit(1).alias("n")))
+
+
+def expanded(counted: Column) -> Column:
+    """Clauses as often as their ``n`` says, sorted."""
+    return F.flatten(F.transform(F.array_sort(counted), lambda x: F.array_repeat(F.struct(x["predicate"].alias("predicate"), x["value"].alias("value")), x["n"])))
+
+
+def counted_hash(counted: Column) -> Column:
+    """``content_hash`` of the expanded clauses, without expanding them."""
+    parts = F.transform(F.array_sort(counted), lambda x: F.repeat(F.concat(x["predicate"], F.lit("\0"), x["value"], F.lit("\0")), x["n"]))
+    return F.sha1(F.array_join(parts, ""))
+
+
 def name_of(clauses: Column, predicate: str = "name") -> Column:
     return F.try_element_at(F.filter(clauses, lambda x: x["predicate"] == predicate), F.lit(1))["value"]
 

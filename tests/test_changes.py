@@ -167,3 +167,18 @@ def test_of_repeated_ids_the_last_part_counts(spark):
     parts = [(0, "s0", p, document({"X:1": [f"name: {v}"]})) for p, v in (("b", 2), ("a", 1))]
     made = changes.build(spark.createDataFrame(parts, "commit_seq int, sha string, part string, content string"))
     assert rows(made["events"], *EVENT) == [("X:1", 0, "name", "2", "add")]
+
+
+def test_clauses_are_counted_and_kept_out_of_the_windows(spark):
+    state = spark.createDataFrame([("U", 0, "p", "a")] * 40 + [("U", 0, "p", "b")] + [("U", 1, "p", "a")] * 40 + [("U", 2, "p", "a")] * 39, "term_id string, commit_seq int, predicate string, value string")
+    presence = changes.presence_of_state(state)
+    assert presence.agg(F.max(F.size("clauses"))).first()[0] == 2
+    assert rows(presence, "vidx", "content_hash") == rows(state.groupBy("commit_seq").agg(stanzas.content_hash(F.collect_list(F.struct("predicate", "value"))).alias("h")), "commit_seq", "h")
+    versions = spark.createDataFrame([(i, f"s{i}", i) for i in range(4)], "commit_seq int, sha string, vidx int")
+    made = changes.change_tables(presence, versions)
+    got = Counter(tuple(r) for r in made["events"].select(*EVENT).collect())
+    assert got == {("U", 0, "p", "a", "add"): 40, ("U", 0, "p", "b", "add"): 1, ("U", 1, "p", "b", "remove"): 1, ("U", 2, "p", "a", "remove"): 1, ("U", 3, "p", "a", "remove"): 39}
+    assert rows(made["term_snapshots"].select("commit_seq", F.size("clauses").alias("n")), "commit_seq", "n") == [(0, 41), (1, 40), (2, 39)]
+    for name in ("events", "term_snapshots"):
+        plan = made[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Window [" in x and "clauses" in x]
