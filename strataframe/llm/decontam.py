@@ -7,8 +7,8 @@ overlap by the longest item, so an item that a document holds lies whole in one
 distinct words are the query. Impacts are divided by the item's score for its own text, which makes scores
 shares of that and the threshold one number. The block maxima of a passage's words add up to a bound for
 each block of items, in one product a passage; blocks that stay under the threshold are skipped, and in
-the others WAND skips every item that its words' bounds can't lift to it. What is retrieved
-is verified by five-word shingles of question and answer.
+the others WAND skips every item that its words' bounds can't lift to it. What a passage retrieves
+is verified by five-word shingles of question and answer over the whole document, so the two may stand far apart.
 
 A narrow map over the documents: no shuffle, and the documents' other columns can ride along.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -129,11 +130,14 @@ class Index:
         return found
 
     def matches(self, text: bytes, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
-        """item number -> (score, question overlap, answer overlap), the best over the text's passages."""
+        """item number -> (score, question overlap, answer overlap): the best passage's score, the shares of the whole text.
+
+        One passage has to reach ``threshold``; from then on the item's shingles count wherever they stand.
+        """
         words = words_of(text)
-        n, out = len(words), {}
+        n, scored = len(words), {}
         if not n or not self.items:
-            return out
+            return {}
         ids = np.array([self.terms.get(w, -1) for w in words], np.int64)
         at = np.flatnonzero(ids >= 0)
         ids = ids[at]
@@ -154,18 +158,26 @@ class Index:
             if bounds.max() + SLACK < threshold:
                 continue
             terms = ids[a:b][new].tolist()
-            own, seen = words[start : start + length], {}
             for block in np.flatnonzero(bounds + SLACK >= threshold).tolist():
                 for item, score in self.retrieve(terms, block, threshold):
-                    shares, hits, total = [], 0, 0
-                    for needed in self.needed[item]:
-                        have = sum(s in seen.setdefault(len(s), {tuple(own[i : i + len(s)]) for i in range(len(own) - len(s) + 1)}) for s in needed)
-                        hits, total = hits + have, total + len(needed)
-                        shares.append(have / len(needed) if needed else 1.0)
-                    if total and hits >= overlap * total and min(shares) > 0:
-                        best = out.get(item)
-                        if best is None or (sum(shares), score) > (best[1] + best[2], best[0]):
-                            out[item] = (score, *shares)
+                    scored[item] = max(score, scored.get(item, 0.0))
+        return self.verified(words, scored, overlap)
+
+    def verified(self, words: list[bytes], scored: dict[int, float], overlap: float) -> dict[int, tuple[float, float, float]]:
+        """Those of the retrieved items that the words hold; only shingles of these items are kept while the words pass."""
+        wanted: dict[int, set] = {}
+        for item in scored:
+            for s in set().union(*self.needed[item]):
+                wanted.setdefault(len(s), set()).add(s)
+        held, out = set(), {}
+        for size, own in wanted.items():
+            held |= own.intersection(zip(*(islice(words, k, None) for k in range(size))))
+        for item, score in scored.items():
+            have = [len(p & held) for p in self.needed[item]]
+            total = sum(map(len, self.needed[item]))
+            shares = [h / len(p) if p else 1.0 for h, p in zip(have, self.needed[item])]
+            if total and sum(have) >= overlap * total and min(shares) > 0:
+                out[item] = (score, *shares)
         return out
 
 

@@ -303,3 +303,12 @@ def test_wand_retrieves_all_above_the_threshold():
             exactly[i] += x
     got = {i for b in range(15) for i, _ in index.retrieve(query, b, 0.5)}
     assert got == {i for i, s in exactly.items() if s >= 0.5 - 1e-9} >= {3, 17, 40}
+
+
+def test_question_and_answer_far_apart_are_found(spark):
+    question, answer = (" ".join(words(prose(k, n))) for k, n in ((80, 30), (81, 10)))
+    items = [(1, f"{question}\n{answer}"), (2, prose(83, 12))]
+    docs = [(1, f"{question} {prose(90, 900)} {answer}", "a"), (2, f"{answer} {prose(91, 900)} {question}", "a"), (3, f"{question} {prose(92, 900)}", "a")]
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == decontam.brute_force([(d, t) for d, t, _ in docs], items) == {(1, 1), (2, 1)}
+    assert all((r.question_overlap, r.answer_overlap) == (1, 1) for r in got.values())
