@@ -19,6 +19,7 @@ import math
 from bisect import bisect_left
 from collections import Counter
 from itertools import islice
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +191,9 @@ def index_shards(benchmark: DataFrame):
         return
     shards = max(1, math.ceil(n / SHARD_ITEMS), math.ceil(total / SHARD_BYTES))
     numbered = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    folded = lambda: F.filter(F.split(F.lower(F.regexp_replace(F.decode("text", "UTF-8"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " ")), " "), lambda w: w != "")
+    # as words_of: A-Z alone are folded
+    plain = F.translate(F.regexp_replace(F.decode("text", "UTF-8"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " "), ascii_uppercase, ascii_lowercase)
+    folded = lambda: F.filter(F.split(plain, " "), lambda w: w != "")
     mean = items.agg(F.avg(F.size(folded()))).first()[0] or 0.0
     for k in range(shards):
         rows = [(r.item_id, bytes(r.text)) for r in numbered.filter(F.col("shard") == k).orderBy("item_id", "text").collect()]

@@ -312,3 +312,14 @@ def test_question_and_answer_far_apart_are_found(spark):
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got) == decontam.brute_force([(d, t) for d, t, _ in docs], items) == {(1, 1), (2, 1)}
     assert all((r.question_overlap, r.answer_overlap) == (1, 1) for r in got.values())
+
+
+def test_scores_of_one_shard_and_of_several_are_the_same(spark, monkeypatch):
+    plain = lambda k: " ".join(words(prose(k, 30)))
+    items = [(i, f"{plain(200 + i)}\n{plain(300 + i)} PLAIN École") for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(i, t.removesuffix(" École"), "a") for i, t in items])
+    get = lambda: {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, benchmark).collect()}
+    one = get()
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 2)
+    assert get() == pytest.approx(one, abs=1e-9) and {(i, i) for i, _ in items} <= set(one)
