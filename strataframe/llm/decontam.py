@@ -36,6 +36,8 @@ PASSAGE = 128
 #: Items of a block: few, as the bound of a block is what keeps passages from being scored.
 BLOCK = 4
 SHARD_ITEMS, SHARD_BYTES = 1024, 32 << 20
+#: Terms whose block maxima are gathered at once.
+TERMS_AT_ONCE = 4096
 #: For rounding in sums of impacts.
 SLACK = 1e-5
 #: ASCII punctuation counts as blank, A-Z as a-z.
@@ -89,22 +91,41 @@ class Index:
                 self.impacts[k].append(x / own)
         self.tops = None
 
-    def block_tops(self) -> np.ndarray:
-        """(terms, blocks): made where it is used, as it is larger than what it is made from."""
+    def block_tops(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each term's entries start, their blocks and largest impacts: as many as the postings at most."""
         if self.tops is None:
-            self.tops = np.zeros((len(self.items), -(-len(self.ids) // BLOCK)), np.float32)
-            for t, (items, impacts) in enumerate(zip(self.items, self.impacts)):
-                np.maximum.at(self.tops[t], np.array(items) // BLOCK, np.array(impacts, np.float32))
+            starts, blocks, tops = [0], [], []
+            for items, impacts in zip(self.items, self.impacts):
+                own: dict[int, float] = {}
+                for i, x in zip(items, impacts):
+                    own[i // BLOCK] = max(x, own.get(i // BLOCK, 0.0))
+                blocks.append(np.fromiter(own.keys(), np.int32, len(own)))
+                tops.append(np.fromiter(own.values(), np.float64, len(own)))
+                starts.append(starts[-1] + len(own))
+            self.tops = (np.array(starts), np.concatenate(blocks), np.concatenate(tops))
         return self.tops
 
+    def bounds(self, terms: np.ndarray) -> np.ndarray:
+        """What the items of each block can score at most for the distinct ``terms``; so many terms at a time."""
+        starts, blocks, tops = self.block_tops()
+        n = -(-len(self.ids) // BLOCK)
+        out = np.zeros(n)
+        for k in range(0, len(terms), TERMS_AT_ONCE):
+            low = starts[terms[k : k + TERMS_AT_ONCE]]
+            size = starts[terms[k : k + TERMS_AT_ONCE] + 1] - low
+            at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+            out += np.bincount(blocks[at], tops[at], n)
+        return out
+
     def retrieve(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """WAND within a block: (item, score) of its items that score ``threshold`` or more for the distinct ``terms``."""
-        low, high, tops = block * BLOCK, (block + 1) * BLOCK, self.block_tops()
+        low, high = block * BLOCK, (block + 1) * BLOCK
         cursors, found = [], []
         for t in terms:
             at = bisect_left(self.items[t], low)
             if at < len(self.items[t]) and self.items[t][at] < high:
-                cursors.append([self.items[t][at], t, at, float(tops[t, block])])
+                end = bisect_left(self.items[t], high, at)
+                cursors.append([self.items[t][at], t, at, max(self.impacts[t][at:end])])
         while cursors:
             cursors.sort()
             bound, item = 0.0, None
@@ -150,12 +171,11 @@ class Index:
         before = np.full(len(ids), -1)
         again = ids[order[1:]] == ids[order[:-1]]
         before[order[1:][again]] = at[order[:-1][again]]
-        tops = self.block_tops()[ids]
         for start, a, b in zip(starts.tolist(), first, last):
             if a == b:
                 continue
             new = before[a:b] < start
-            bounds = new.astype(np.float32) @ tops[a:b]
+            bounds = self.bounds(ids[a:b][new])
             if bounds.max() + SLACK < threshold:
                 continue
             terms = ids[a:b][new].tolist()

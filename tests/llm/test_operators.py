@@ -323,3 +323,10 @@ def test_scores_of_one_shard_and_of_several_are_the_same(spark, monkeypatch):
     one = get()
     monkeypatch.setattr(decontam, "SHARD_ITEMS", 2)
     assert get() == pytest.approx(one, abs=1e-9) and {(i, i) for i, _ in items} <= set(one)
+
+
+def test_block_maxima_are_held_by_posting():
+    items = [(i, " ".join(f"word{i}x{k}" for k in range(40)).encode()) for i in range(200)]
+    index = decontam.Index(items, 200, 40.0, Counter(w for _, t in items for w in decontam.words_of(t)))
+    assert sum(x.nbytes for x in index.block_tops()) < 24 * sum(map(len, index.items)) + 64
+    assert sorted(index.matches(b" ".join(t for _, t in items))) == list(range(200))
