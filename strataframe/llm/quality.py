@@ -87,17 +87,20 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
         return None
     prior = min(0.99, max(0.01, ones / n))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), utf8(docs).alias("text"))
-    ids = texts.select("doc_id").filter("doc_id is not null")
+    ids = texts.select("doc_id").filter("doc_id is not null").distinct()
     # both samples are bounded by their parameters, so their ids are broadcast
     trusted = sample(seen.filter("quality = 1").select("doc_id"), max_positives, 1).withColumn("set", F.lit(1))
-    plain = sample(ids, max_unlabelled, 2).distinct().withColumn("set", F.lit(0))
+    plain = sample(ids, max_unlabelled, 2).withColumn("set", F.lit(0))
 
     def run(batches):
         for b in batches:
             x = [features(t).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(x, pa.list_(pa.float32()))], names=["set", "x"])
 
-    rows = texts.join(F.broadcast(trusted.unionByName(plain)), "doc_id").select("set", "text").mapInArrow(run, "set int, x array<float>").collect()
+    # one row an id and set: where an id repeats, the one whose text has the least hash
+    own = texts.join(F.broadcast(trusted.unionByName(plain)), "doc_id").withColumn("hash", F.xxhash64("text"))
+    least = own.groupBy("doc_id", "set").agg(F.min_by("text", "hash").alias("text"))
+    rows = least.select("set", "text").mapInArrow(run, "set int, x array<float>").collect()
     p, u = (np.array([r.x for r in rows if r.set == k], np.float64) for k in (1, 0))
     return fit_nnpu(p, u, prior) if len(p) and len(u) else None
 

@@ -72,3 +72,12 @@ def test_odd_labels_and_texts(spark, labels):
     assert quality.keep_good(docs, table).columns == docs.columns
     empty = frame(spark, [])
     assert quality.scores(empty, quality.train(empty, table)).count() == 0 == toxicity.probabilities(empty, toxicity.train(empty, table)).count()
+
+
+def test_a_repeated_id_takes_one_place_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, prior: seen.append((len(p), len(u))))
+    docs = [(5, f"{prose(5, 20)} {i}", "a") for i in range(60)] + [(i, prose(i, 20), "a") for i in range(100, 120)]
+    labels = spark.createDataFrame([(i, 1) for i in (5, *range(100, 110))], "doc_id long, quality int")
+    quality.train(frame(spark, docs), labels, max_unlabelled=21)
+    assert seen[0][1] == 21 and seen[0][0] <= 11
