@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.llm.common import NO_ID, id_key, row_key, stored, utf8
@@ -212,7 +212,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Da
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, row, fp, component_id of each row: the least doc_id that links of fingerprints lead to.
+    """doc_id, row, fp, component, component_id of each row: the group and its least doc_id, that links of fingerprints lead to.
 
     Null and blank texts have fingerprint zero and link like any other. Null doc_ids never name a group that
     has another id. Rows that repeat, and rows of one fingerprint, are in one group. No rows: no rows.
@@ -222,16 +222,19 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     members = connected_components(near_links(nodes.select("fp"), radius))
     named = nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    return prints.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their group, with all their columns."""
+    """One row of each group of ``docs``, with all its columns: of the least doc_id, null ids last, then of the least hash."""
     groups = near_groups(docs, radius)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__sf_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("__sf_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")
+    stay = groups.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__sf_row"), F.col("first.id").alias("__sf_id"))
     own = docs.withColumns({"__sf_own": row_key(docs), "__sf_own_id": id_key(docs)})
     kept = own.join(stay, (F.col("__sf_own") == F.col("__sf_row")) & (F.col("__sf_own_id") == F.col("__sf_id")), "left_semi")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    # rows that repeat id and text are told apart by nothing
+    repeats = Window.partitionBy("__sf_own", "__sf_own_id").orderBy("__sf_own")
+    return kept.withColumn("__sf_n", F.row_number().over(repeats)).filter("__sf_n = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:

@@ -325,6 +325,14 @@ def test_scores_of_one_shard_and_of_several_are_the_same(spark, monkeypatch):
     assert get() == pytest.approx(one, abs=1e-9) and {(i, i) for i, _ in items} <= set(one)
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    base, other = prose(60, 300), prose(61, 300)
+    docs = [(None, base, "a"), (None, base + "\n", "a"), (7, other, "a"), (7, other + "\n", "a"), (7, other, "a"), (8, other, "a"), (None, other, "a")]
+    kept = simhash.near_dedup(frame(spark, docs))
+    assert kept.columns == frame(spark).columns and sorted(str(r.doc_id) for r in kept.collect()) == ["7", "None"]
+    assert [r.doc_id for r in simhash.near_dedup(frame(spark, [(None, base, "a"), (3, base, "a")])).collect()] == [3]
+
+
 def test_block_maxima_are_held_by_posting():
     items = [(i, " ".join(f"word{i}x{k}" for k in range(40)).encode()) for i in range(200)]
     index = decontam.Index(items, 200, 40.0, Counter(w for _, t in items for w in decontam.words_of(t)))
