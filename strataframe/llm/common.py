@@ -24,31 +24,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a local session without one gets a folder of its own; on a cluster that would be one that executors don't see.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="strataframe-")
-        sc.setCheckpointDir(named)
-        return named
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/strataframe/{name}-{uuid.uuid4().hex}"
+#: Folders of scratch tables that this session has opened and not dropped.
+_folders: list[tuple[SparkSession, str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage's result to the shared folder and go on from the written table.
+class Scratch:
+    """A folder of its own for the intermediate tables of one call."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/strataframe/{name}-{uuid.uuid4().hex}"
+        _folders.append((spark, self.root))
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a stage's result to the shared folder and go on from the written table.
+
+        Cuts the lineage in a way that survives lost executors, and keeps an expensive
+        stage from running once for each of its readers.
+        """
+        df.write.option("compression", "zstd").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        """Delete tables of the folder that nothing reads any more."""
+        for name in names:
+            _delete(self.spark, self.path(name))
 
-    Cuts the lineage in a way that survives lost executors, and keeps an expensive
-    stage from running once for each of its readers.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_mark() -> int:
+    return len(_folders)
+
+
+def drop_scratch(since: int = 0) -> None:
+    """Delete the scratch folders that were opened since a ``scratch_mark``, once what the calls returned has been
+    written or isn't needed: results are lazy and read their last scratch tables."""
+    while len(_folders) > since:
+        _delete(*_folders.pop())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -75,6 +108,16 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
 
 
+def one_of_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row of those that share the ``keys``: the one whose columns have the least hash.
+
+    Summed up before the shuffle, so a key that a third of the rows share leaves each task as one row.
+    """
+    rest = [f"`{c}`" for c in rows.columns if c not in keys]
+    least = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__sf_one"))
+    return least.select(*keys, "__sf_one.*")
+
+
 #: Stands for a null id where ids are keys: such rows are one document, smaller than all others.
 NO_ID = -(1 << 63)
 

@@ -13,10 +13,13 @@ collision of digests) are grouped anew by their text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import random
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from strataframe.llm.common import BLANKS, scratch_path, stored, text_of
+from strataframe.llm.common import BLANKS, Scratch, one_of_each, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -32,11 +35,11 @@ def normalised(docs: DataFrame) -> Column:
 def first_seen(manifest: DataFrame) -> DataFrame:
     """The stateful operator: per digest the row that stays and the number of rows so far.
 
-    ``manifest`` has digest, doc_id and locator and may be a stream or a batch; over a stream
-    the aggregation's state lives in the session's state store.
+    ``manifest`` has digest, doc_id, locator and, to tell rows apart that repeat both, n. It may be a stream or a
+    batch; over a stream the aggregation's state lives in the session's state store.
     """
     # A null id is larger than any other.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("locator").alias("locator"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *[c for c in ("doc_id", "locator", "n") if c in manifest.columns])
     return manifest.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
 
 
@@ -65,38 +68,47 @@ def run_stream(spark: SparkSession, source: DataFrame, state_path: str, out_path
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    schema = "digest binary, first struct<none:boolean,doc_id:bigint,locator:bigint>, group_size bigint, batch int"
+    schema = first_seen(source).schema.add("batch", IntegerType())
     touched = spark.read.schema(schema).option("basePath", out_path).parquet(out_path)
-    latest = touched.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("s")).select("digest", "s.first", "s.group_size")
-    # written, so that a join with it isn't bound to the aggregation's partitions and can be split where a digest is hot
-    return stored(latest, "exact-latest")
+    return touched.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("s")).select("digest", "s.first", "s.group_size")
+
 
+#: Micro-batches that a manifest is read in, at most, and their least number of files.
+BATCHES, FILES = 16, 64
 
-def decisions(docs: DataFrame, files_per_batch: int = 64) -> DataFrame:
+
+def decisions(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Per row: doc_id, locator, digest, keep_id, group_size, kept.
 
     Equal are texts that are identical once each run of blanks is one space; null counts as empty.
-    The smallest doc_id of a group stays (null ids come last). Rows that repeat id and
-    text are told apart by nothing: one of them stays. No rows: no rows.
+    The smallest doc_id of a group stays (null ids come last). Of rows that repeat id and
+    text one stays. No rows: no rows. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "exact")
     text = normalised(docs)
-    manifest = stored(
-        docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("locator")),
-        "exact-manifest",
+    # numbers that tell rows apart; they are written, so they stay what they are
+    n = F.monotonically_increasing_id().bitwiseXOR(F.lit(random.getrandbits(62)).cast("long")).alias("n")
+    manifest = scratch.stored(
+        docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("locator"), n), "manifest"
     )
-    path = manifest.inputFiles()
-    if not path:  # an empty table has no part files
+    files = manifest.inputFiles()
+    if not files:  # an empty table has no part files
         return manifest.select("doc_id", "locator", "digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    stream = spark.readStream.schema(manifest.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path[0].rpartition("/")[0])
-    state = run_stream(spark, stream, scratch_path(spark, "exact-state"), scratch_path(spark, "exact-out"))
-    seen = manifest.join(state, "digest").select("doc_id", "locator", "digest", F.col("first.doc_id").alias("keep_id"), F.col("first.locator").alias("keep_locator"), "group_size")
-    seen = stored(seen, "exact-seen")
-    alone = seen.filter("group_size = 1").select("doc_id", "locator", "digest", "keep_id", "group_size", F.lit(True).alias("kept"))
-    return alone.unionByName(verified(docs, seen.filter("group_size > 1")))
+    stream = spark.readStream.schema(manifest.schema).option("maxFilesPerTrigger", max(FILES, -(-len(files) // batches))).parquet(scratch.path("manifest"))
+    # written, so that the join with it isn't bound to the aggregation's partitions and can be split where a digest is hot
+    state = scratch.stored(run_stream(spark, stream, scratch.path("state"), scratch.path("out")), "latest")
+    seen = manifest.join(state, "digest").select("doc_id", "locator", "n", "digest", F.col("first.doc_id").alias("keep_id"), F.col("first.locator").alias("keep_locator"), F.col("first.n").alias("keep_n"), "group_size")
+    seen = scratch.stored(seen, "seen")
+    scratch.drop("manifest", "state", "out", "latest")
+    alone = seen.filter("group_size = 1").select(*DECIDED, F.lit(True).alias("kept"))
+    return alone.unionByName(verified(docs, seen.filter("group_size > 1"), scratch))
+
 
+DECIDED = ["doc_id", "locator", "digest", "keep_id", "group_size"]
 
-def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
+
+def verified(docs: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     """Compare the full text of every hit with the one behind its group's locator.
 
     Texts travel only for hits: the join's other side, the whole table, is shuffled once
@@ -105,10 +117,10 @@ def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """
     text = docs.select(docs["doc_id"].cast("long").alias("t_id"), F.xxhash64(text_of(docs)).alias("t_locator"), normalised(docs).alias("norm"))
     wanted = hits.select("doc_id", "locator").distinct()
-    texts = stored(
+    texts = scratch.stored(
         wanted.join(text, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("locator") == F.col("t_locator")))
         .groupBy("doc_id", "locator").agg(F.min("norm").alias("norm")),
-        "exact-texts",
+        "texts",
     )
     kept_texts = hits.select("keep_id", "keep_locator").distinct().join(
         texts.select(F.col("doc_id").alias("k_id"), F.col("locator").alias("k_loc"), F.col("norm").alias("kept_norm")),
@@ -116,36 +128,34 @@ def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
     )
     own = hits.join(texts.select(F.col("doc_id").alias("o_id"), F.col("locator").alias("o_loc"), "norm"), F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("locator") == F.col("o_loc"))).select(*hits.columns, "norm")
     # written, so that the join of a hot group's rows with the one text that stays can be split
-    kept = stored(kept_texts.select(F.col("keep_id").alias("j_id"), F.col("keep_locator").alias("j_loc"), "kept_norm"), "exact-kept")
+    kept = scratch.stored(kept_texts.select(F.col("keep_id").alias("j_id"), F.col("keep_locator").alias("j_loc"), "kept_norm"), "kept")
     pairs = own.join(kept, F.col("keep_id").eqNullSafe(F.col("j_id")) & (F.col("keep_locator") == F.col("j_loc")))
-    pairs = pairs.select("doc_id", "locator", "digest", "keep_id", "group_size", (F.col("norm") != F.col("kept_norm")).alias("differs"), F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other"))
-    pairs = stored(pairs, "exact-pairs")
-    clash = pairs.filter("differs")
-    ids = Window.partitionBy("digest", "doc_id").orderBy("locator")
-    same = pairs.filter("not differs")
+    other = F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other")
+    pairs = scratch.stored(pairs.select(*DECIDED, "n", "keep_n", other), "pairs")
+    scratch.drop("texts", "kept")
+    same, clash = pairs.filter("other is null"), pairs.filter("other is not null")
     if clash.isEmpty():
-        confirmed = same
-    else:  # as many rows less as the digest's rows differ
-        lost = clash.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
-        confirmed = same.join(lost, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0))).drop("lost")
-        anew = clash.groupBy("digest", "other").agg(F.min("doc_id").alias("new_id"), F.count(F.lit(1)).alias("new_size"))
-        more = clash.join(anew, ["digest", "other"]).select("doc_id", "locator", "digest", F.col("new_id").alias("keep_id"), F.col("new_size").alias("group_size"), "differs", "other")
-        confirmed = confirmed.unionByName(more)
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # only the rows that carry the staying id can repeat it
-    first = confirmed.filter(stays).withColumn("kept", F.row_number().over(ids) == 1)
-    rest = confirmed.filter(~stays).withColumn("kept", F.lit(False))
-    columns = ["doc_id", "locator", "digest", "keep_id", "group_size", "kept"]
-    return first.select(*columns).unionByName(rest.select(*columns))
+        return same.select(*DECIDED, (F.col("n") == F.col("keep_n")).alias("kept"))
+    # as many rows less as the digest's rows differ
+    lost = clash.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
+    less = same.join(lost, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator", "n")).alias("first")
+    anew = clash.groupBy("digest", "other").agg(first, F.count(F.lit(1)).alias("new_size"))
+    more = clash.join(anew, ["digest", "other"]).select("doc_id", "locator", "digest", F.col("first.doc_id").alias("keep_id"), F.col("new_size").alias("group_size"), (F.col("n") == F.col("first.n")).alias("kept"))
+    return less.select(*DECIDED, (F.col("n") == F.col("keep_n")).alias("kept")).unionByName(more)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    made = decisions(docs).filter("kept").select(F.col("doc_id").alias("__sf_id"), F.col("locator").alias("__sf_loc")).distinct()
-    keyed = docs.withColumn("__sf_own", F.xxhash64(text_of(docs)))
-    joined = keyed.join(made, keyed["doc_id"].eqNullSafe(F.col("__sf_id")) & (F.col("__sf_own") == F.col("__sf_loc")), "left_semi")
-    repeats = Window.partitionBy("doc_id", "__sf_own").orderBy("doc_id")
-    return joined.withColumn("__sf_n", F.row_number().over(repeats)).filter("__sf_n = 1").select(*[joined[f"`{c}`"] for c in docs.columns])
+    """One row of each group of equal texts, with all its columns: that of the smallest doc_id, null ids last.
+
+    Null counts as empty. Of rows that repeat id and text, the one whose other columns have the least hash
+    stays. No rows: no rows. Columns of any name ride along.
+    """
+    stay = decisions(docs).filter("kept").select(F.col("doc_id").alias("__sf_id"), F.col("locator").alias("__sf_loc")).distinct()
+    own = docs.withColumns({"__sf_own_id": docs["doc_id"].cast("long"), "__sf_own": F.xxhash64(text_of(docs))})
+    single = one_of_each(own, "__sf_own_id", "__sf_own")
+    kept = single.join(stay, F.col("__sf_own_id").eqNullSafe(F.col("__sf_id")) & (F.col("__sf_own") == F.col("__sf_loc")), "left_semi")
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_exact(docs: DataFrame) -> DataFrame:

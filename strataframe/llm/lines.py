@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import BLANK_CHARS, row_key, shuffle_partitions, stored, text_of
+from strataframe.llm.common import BLANK_CHARS, Scratch, id_key, row_key, shuffle_partitions, text_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,7 +126,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     rows = line_rows(docs, min_chars)
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last()]
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "row", "pos")
-    found = stored(dealt.mapInArrow(stream_runs(min_docs), FOUND), "line-runs")
+    found = Scratch(docs.sparkSession, "lines").stored(dealt.mapInArrow(stream_runs(min_docs), FOUND), "runs")
     notes = found.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("doc_id").alias("top"))
     notes = notes.filter(F.col("all_docs") >= min_docs)
     # two notes a partition at most
@@ -167,9 +167,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), row_key(docs).alias("key"))
-    marks = bitmaps.select(F.col("row").alias("key"), "n_bits", "n_dropped", "keep_bits")
-    return rows.join(marks, "key", "left")
+    """The texts with what their row of ``bitmaps`` says; by row hash and id, so that hashes that meet cost nothing."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), row_key(docs).alias("key"), id_key(docs).alias("id"))
+    marks = bitmaps.select(F.col("row").alias("key"), id_key(bitmaps).alias("id"), "n_bits", "n_dropped", "keep_bits")
+    return rows.join(marks, ["key", "id"], "left")
 
 
 def kept_text(text: str, n_bits: int, packed: bytes) -> str:

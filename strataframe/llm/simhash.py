@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import NO_ID, id_key, row_key, stored, utf8
+from strataframe.llm.common import NO_ID, Scratch, id_key, one_of_each, row_key, utf8
 from strataframe.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -217,8 +217,9 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Null and blank texts have fingerprint zero and link like any other. Null doc_ids never name a group that
     has another id. Rows that repeat, and rows of one fingerprint, are in one group. No rows: no rows.
     """
-    prints = stored(fingerprints(docs), "simhash-prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.stored(fingerprints(docs), "prints")
+    nodes = scratch.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     members = connected_components(near_links(nodes.select("fp"), radius))
     named = nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -226,15 +227,17 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of ``docs``, with all its columns: of the least doc_id, null ids last, then of the least hash."""
+    """One row of each group of ``docs``, with all its columns: of the least doc_id, null ids last, then of the least hash.
+
+    Groups are those of ``near_groups``: null and blank texts are one of them. Of rows that repeat id and text, the one
+    whose other columns have the least hash stays. No rows: no rows. Columns of any name ride along.
+    """
     groups = near_groups(docs, radius)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")
     stay = groups.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__sf_row"), F.col("first.id").alias("__sf_id"))
-    own = docs.withColumns({"__sf_own": row_key(docs), "__sf_own_id": id_key(docs)})
+    own = one_of_each(docs.withColumns({"__sf_own": row_key(docs), "__sf_own_id": id_key(docs)}), "__sf_own", "__sf_own_id")
     kept = own.join(stay, (F.col("__sf_own") == F.col("__sf_row")) & (F.col("__sf_own_id") == F.col("__sf_id")), "left_semi")
-    # rows that repeat id and text are told apart by nothing
-    repeats = Window.partitionBy("__sf_own", "__sf_own_id").orderBy("__sf_own")
-    return kept.withColumn("__sf_n", F.row_number().over(repeats)).filter("__sf_n = 1").select(*[f"`{c}`" for c in docs.columns])
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:

@@ -4,14 +4,15 @@ Broadcasting the automata of all shards to all documents would be work in the pr
 without a bound, so the shards are cut by anchor (see ``anchors``): copies of a 50-word window have the same
 anchor, so a document has to be streamed only through the automata of its own anchors.
 
-1. One Arrow pass emits a row per context: anchor, hash of its words, document, windows.
-2. A context whose hash an earlier document has is covered whole; no automaton is needed to know
-   that. The join is by (anchor, context), which AQE splits where one is hot.
-3. Anchors with several distinct contexts, the edges of copies, are the reference shards: the first
+1. One Arrow pass emits a row per context: anchor, digest of its words, document, windows.
+2. Equal contexts are combined: all places but those of the first document are covered, as the automaton
+   that holds the first would say of each. The join is by (anchor, context), which AQE splits where one is hot.
+3. Distinct contexts of one anchor, the edges of copies, are a reference shard: the first
    document of each context brings its words, and they are streamed in order of documents through the shard's
    suffix automaton, which then takes them in. Windows that end where the matching statistic is 50
    or more occur in an earlier document.
-4. Shards of more than ``SHARD`` contexts would fill a task; there the windows meet one by one, by hash.
+4. An anchor of more than ``SHARD`` distinct contexts is split by further k-grams (see ``matching``) into shards that
+   are small enough, and these go the same way.
 5. All spans of a document go back to it; its words outside of them are what is kept.
 
 Steps 3 and 5 read the words through one shuffle of the texts by row.
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm import anchors
-from strataframe.llm.common import NO_ID, id_key, row_key, stored, utf8
+from strataframe.llm.common import NO_ID, Scratch, id_key, row_key, utf8
+from strataframe.llm.matching import CONTEXTS, RANGES, repeated_windows, spans_of_rows
 
 WINDOW, GRAM = 50, 16
-#: Distinct contexts of an anchor up to which one task takes all of them.
+#: Distinct contexts of an anchor that one automaton takes; anchors of more are split.
 SHARD = 256
-CONTEXTS = "anchor long, context long, doc_id long, row long, first int, last int"
 
 
 def word_bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +42,17 @@ def word_bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def context_rows(parts, names: list[str]) -> pa.RecordBatch:
+    """parts: (anchors, digests, first, last, *values of the other columns: (name, type, value)) of each text."""
+    sizes = [len(p[0]) for p in parts]
+    at = pa.array(np.repeat(np.arange(len(parts)), sizes))
+    join = lambda i, kind: pa.array(np.concatenate([p[i] for p in parts]).astype(kind))
+    made = {"anchor": join(0, np.int64), "context": pa.array([d for p in parts for d in p[1]], pa.binary()), "first": join(2, np.int32), "last": join(3, np.int32)}
+    for k, (name, kind, _) in enumerate(parts[0][4:]):
+        made[name] = pa.array([p[4 + k][2] for p in parts], kind).take(at)
+    return pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
+
+
 def word_contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -48,20 +60,39 @@ def word_contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
             for text, doc, row in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("row").to_pylist()):
                 words = text.split()
                 if len(words) >= window:
-                    a, c, first, last = anchors.contexts(b" ".join(words), *word_bounds(words), window, gram)
-                    parts.append((a, c, doc, row, first, last))
+                    parts.append((*anchors.contexts(b" ".join(words), *word_bounds(words), window, gram), ("doc_id", pa.int64(), doc), ("row", pa.int64(), row)))
             if parts:
-                sizes = [len(p[0]) for p in parts]
-                at = np.repeat(np.arange(len(parts)), sizes)
-                join = lambda i, kind: pa.array(np.concatenate([p[i] for p in parts]).astype(kind))
-                yield pa.RecordBatch.from_arrays(
-                    [join(0, np.int64), join(1, np.int64), pa.array([p[2] for p in parts], pa.int64()).take(pa.array(at)), pa.array([p[3] for p in parts], pa.int64()).take(pa.array(at)), join(4, np.int32), join(5, np.int32)],
-                    names=["anchor", "context", "doc_id", "row", "first", "last"],
-                )
+                yield context_rows(parts, ["anchor", "context", "doc_id", "row", "first", "last"])
 
     return docs.mapInArrow(run, CONTEXTS)
 
 
+def split_contexts(bounds, window: int, gram: int):
+    """depth -> a map from contexts (anchor, context, doc_id, words) to the contexts within them, of so many k-grams (PARTS).
+
+    ``bounds`` gives where the elements of some bytes start and end.
+    """
+
+    def at_depth(depth: int):
+        def run(batches):
+            for b in batches:
+                for a, c, d, text in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "doc_id", "words"))):
+                    starts, ends = bounds(text)
+                    made = anchors.contexts(text, starts, ends, window, gram, depth)
+                    n = len(made[0])
+                    same = lambda v, t, n=n: pa.array([v] * n, t)
+                    words = [text[x:y] for x, y in zip(starts[made[2]].tolist(), ends[made[3] + window - 1].tolist())]
+                    row = int.from_bytes(c[:8], "little", signed=True) ^ a
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(made[0]), pa.array(made[1], pa.binary()), same(d, pa.int64()), same(row, pa.int64()), pa.array(made[2].astype(np.int32)), pa.array(made[3].astype(np.int32)), same(a, pa.int64()), same(c, pa.binary()), pa.array(words, pa.binary())],
+                        names=["anchor", "context", "doc_id", "row", "first", "last", "up_anchor", "up_context", "words"],
+                    )
+
+        return run
+
+    return at_depth
+
+
 class SuffixAutomaton:
     """Of several word sequences. Streaming a sequence through it gives its matching statistics."""
 
@@ -143,53 +174,18 @@ def match_shards(window: int):
                 found += [(a, c, x, y) for x, y in runs_of([s >= window for s in stats[window - 1 :]])]
                 waiting.append(words)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "context", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["anchor", "context", "start", "end"])
 
     return run
 
 
-def explode_windows(window: int):
-    """Rows (anchor, doc_id, context, words) -> a row per window with its hash."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for a, d, c, text in zip(*(b.column(n).to_pylist() for n in ("anchor", "doc_id", "context", "words"))):
-                starts, ends = word_bounds(text.split(b" "))
-                h = anchors.Hashed(text).of(starts[: len(starts) - window + 1], ends[window - 1 :]).view(np.int64)
-                out += [(a, d, c, i, x) for i, x in enumerate(h.tolist())]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["anchor", "doc_id", "context", "at", "h"])
-
-    return run
-
-
-def shared_contexts(contexts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """All contexts -> (those whose anchor occurs again, what is known of each distinct one that has company).
-
-    The second has anchor, context, home (the first place), n (places) and kinds (distinct contexts of the anchor), for
-    contexts with several places or several kinds. Most anchors occur once; they leave after one small count, and
-    only the rest is shuffled whole. Counts have partial sums and their results are written, so the joins with
-    them split an anchor that very many places share.
-    """
-    contexts = stored(contexts, f"{name}-contexts")
-    again = stored(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor"), f"{name}-again")
-    found = stored(contexts.join(again, "anchor", "left_semi"), f"{name}-found")
-    home = F.min(F.struct("doc_id", "row", "first", "last")).alias("home")
-    distinct = stored(found.groupBy("anchor", "context").agg(home, F.count(F.lit(1)).alias("n")), f"{name}-distinct")
-    several = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), f"{name}-several")
-    known = distinct.join(several, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long"))).filter("n > 1 or kinds > 1")
-    return found, stored(known, f"{name}-known")
-
-
 def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """rows (doc_id, row, text), dealt by row -> row, doc_id and the sorted word spans that earlier documents have.
 
     doc_id must not be null here: callers put a number in its place.
     """
-    found, known = shared_contexts(word_contexts(rows, window, gram), "substring")
-    # the first document of each context of an anchor that has several brings the words
-    wanted = known.filter("kinds > 1").select("anchor", "context", "kinds", F.col("home.row").alias("row"), F.col("home.doc_id").alias("doc_id"), F.col("home.first").alias("first"), F.col("home.last").alias("last"))
+    scratch = Scratch(rows.sparkSession, "substrings")
+    contexts = scratch.stored(word_contexts(rows, window, gram), "contexts")
 
     def cut(batches):
         for b in batches:
@@ -198,28 +194,23 @@ def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
                 if row != seen:
                     seen, words = row, text.split()
                 out.append(b" ".join(words[first : last + window]))
-            yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("doc_id"), b.column("context"), b.column("kinds"), pa.array(out, pa.binary())], names=["anchor", "doc_id", "context", "kinds", "words"])
-
-    # rows that repeat bring the same words again, to no other effect than these
-    homes = rows.join(wanted, ["row", "doc_id"]).select("text", "row", "doc_id", "first", "last", "anchor", "context", "kinds")
-    passages = homes.mapInArrow(cut, "anchor long, doc_id long, context long, kinds long, words binary")
-    passages = stored(passages, "substring-passages")
-    small = passages.filter(F.col("kinds") <= shard).select("anchor", "doc_id", "context", "words")
-    partly = small.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(match_shards(window), "anchor long, context long, start int, end int")
-    large = passages.filter(F.col("kinds") > shard).select("anchor", "doc_id", "context", "words")
-    windows = large.mapInArrow(explode_windows(window), "anchor long, doc_id long, context long, at int, h long")
-    windows = stored(windows, "substring-windows")
-    # written, so that the join can be split where a window is hot
-    least = stored(windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("top")).filter("top > least").drop("top"), "substring-least")
-    one_by_one = windows.join(least, ["anchor", "h"]).filter("doc_id > least").select("anchor", "context", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    ranges = partly.unionByName(one_by_one).groupBy("anchor", "context").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    told = stored(known.filter("n > 1").select("anchor", "context", F.col("home.doc_id").alias("home_id")).join(ranges, ["anchor", "context"], "full"), "substring-told")
-    hit = found.join(told, ["anchor", "context"])
-    whole = F.array(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end")))
-    moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["end"] + F.col("first") + (window - 1)).alias("end")))
-    spans = F.when(F.col("home_id") < F.col("doc_id"), whole).otherwise(moved)
-    hit = hit.select("row", "doc_id", F.explode(spans).alias("span"))
-    return hit.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("anchor", "context", "kinds", "doc_id")), pa.array(out, pa.binary())], names=["anchor", "context", "kinds", "doc_id", "words"])
+
+    def bring(wanted):
+        # rows that repeat bring the same words again, to no other effect than these
+        homes = rows.join(wanted, ["row", "doc_id"]).select("text", "row", "doc_id", "first", "last", "anchor", "context", "kinds")
+        return homes.mapInArrow(cut, "anchor long, context binary, kinds long, doc_id long, words binary")
+
+    def match(passages):
+        return passages.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(match_shards(window), RANGES)
+
+    def bounds(text):
+        return word_bounds(text.split(b" "))
+
+    covered = F.col("home_id") < F.col("doc_id")
+    found, told = repeated_windows(contexts, bring, match, split_contexts(bounds, window, gram), covered, window - gram + 1, shard, scratch)
+    scratch.drop("contexts")
+    return spans_of_rows(found, told, covered, window)
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ several distinct contexts, at the edges of copies, their bytes go to one task, a
   boundaries that appeared up to then are where common prefixes are shorter. So 4 rounds give
   the repeated intervals; the suffixes are not sorted again.
 
-Anchors with more than ``SHARD`` distinct contexts are taken window by window, by hash, over the cluster.
+An anchor of more than ``SHARD`` distinct contexts is split by further k-grams (see ``matching``) until each part has fewer,
+and these go the same way.
 """
 
 from __future__ import annotations
@@ -27,29 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm import anchors
-from strataframe.llm.common import NO_ID, stored
-from strataframe.llm.substrings import CONTEXTS, keyed_rows, runs_of, shared_contexts
+from strataframe.llm.common import NO_ID, Scratch
+from strataframe.llm.matching import CONTEXTS, RANGES, spans_of_rows
+from strataframe.llm.matching import repeated_windows as windows_told
+from strataframe.llm.substrings import context_rows, keyed_rows, runs_of, split_contexts
 
 WINDOW, GRAM, BLOCK = 400, 128, 100
-#: Distinct contexts of an anchor up to which one task takes all of them.
-SHARD = 4096
+#: Distinct contexts of an anchor that are merged at once; anchors of more are split.
+SHARD = 256
 #: Bytes of contexts that a task merges at once, but for whole anchors.
 BATCH = 1 << 20
 
 
+def byte_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(len(text) + 1)
+    return at[:-1], at[1:]
+
+
 def byte_contexts(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     def run(batches):
         for b in batches:
             parts = []
             for text, doc, row in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("row").to_pylist()):
                 if len(text) >= window:
-                    at = np.arange(len(text) + 1)
-                    parts.append((*anchors.contexts(text, at[:-1], at[1:], window, gram), doc, row))
+                    parts.append((*anchors.contexts(text, *byte_bounds(text), window, gram), ("doc_id", pa.int64(), doc), ("row", pa.int64(), row)))
             if parts:
-                sizes = [len(p[0]) for p in parts]
-                join = lambda i, kind: pa.array(np.concatenate([p[i] for p in parts]).astype(kind))
-                spread = lambda i: pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), sizes))
-                yield pa.RecordBatch.from_arrays([join(0, np.int64), join(1, np.int64), spread(4), spread(5), join(2, np.int32), join(3, np.int32)], names=["anchor", "context", "doc_id", "row", "first", "last"])
+                yield context_rows(parts, ["anchor", "context", "doc_id", "row", "first", "last"])
 
     return rows.mapInArrow(run, CONTEXTS)
 
@@ -76,7 +80,7 @@ class Texts:
         offset = at - self.base[self.owner]
         left = length[self.owner] - offset
         whole = left > block
-        hashed = anchors.Hashed(b"".join(texts))
+        hashed = anchors.Hashed(b"".join(texts), strict=True)
         ids = anchors.mixed(hashed.of(at[whole], at[whole] + block) ^ (group[self.owner[whole]].astype(np.uint64) * np.uint64(anchors.MIX)))
         ends = int((~whole).sum())
         self.symbol = np.empty(n, np.int64)
@@ -136,19 +140,19 @@ def repeated_windows(group: np.ndarray, texts: list[bytes], window: int = WINDOW
 
 
 def merge_shards(window: int, block: int):
-    """Rows (anchor, context, bytes) sorted by anchor -> (anchor, context, start, end) of repeated windows."""
+    """Rows (anchor, context, words) sorted by anchor -> (anchor, context, start, end) of repeated windows."""
 
     def solve(rows):
         anchor, context, texts = zip(*rows)
         group = np.cumsum(np.concatenate(([0], np.diff(np.array(anchor, np.int64)) != 0)))
         found = repeated_windows(group, list(texts), window, block)
         columns = zip(*((anchor[i], context[i], a, b) for i, a, b in found)) if found else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "context", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["anchor", "context", "start", "end"])
 
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for row in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "bytes"))):
+            for row in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "words"))):
                 if size >= BATCH and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
@@ -160,44 +164,28 @@ def merge_shards(window: int, block: int):
     return run
 
 
-def window_hashes(window: int):
-    """Rows (anchor, context, bytes) -> a row per window."""
-
-    def run(batches):
-        for b in batches:
-            for a, c, text in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "bytes"))):
-                at = np.arange(len(text) - window + 1)
-                h = anchors.Hashed(text).of(at, at + window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), a)), pa.array(np.full(len(at), c)), pa.array(at.astype(np.int32)), pa.array(h)], names=["anchor", "context", "at", "h"])
-
-    return run
-
-
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """rows (doc_id, row, text), dealt by row and doc_id -> row, doc_id and the sorted byte spans that occur elsewhere too."""
-    found, known = shared_contexts(byte_contexts(rows, window, gram), "suffix")
-    wanted = known.filter("kinds > 1").select("anchor", "context", "kinds", F.col("home.row").alias("row"), F.col("home.doc_id").alias("doc_id"), F.col("home.first").alias("first"), F.col("home.last").alias("last"))
+    scratch = Scratch(rows.sparkSession, "suffixes")
+    contexts = scratch.stored(byte_contexts(rows, window, gram), "contexts")
 
     def cut(batches):
         for b in batches:
             out = [t[f : e + window] for t, f, e in zip(*(b.column(n).to_pylist() for n in ("text", "first", "last")))]
-            yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("context"), b.column("kinds"), pa.array(out, pa.binary())], names=["anchor", "context", "kinds", "bytes"])
-
-    homes = rows.join(wanted, ["row", "doc_id"]).select("doc_id", "row", "text", "first", "last", "anchor", "context", "kinds")
-    passages = stored(homes.mapInArrow(cut, "anchor long, context long, kinds long, bytes binary"), "suffix-passages")
-    small = passages.filter(F.col("kinds") <= shard).select("anchor", "context", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
-    merged = small.mapInArrow(merge_shards(window, block), "anchor long, context long, start int, end int")
-    large = passages.filter(F.col("kinds") > shard).select("anchor", "context", "bytes")
-    windows = stored(large.mapInArrow(window_hashes(window), "anchor long, context long, at int, h long"), "suffix-windows")
-    # written, so that the join can be split where a window is hot
-    twice = stored(windows.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "suffix-twice")
-    one_by_one = windows.join(twice, ["anchor", "h"]).select("anchor", "context", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    ranges = merged.unionByName(one_by_one).groupBy("anchor", "context").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    told = stored(known.filter("n > 1").select("anchor", "context", F.lit(True).alias("whole")).join(ranges, ["anchor", "context"], "full"), "suffix-told")
-    whole = F.array(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end")))
-    moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["end"] + F.col("first") + (window - 1)).alias("end")))
-    hit = found.join(told, ["anchor", "context"]).select("row", "doc_id", F.explode(F.when(F.col("whole"), whole).otherwise(moved)).alias("span"))
-    return hit.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("anchor", "context", "kinds", "doc_id")), pa.array(out, pa.binary())], names=["anchor", "context", "kinds", "doc_id", "words"])
+
+    def bring(wanted):
+        homes = rows.join(wanted, ["row", "doc_id"]).select("doc_id", "text", "first", "last", "anchor", "context", "kinds")
+        return homes.mapInArrow(cut, "anchor long, context binary, kinds long, doc_id long, words binary")
+
+    def match(passages):
+        return passages.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(merge_shards(window, block), RANGES)
+
+    # all places of a context that has several
+    covered = F.col("home_id").isNotNull()
+    found, told = windows_told(contexts, bring, match, split_contexts(byte_bounds, window, gram), covered, window - gram + 1, shard, scratch)
+    scratch.drop("contexts")
+    return spans_of_rows(found, told, covered, window)
 
 
 def cut_spans(text: bytes, spans) -> tuple[int, bytes]:

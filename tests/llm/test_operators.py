@@ -139,17 +139,14 @@ def test_a_hot_line_over_many_partitions(spark):
     assert lines.kept_mask(bits.n_bits, bits.keep_bits).tolist() == [False, True, False]
 
 
-@pytest.mark.parametrize("shard", [256, 1])
-def test_substrings(spark, shard, monkeypatch):
-    monkeypatch.setattr(substrings.duplicate_spans, "__defaults__", (50, 16, shard))
-    docs = documents() + [(100 + i, f"{prose(60 + i, 30)} {prose(1, 90 - i)} {prose(70 + i, 30)} {prose(1, 90)[i:]}", "a") for i in range(8)]
+def substrings_by_hand(docs):
     first = {}
     for d, t, _ in docs:
         w = words(t)
         for i in range(len(w) - 49):
             k = tuple(w[i : i + 50])
             first[k] = min(first.get(k, d), d, key=by_id)
-    want = []
+    out = []
     for d, t, _ in docs:
         w = words(t)
         keep = [True] * len(w)
@@ -157,8 +154,16 @@ def test_substrings(spark, shard, monkeypatch):
             if by_id(first[tuple(w[i : i + 50])]) < by_id(d):
                 keep[i : i + 50] = [False] * 50
         kept = [x for x, k in zip(w, keep) if k]
-        want.append((d, len(w), len(w) - len(kept), sha(" ".join(kept))))
-    assert rows(substrings.op4_substrings(frame(spark, docs))) == sorted(want, key=str)
+        out.append((d, len(w), len(w) - len(kept), sha(" ".join(kept))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard", [256, 1])
+def test_substrings(spark, shard, monkeypatch):
+    monkeypatch.setattr(substrings.duplicate_spans, "__defaults__", (50, 16, shard))
+    docs = documents() + [(100 + i, f"{prose(60 + i, 30)} {prose(1, 90 - i)} {prose(70 + i, 30)} {prose(1, 90)[i:]}", "a") for i in range(8)]
+    want = substrings_by_hand(docs)
+    assert rows(substrings.op4_substrings(frame(spark, docs))) == want
     assert sum(0 < w[2] < w[1] for w in want) > 6
 
 
@@ -172,13 +177,9 @@ def test_suffix_automaton():
     assert a.statistics(probe) == [longest(i) for i in range(len(probe))]
 
 
-@pytest.mark.parametrize("shard", [4096, 1])
-def test_suffixes(spark, shard, monkeypatch):
-    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (400, 128, 100, shard))
-    docs = documents() + [(100 + i, f"{prose(60 + i, 30)} {prose(1, 90 - i)} {prose(70 + i, 30)} {prose(1, 90)[i:]}", "a") for i in range(8)]
-    docs += [(200, "x" * 399, "a"), (201, "y" * 400, "a"), (202, "z" * 401, "a"), (203, "abcdefg" * 150, "a")]
+def suffixes_by_hand(docs):
     places = Counter(t.encode()[i : i + 400] for _, t, _ in docs if t for i in range(len(t.encode()) - 399))
-    want = []
+    out = []
     for d, t, _ in docs:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -186,11 +187,59 @@ def test_suffixes(spark, shard, monkeypatch):
             if places[b[i : i + 400]] > 1:
                 gone[i : i + 400] = b"\1" * 400
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        want.append((d, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
-    assert rows(suffixes.op7_suffixes(frame(spark, docs))) == sorted(want, key=str)
+        out.append((d, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard", [256, 1])
+def test_suffixes(spark, shard, monkeypatch):
+    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (400, 128, 100, shard))
+    docs = documents() + [(100 + i, f"{prose(60 + i, 30)} {prose(1, 90 - i)} {prose(70 + i, 30)} {prose(1, 90)[i:]}", "a") for i in range(8)]
+    docs += [(200, "x" * 399, "a"), (201, "y" * 400, "a"), (202, "z" * 401, "a"), (203, "abcdefg" * 150, "a")]
+    want = suffixes_by_hand(docs)
+    assert rows(suffixes.op7_suffixes(frame(spark, docs))) == want
     assert sum(0 < w[2] < w[1] for w in want) > 6
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_texts_on_which_polynomials_collide_are_told_apart(spark):
+    swap = str.maketrans("ab", "ba")
+    start, word = words(prose(1, 49)), thue_morse(1024)
+    docs = [(i, " ".join([*start[:25], w, *start[25:]]), "a") for i, w in enumerate((word, word.translate(swap)))]
+    assert [r.n_removed for r in substrings.op4_substrings(frame(spark, docs)).collect()] == [0, 0]
+    docs = [(i, "".join(chr(k % 26 + 97) + w for k in range(3)), "a") for i, w in enumerate((thue_morse(128), thue_morse(128).translate(swap)))]
+    assert [r.n_removed for r in suffixes.op7_suffixes(frame(spark, docs)).collect()] == [0, 0]
+
+
+def test_a_passage_of_very_many_documents_is_split(spark):
+    """One passage in 300 documents, each time among other words: one anchor has 300 contexts."""
+    passage = " ".join(words(prose(1, 70)))
+    docs = [(i, f"{' '.join(words(prose(1000 + i, 9)))} {passage} {' '.join(words(prose(5000 + i, 9)))}", "a") for i in range(300)]
+    want = substrings_by_hand(docs)
+    assert rows(substrings.op4_substrings(frame(spark, docs))) == want and sum(w[2] >= 70 for w in want) == 299
+    want = suffixes_by_hand(docs)
+    assert rows(suffixes.op7_suffixes(frame(spark, docs))) == want and all(w[3] == 1 for w in want)
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from strataframe.llm import common
+
+    mark = common.scratch_mark()
+    scratch = common.Scratch(spark, "t")
+    made = scratch.stored(spark.range(3), "a")
+    scratch.stored(spark.range(3), "b")
+    assert made.count() == 3 and os.path.isdir(scratch.path("a").removeprefix("file:"))
+    scratch.drop("b")
+    assert not os.path.isdir(scratch.path("b").removeprefix("file:"))
+    common.drop_scratch(mark)
+    assert not os.path.isdir(scratch.root.removeprefix("file:")) and common.scratch_mark() == mark
+
+
 def test_merging_transforms_gives_the_intervals_of_a_sort():
     import numpy as np
 
