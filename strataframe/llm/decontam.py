@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 over the test items, block-max WAND, overlap of question and answer.
 
 The test items are the indexed side: their inverted index is small and goes to every task, in shards
-of at most ``SHARD_ITEMS`` items and ``SHARD_BYTES`` bytes, so a benchmark of any size is a few passes
-over the documents and never an index without a bound. Each document is cut into passages that
+of at most ``SHARD_ITEMS`` items and ``SHARD_BYTES`` bytes, so a benchmark of any size is few passes
+over the documents (mostly one) and never an index without a bound. Counts and lengths that scores rest on are of all items, so
+they are the same however the items are dealt. Each document is cut into passages that
 overlap by the longest item, so an item that a document holds lies whole in one of them. A passage's
 distinct words are the query. Impacts are divided by the item's score for its own text, which makes scores
 shares of that and the threshold one number. The block maxima of a passage's words add up to a bound for
@@ -16,6 +17,8 @@ A narrow map over the documents: no shuffle, and the documents' other columns ca
 from __future__ import annotations
 
 import math
+import pickle
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from itertools import islice
@@ -23,10 +26,11 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import table, utf8
+from strataframe.llm.common import Scratch, table, utf8
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to be verified.
@@ -35,7 +39,8 @@ SHINGLE, OVERLAP = 5, 0.8
 PASSAGE = 128
 #: Items of a block: few, as the bound of a block is what keeps passages from being scored.
 BLOCK = 4
-SHARD_ITEMS, SHARD_BYTES = 1024, 32 << 20
+#: What one pass over the documents takes of the benchmark.
+SHARD_ITEMS, SHARD_BYTES = 32768, 16 << 20
 #: Terms whose block maxima are gathered at once.
 TERMS_AT_ONCE = 4096
 #: For rounding in sums of impacts.
@@ -67,15 +72,15 @@ def parts(text: bytes) -> tuple[list[bytes], list[bytes]]:
 class Index:
     """Inverted index of some items: postings with impacts, and each term's largest impact in each block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], n_all: int, mean_words: float, df: dict[bytes, int]):
+    def __init__(self, items: list[tuple[int, bytes]], n_all: int, mean_words: float, df: dict[bytes, int], longest: int = 0):
         self.ids = [i for i, _ in items]
         both = [parts(t) for _, t in items]
         words = [q + a for q, a in both]
-        self.longest = max(map(len, words), default=0)
+        self.longest = max(longest, *map(len, words), 0)
         self.needed = [[shingles(q), shingles(a)] for q, a in both]
         self.terms: dict[bytes, int] = {}
-        self.items: list[list[int]] = []
-        self.impacts: list[list[float]] = []
+        self.items: list[array] = []
+        self.impacts: list[array] = []
         for i, w in enumerate(words):
             impacts = {}
             for t, tf in Counter(w).items():
@@ -85,8 +90,8 @@ class Index:
             for t, x in impacts.items():
                 k = self.terms.setdefault(t, len(self.items))
                 if k == len(self.items):
-                    self.items.append([])
-                    self.impacts.append([])
+                    self.items.append(array("i"))
+                    self.impacts.append(array("d"))
                 self.items[k].append(i)
                 self.impacts[k].append(x / own)
         self.tops = None
@@ -205,46 +210,51 @@ class Index:
 def index_shards(benchmark: DataFrame):
     """One ``Index`` after the other. Counts cover all items; each shard's size is bounded before it is collected."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), utf8(benchmark).alias("text"))
-    size = F.octet_length("text")
-    n, total, top = items.agg(F.count(F.lit(1)), F.sum(size), F.max(size)).first()
+    n, total = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     if not n:
         return
     shards = max(1, math.ceil(n / SHARD_ITEMS), math.ceil(total / SHARD_BYTES))
-    numbered = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     # as words_of: A-Z alone are folded
     plain = F.translate(F.regexp_replace(F.decode("text", "UTF-8"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " "), ascii_uppercase, ascii_lowercase)
-    folded = lambda: F.filter(F.split(plain, " "), lambda w: w != "")
-    mean = items.agg(F.avg(F.size(folded()))).first()[0] or 0.0
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).alias("shard")
+    scratch = Scratch(items.sparkSession, "benchmark")
+    numbered = scratch.stored(items.select("item_id", "text", shard, F.filter(F.split(plain, " "), lambda w: w != "").alias("words")), "items")
+    mean, longest = numbered.agg(F.avg(F.size("words")), F.max(F.size("words"))).first()
+    each = numbered.select("shard", F.explode(F.array_distinct("words")).alias("w"))
+    # how many of all items have a word, for the words of each shard
+    counts = scratch.stored(each.distinct().join(each.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w"), "counts")
     for k in range(shards):
-        rows = [(r.item_id, bytes(r.text)) for r in numbered.filter(F.col("shard") == k).orderBy("item_id", "text").collect()]
-        df: Counter = Counter()
-        if shards == 1:
-            for _, t in rows:
-                df.update(set(words_of(t)))
-        else:  # words of this shard, counted over all items
-            own = {w for _, t in rows for w in words_of(t)}
-            spread = items.select(F.explode(F.array_distinct(folded())).alias("w")).groupBy("w").count()
-            mine = items.sparkSession.createDataFrame([(w.decode("utf-8", "replace"),) for w in own], "w string")
-            df.update({r.w.encode(): r["count"] for r in spread.join(mine, "w").collect()})
-            df.update({w: 1 for w in own if w not in df})
-        yield Index(rows, n, mean, df)
+        rows = [(r.item_id, bytes(r.text)) for r in numbered.filter(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text").collect()]
+        df = {r.w.encode(): r.df for r in counts.filter(F.col("shard") == k).select("w", "df").collect()}
+        yield Index(rows, n, mean or 0.0, df, longest or 0)
+    scratch.drop("items", "counts")
+
+
+def sent(spark, index: Index):
+    """An index on its way to the tasks -> a function that gives it there.
+
+    Plain broadcasts name classes by their module, which workers may lack; these bytes bring the class along.
+    """
+    bytes_ = spark.sparkContext.broadcast(cloudpickle.dumps(index))
+    return lambda: pickle.loads(bytes_.value)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each item that a row's text holds.
 
     Null texts and items hold no words and match nothing; neither do items without words. Rows that
-    repeat give their rows again. No documents or no items: no rows.
+    repeat give their rows again. No documents or no items: no rows. Other columns are left out, whatever their names.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), utf8(docs).alias("text"))
     out = None
     for index in index_shards(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        get = sent(docs.sparkSession, index)
 
-        def run(batches, sent=sent):
+        def run(batches, get=get):
+            index = get()
             for b in batches:
-                rows = [(d, sent.value.ids[i], *m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for i, m in sent.value.matches(t, threshold, overlap).items()]
+                rows = [(d, index.ids[i], *m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for i, m in index.matches(t, threshold, overlap).items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -254,14 +264,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; a narrow filter."""
+    """The rows of ``docs`` that hold no item, with all their columns; a narrow filter.
+
+    Null and empty texts stay, and null and empty items match nothing. Rows that repeat are judged each, alike. No
+    documents: no rows; no items: all rows. Columns of any name ride along.
+    """
     for index in index_shards(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        get = sent(docs.sparkSession, index)
 
-        def run(batches, sent=sent):
+        def run(batches, get=get):
+            index = get()
             for b in batches:
                 at = b.schema.get_field_index("text")
-                keep = [not (t and sent.value.matches(t.encode(), threshold, overlap)) for t in b.column(at).to_pylist()]
+                keep = [not (t and index.matches(t.encode(), threshold, overlap)) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -269,18 +284,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def op9_decontam(spark, sf_dir: str) -> DataFrame:
+    """``leaks`` of all documents, for all items."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
-    """(doc_id, item_id) by comparing all shingles of all texts, for the tests."""
-    out = set()
-    for d, text in docs:
-        words = words_of((text or "").encode())
-        for i, item in items:
-            q, a = (shingles(p) for p in parts((item or "").encode()))
-            have = [sum(tuple(s) in {tuple(words[k : k + len(s)]) for k in range(len(words) - len(s) + 1)} for s in p) for p in (q, a)]
-            total = len(q) + len(a)
-            if total and sum(have) >= OVERLAP * total and all(h or not p for h, p in zip(have, (q, a))):
-                out.add((d, i))
-    return out

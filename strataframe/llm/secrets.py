@@ -8,7 +8,6 @@ reported only if it holds. No shuffle: a scan, a map and a projection.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 
@@ -101,13 +100,3 @@ def op1_secrets(docs: DataFrame) -> DataFrame:
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return find_secrets(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, str]:
-    """The base kinds by plain search, for the tests."""
-    text = text or ""
-    spans = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text) if len(m[1]) >= MIN_ASSIGN]
-    spans += [(m.start(), 1, m.end()) for m in re.finditer(ACCESS, text) if len(m[0]) >= MIN_ACCESS]
-    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
-    joined = ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in sorted(spans))
-    return (*(sum(k == i for _, k, _ in spans) for i in range(3)), hashlib.sha256(joined.encode()).hexdigest())

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strataframe.llm import decontam, exact, lines, mixing, secrets, simhash, substrings, suffixes
+from tests.llm import brute
 from tests.llm.cases import documents, frame, prose
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -32,7 +33,7 @@ def test_no_rows_give_no_rows(spark, name):
 
 
 def test_secrets(spark):
-    want = sorted(((d, *secrets.brute_force(t)) for d, t, _ in documents()), key=str)
+    want = sorted(((d, *brute.secrets(t)) for d, t, _ in documents()), key=str)
     assert rows(secrets.op1_secrets(frame(spark)).drop("spans")) == want
     assert any(w[1] for w in want) and any(w[2] for w in want) and any(w[3] for w in want)
 
@@ -327,7 +328,7 @@ def test_leaks(spark):
     docs = documents() + [(300, f"{prose(90, 150)} {item[1].upper()} {prose(91, 150)}", "a"), (301, f"x, {item[1]}! {prose(92, 20)}", "a"), (302, item[1].split("\n")[0] + prose(93, 30), "a"), (303, ITEMS[4][1], "a"), (304, prose(94, 400) + " " + ITEMS[5][1], "a"), (None, item[1], "a")]
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, docs), benchmark).collect()}
-    assert got == decontam.brute_force([(d, t) for d, t, _ in docs], ITEMS) and (300, 1) in got and (302, 1) not in got
+    assert got == brute.leaks([(d, t) for d, t, _ in docs], ITEMS) and (300, 1) in got and (302, 1) not in got
     clean = decontam.decontaminate(frame(spark, docs), benchmark)
     assert clean.columns == frame(spark).columns
     assert {r.doc_id for r in clean.collect()} == {d for d, _, _ in docs} - {300, 301, 303, 304}  # null stays: another row has it
@@ -338,7 +339,7 @@ def test_index_in_shards(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SHARD_ITEMS", 2)
     docs = [(1, ITEMS[0][1], "a"), (2, ITEMS[4][1], "a"), (3, prose(99, 50), "a")]
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, docs), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
-    assert got == decontam.brute_force([(d, t) for d, t, _ in docs], ITEMS)
+    assert got == brute.leaks([(d, t) for d, t, _ in docs], ITEMS)
 
 
 def test_wand_retrieves_all_above_the_threshold():
@@ -359,7 +360,7 @@ def test_question_and_answer_far_apart_are_found(spark):
     items = [(1, f"{question}\n{answer}"), (2, prose(83, 12))]
     docs = [(1, f"{question} {prose(90, 900)} {answer}", "a"), (2, f"{answer} {prose(91, 900)} {question}", "a"), (3, f"{question} {prose(92, 900)}", "a")]
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == decontam.brute_force([(d, t) for d, t, _ in docs], items) == {(1, 1), (2, 1)}
+    assert set(got) == brute.leaks([(d, t) for d, t, _ in docs], items) == {(1, 1), (2, 1)}
     assert all((r.question_overlap, r.answer_overlap) == (1, 1) for r in got.values())
 
 
@@ -374,6 +375,44 @@ def test_scores_of_one_shard_and_of_several_are_the_same(spark, monkeypatch):
     assert get() == pytest.approx(one, abs=1e-9) and {(i, i) for i, _ in items} <= set(one)
 
 
+def test_very_long_texts_are_searched_whole(spark):
+    """A million words, with items at both ends and where passages meet."""
+    items = [(i, f"{' '.join(words(prose(400 + i, 25)))}\n{' '.join(words(prose(500 + i, 12)))}") for i in range(3)]
+    filler = words(prose(700, 20_000)) * 50
+    text = " ".join([items[0][1], *filler[:500_000], items[1][1], *filler[500_000:], items[2][1]])
+    got = {r.item_id for r in decontam.leaks(frame(spark, [(1, text, "a"), (2, None, "a")]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {0, 1, 2}
+    n = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.op4_substrings(frame(spark, [(1, text, "a"), (2, items[1][1] + " " + " ".join(filler[500_000:500_060]), "a")])).collect()}
+    assert n == {1: (len(text.split()), 0), 2: (len(items[1][1].split()) + 60,) * 2}
+
+
+def test_workers_need_no_installed_copy(tmp_path):
+    """Driver and workers of a cluster: only the driver can import the package."""
+    code = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {work!r}).getOrCreate()
+from strataframe.llm import decontam
+docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x")], "doc_id long, text string")
+items = spark.createDataFrame([(7, "a b c d e\\nf g h i j")], "item_id long, text string")
+def importable(batches):
+    import importlib.util
+    for b in batches:
+        yield b.slice(0, 1 if importlib.util.find_spec("strataframe") else 0)
+print("importable", docs.mapInArrow(importable, docs.schema).count())
+print("found", [(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()], decontam.decontaminate(docs, items).count())
+"""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code.format(root=root, work=str(tmp_path))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "importable 0" in out.stdout and "found [(1, 7)] 1" in out.stdout, out.stdout + out.stderr[-2000:]
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     base, other = prose(60, 300), prose(61, 300)
     docs = [(None, base, "a"), (None, base + "\n", "a"), (7, other, "a"), (7, other + "\n", "a"), (7, other, "a"), (8, other, "a"), (None, other, "a")]

@@ -3,6 +3,7 @@ import pytest
 from strataframe.llm import exact, quality, simhash
 from strataframe.llm.common import table
 from strataframe.llm.queries import ORACLES, QUERIES
+from tests.llm import brute
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +21,6 @@ def test_query_without_sql_runs(spark, name):
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
-    from strataframe.llm.decontam import brute_force
 
     docs = table(spark, SF, "documents")
     columns, before, kept = docs.columns, docs, {}
@@ -36,7 +36,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert ids(kept["exact"][1]) == {r.doc_id for r in exact.op10_exact(kept["exact"][0]).collect() if r.kept}
     assert ids(kept["near"][1]) == {r.component_id for r in simhash.op2_simhash(kept["near"][0]).collect()}
     texts, items = ([(r[0], r.text) for r in df.collect()] for df in (kept["decontamination"][0], table(spark, SF, "benchmark")))
-    assert ids(kept["decontamination"][1]) == ids(kept["decontamination"][0]) - {d for d, _ in brute_force(texts, items)}
+    assert ids(kept["decontamination"][1]) == ids(kept["decontamination"][0]) - {d for d, _ in brute.leaks(texts, items)}
     mixed = kept["mixing"][1].collect()
     assert mixed and {r.doc_id for r in mixed} <= ids(kept["mixing"][0]) and all(0 < r.taken <= 2 * r.size for r in mixed)
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, mixed))
