@@ -5,8 +5,10 @@ linear model minimises the non-negative unbiased risk (Kiryo et al., 2017)
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]),
 
-stepping back on the second term where it falls below zero. The class prior is estimated over all
-labelled rows of the training fold. Features are shares and ratios over the whole text: character
+stepping back on the second term where it falls below zero. The class prior is estimated from the trusted positives and
+the unlabelled rows alone: a set of texts that only positives fall into holds a share of the unlabelled rows that is the prior times its
+share of the positives, so the prior is the least ratio of these shares over the sets that a classifier
+of positives against unlabelled rows cuts off (Scott, 2015). Labels 0 are not used. Features are shares and ratios over the whole text: character
 classes, single punctuation marks, repetition of words and word pairs. Fitting takes bounded samples by
 hash of the id (documented parameters); scoring is a narrow map over all rows.
 """
@@ -67,25 +69,48 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p, u))
-        gain = prior * p.T @ (sp - 1) / len(p)
-        part = u.T @ su / len(u) - prior * p.T @ sp / len(p)
-        # -log(1 - s) is the loss of calling a row negative
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+        _, gain, negative, part = pu_risk(w, p, u, prior)
         g = (gain + part if negative >= 0 else -part) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(mean, scale, w[:-1], w[-1], prior)
 
 
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Of a linear model on rows with a column of ones: prior * E_P[loss(+)] and its gradient, then
+    E_U[loss(-)] - prior * E_P[loss(-)] and its gradient. The loss is logistic."""
+    zp, zu = p @ w, u @ w
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    # log(1 + exp(-z)) of calling a row positive, log(1 + exp(z)) of calling it negative
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return positive, prior * p.T @ (sp - 1) / len(p), negative, u.T @ su / len(u) - prior * p.T @ sp / len(p)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.2) -> float:
+    """Share of positives among the unlabelled rows, from features of both sets alone.
+
+    Half of each set fits a classifier of one against the other, the other half is scored. ``least_share``:
+    of the positives that a set must hold, so that chance doesn't name the ratio.
+    """
+    (p1, p2), (u1, u2) = ((x[::2], x[1::2]) for x in (positive, unlabelled))
+    if not len(p2) or not len(u2):
+        return 0.5
+    model = fit_nnpu(p1, u1, 0.5, rounds=600)
+    sp, su = np.sort(model.score(p2)), np.sort(model.score(u2))
+    cuts = sp[: max(1, int(len(sp) * (1 - least_share)))]
+    held_p = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
+    held_u = 1 - np.searchsorted(su, cuts, "left") / len(su)
+    return float(np.clip((held_u / held_p).min(), 0.01, 0.99))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
-    """None where no row of the training fold is labelled 1. Labels of a doc_id that disagree count as 0."""
+    """None where no row of the training fold is labelled 1. Labels of a doc_id that disagree count as 0.
+
+    Null ids and labels are left out, null texts count as empty. Of rows that repeat an id, the text of least hash counts.
+    """
     seen = labels.filter(labels["doc_id"].isNotNull() & labels["quality"].isNotNull() & ~held_out(labels["doc_id"]))
     seen = seen.groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    n, ones = seen.agg(F.count(F.lit(1)), F.sum((F.col("quality") == 1).cast("long"))).first()
-    if not ones:
-        return None
-    prior = min(0.99, max(0.01, ones / n))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), utf8(docs).alias("text"))
     ids = texts.select("doc_id").filter("doc_id is not null").distinct()
     # both samples are bounded by their parameters, so their ids are broadcast
@@ -95,14 +120,14 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     def run(batches):
         for b in batches:
             x = [features(t).tolist() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(x, pa.list_(pa.float32()))], names=["set", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("set"), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "set", "x"])
 
     # one row an id and set: where an id repeats, the one whose text has the least hash
     own = texts.join(F.broadcast(trusted.unionByName(plain)), "doc_id").withColumn("hash", F.xxhash64("text"))
     least = own.groupBy("doc_id", "set").agg(F.min_by("text", "hash").alias("text"))
-    rows = least.select("set", "text").mapInArrow(run, "set int, x array<float>").collect()
+    rows = sorted(least.select("doc_id", "set", "text").mapInArrow(run, "doc_id long, set int, x array<float>").collect(), key=lambda r: r.doc_id)
     p, u = (np.array([r.x for r in rows if r.set == k], np.float64) for k in (1, 0))
-    return fit_nnpu(p, u, prior) if len(p) and len(u) else None
+    return fit_nnpu(p, u, estimate_prior(p, u)) if len(p) and len(u) else None
 
 
 def scores(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -118,7 +143,11 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows that score ``least`` or more, with all their columns; a narrow filter."""
+    """The rows that score ``least`` or more, with all their columns; a narrow filter.
+
+    Null and empty texts are judged as empty, rows that repeat each alike. Without a model (no row of the training fold
+    is labelled 1) all stay. No rows: no rows. Columns of any name ride along.
+    """
     model = train(docs, labels)
 
     def run(batches):

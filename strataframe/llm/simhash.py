@@ -10,8 +10,9 @@
    a sticky overflow. Words whose lanes have all overflowed are abandoned, usually after a few planes.
 4. A key's links leave the task as a forest, not as pairs, and become components on the cluster.
 
-Keys of more than ``CHUNK`` rows are dealt as pairs of chunks over many tasks, so no pair is lost and
-no task holds more than two chunks of a key.
+A key of more than ``CHUNK`` rows is split in the same way as the whole: two of its rows that link agree on one of four parts
+of the bits that the key leaves open. Few bits leave few fingerprints, so after some splits every key is small; no pair is
+lost, and work grows with the rows and not with their pairs.
 """
 
 from __future__ import annotations
@@ -66,25 +67,46 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, fp long")
 
 
+def _low(c: Column, bits: int) -> Column:
+    return c.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def _without(c: Column, at: int, bits: int) -> Column:
+    """The bits of ``c`` but for so many from ``at`` on."""
+    return F.shiftleft(F.shiftrightunsigned(c, at + bits), at).bitwiseOR(_low(c, at)) if at + bits < 64 else _low(c, at)
+
+
 def block_keys(fp: Column) -> Column:
     """The 16 keys: which table, its 16-bit block and a 12-bit part of the other 48 bits."""
-    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    up = F.shiftrightunsigned
-    rest = [
-        up(fp, 16),
-        F.shiftleft(up(fp, 32), 16).bitwiseOR(low(fp, 16)),
-        F.shiftleft(up(fp, 48), 32).bitwiseOR(low(fp, 32)),
-        low(fp, 48),
-    ]
     keys = []
     for b in range(4):
-        block = low(up(fp, 16 * b), 16)
+        block, rest = _low(F.shiftrightunsigned(fp, 16 * b), 16), _without(fp, 16 * b, 16)
         for s in range(4):
-            part = low(up(rest[b], 12 * s), 12)
+            part = _low(F.shiftrightunsigned(rest, 12 * s), 12)
             keys.append(F.lit((4 * b + s) << 28).cast("long").bitwiseOR(F.shiftleft(block, 12)).bitwiseOR(part))
     return F.array(*keys)
 
 
+#: Bits that a key of ``block_keys`` leaves open.
+OPEN = 36
+
+
+def open_bits(fp: Column, key: Column) -> Column:
+    """The bits of the fingerprint that its key leaves open."""
+    rests = [_without(_without(fp, 16 * b, 16), 12 * s, 12) for b in range(4) for s in range(4)]
+    return F.element_at(F.array(*rests), (F.shiftrightunsigned(key, 28) + 1).cast("int"))
+
+
+def narrower_keys(key: Column, rest: Column, bits: int) -> Column:
+    """Of each of four parts of the open bits: a key that fixes it too, and the bits that are open then."""
+    cuts = [bits * k // 4 for k in range(5)]
+    made = []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = _low(F.shiftrightunsigned(rest, a), b - a)
+        made.append(F.struct(F.xxhash64(key, F.lit(k), part).alias("key"), _without(rest, a, b - a).alias("rest")))
+    return F.array(*made)
+
+
 def planes_of(fp: np.ndarray) -> np.ndarray:
     """(64, words + 1) of uint64: bit i of plane j is bit j of row i."""
     n = len(fp)
@@ -192,22 +214,21 @@ def compare(radius: int):
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Distinct fingerprints (fp) -> (a, b): links whose components are those of all links."""
-    rows = nodes.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = rows.join(sizes, "key")
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(chunk)), chunks).cast("int")
-    # part (i, j) of a large key holds its chunks i and j; each row goes to the parts that its chunk is in
-    dealt = shared.withColumn("chunks", chunks).withColumn("own", own)
-    parts = F.when(F.col("chunks") == 1, F.array(F.lit(0))).when(
-        F.col("chunks") == 2, F.array(F.lit(1))
-    ).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("own")),
-            lambda j: F.least(j, F.col("own")) * F.col("chunks") + F.greatest(j, F.col("own")),
-        )
-    )
-    dealt = dealt.select("key", F.explode(parts).alias("part"), "fp")
+    scratch = Scratch(nodes.sparkSession, "links")
+    rows, bits, level, dealt = nodes.select("fp", F.explode(block_keys(F.col("fp"))).alias("key")), OPEN, 0, None
+    while True:
+        # written, so that the join with it can be split where a key is hot
+        sizes = scratch.stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"sizes-{level}")
+        last = bits < 4 or 1 << bits <= chunk or sizes.filter(F.col("n") > chunk).isEmpty()
+        shared = rows.join(sizes, "key")
+        own = (shared if last else shared.filter(F.col("n") <= chunk)).select("key", F.lit(level).alias("part"), "fp")
+        dealt = own if dealt is None else dealt.unionByName(own)
+        if last:
+            break
+        rest = F.col("rest") if level else open_bits(F.col("fp"), F.col("key"))
+        narrower = shared.filter(F.col("n") > chunk).select("fp", F.explode(narrower_keys(F.col("key"), rest, bits)).alias("x"))
+        rows = scratch.stored(narrower.select("fp", "x.key", "x.rest"), f"keys-{level}")
+        bits, level = bits - bits // 4, level + 1
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(compare(radius), "a long, b long")
 
 

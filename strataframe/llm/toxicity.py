@@ -167,7 +167,11 @@ def probabilities(docs: DataFrame, model: Chain | None, chain=CHAIN) -> DataFram
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    """One row per document. Null and empty texts are scored as having no words. No rows: no rows."""
+    """One row per document: doc_id, p_low_quality, score, toxic (score at or above the threshold).
+
+    Null and empty texts are scored as having no words; rows that repeat, and equal texts, score alike; a tie with the
+    threshold counts as toxic. No labels: score null, toxic false. No rows: no rows. Other columns are left out.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     least = model.thresholds[-1] if model is not None else 0.5

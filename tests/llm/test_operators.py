@@ -92,7 +92,8 @@ def test_simhash_groups(spark, chunk, monkeypatch):
     assert max(map(len, least.values())) > 5
 
 
-def test_links_are_all_found(spark):
+@pytest.mark.parametrize("chunk", [2048, 8])
+def test_links_are_all_found(spark, chunk):
     import random
 
     r = random.Random(7)
@@ -104,10 +105,12 @@ def test_links_are_all_found(spark):
             for b in r.sample(range(64), r.randint(1, 4)):
                 x ^= 1 << b
             values.add(x)
+    # very many that share one key: they differ in 20 neighbouring bits alone
+    values |= {(0x1234567890ABCDEF >> 20 << 20) | r.getrandbits(20) for _ in range(150)}
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
     from strataframe.llm.components import connected_components
 
-    got = {r.node % (1 << 64): r.component for r in connected_components(simhash.near_links(spark.createDataFrame(signed, "fp long"))).collect()}
+    got = {r.node % (1 << 64): r.component for r in connected_components(simhash.near_links(spark.createDataFrame(signed, "fp long"), chunk=chunk)).collect()}
     want = components_by_hand(values)
     sizes = Counter(want.values())
     assert set(got) == {v for v in values if sizes[want[v]] > 1}
