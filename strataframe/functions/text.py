@@ -61,6 +61,15 @@ def repository(url: Column) -> Column:
     return or_null(F.regexp_extract(url, REPOSITORY_URL, 1))
 
 
+def short_sha(sha: Column) -> Column:
+    return F.substring(sha, 1, 7)
+
+
+def date_prefix(at: Column) -> Column:
+    """The day, as ten characters."""
+    return F.date_format(at, "yyyy-MM-dd")
+
+
 def truncated(c: Column, cap: int = 200) -> Column:
     return F.when(F.length(c) > cap, F.concat(F.substring(c, 1, cap - 1), F.lit(ELLIPSIS))).otherwise(c)
 

@@ -9,26 +9,42 @@ from pyspark.sql import functions as F
 
 from strataframe.operators.changes import build, last_versions
 from strataframe.operators.commits import releases_asof
-from strataframe.operators.pairing import edit_texts, in_order, pair_changes, search_hits
+from strataframe.operators.pairing import in_order, pair_changes, rendered, search_hits
 from strataframe.sources import artifact, git
 
 VERSION = "0.1"
 
 
 def build_from_git(spark: SparkSession, repo: str, path: str, out: str, limit: int | None = None) -> dict[str, int]:
-    """Write all tables; returns their row counts."""
+    """Write all tables; returns their row counts.
+
+    Contents are read from git once, and the presence of entities is worked out once; both are written below ``out`` as
+    tables that the others are made from, and may be removed afterwards.
+    """
     commit_rows, version_rows = git.file_history(repo, path)
     commits = git.commits_frame(spark, commit_rows)
-    versions = git.versions_frame(spark, repo, version_rows)
+    listed = version_rows if limit is None else version_rows[-limit:]
     if limit is not None:
-        commits, versions = last_versions(commits, limit), last_versions(versions, limit)
-    tables = build(versions)
+        commits = last_versions(commits, limit)
+
+    def kept(df, name):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/_build/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/_build/{name}")
+
+    tables = build(kept(git.versions_frame(spark, repo, listed), "contents"), lambda presence: kept(presence, "presence"))
     tables |= {"commits": commits, "releases": releases_asof(git.tags_frame(spark, git.tags(repo)), commits), "build_meta": artifact.build_meta(commits, path, VERSION)}
     for name, df in tables.items():
         artifact.write_table(df, out, name)
     return {name: artifact.read_table(spark, out, name).count() for name in tables}
 
 
+def printed(df) -> None:
+    """All rows, a line each, as they come; never the whole result at once."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="strataframe")
     sub = p.add_subparsers(dest="command", required=True)
@@ -41,7 +57,9 @@ def main(argv: list[str] | None = None) -> int:
             q.add_argument(x)
         for x in ("--only", "--at", "--since", "--namespace", "--term", "--predicate"):
             q.add_argument(x)
-        q.add_argument("--limit", type=int), q.add_argument("--regex", action="store_true"), q.add_argument("--ignore-case", action="store_true")
+        q.add_argument("--limit", type=int)
+        for x in ("--regex", "--ignore-case", "--full", "--commits"):
+            q.add_argument(x, action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("strataframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "build":
@@ -53,22 +71,27 @@ def main(argv: list[str] | None = None) -> int:
         print(e)
         return 1
     since = h.resolve(a.since) if a.since else None
+    cap = None if a.full else 200
     if a.command == "term" and a.at:
         df = h.states_at(h.resolve(a.at), a.term_id)
     elif a.command == "term":
         df = h.timeline(a.term_id, a.only, since, a.limit)
     elif a.command == "commit":
+        head = h.commit(a.sha).first()
+        if head is None:
+            print(f"no commit {a.sha}")
+            return 0
+        printed(h.commit_headers(show_commits=a.commits).filter(F.col("commit_seq") == head.commit_seq).select("header"))
         df = h.commit_events(a.sha, a.namespace)
     elif a.command == "pr":
         df = h.pr_terms(int(a.number))
     elif a.command == "diff":
-        ops = pair_changes(h.range_events(a.a, a.b, a.term, a.namespace))
-        df = in_order(edit_texts(ops).unionByName(ops.filter("kind <> 'edit'").withColumn("lines", F.concat(F.when(F.col("kind") == "add", "+ ").otherwise("- "), "predicate", F.lit(": "), F.coalesce("before", "after")))))
+        df = in_order(rendered(pair_changes(h.range_events(a.a, a.b, a.term, a.namespace)), cap))
     elif a.command == "search":
-        df = in_order(search_hits(h.search(a.query, a.term, a.predicate, since, a.regex, a.ignore_case, a.namespace), a.query, a.regex, a.ignore_case))
+        df = in_order(rendered(search_hits(h.search(a.query, a.term, a.predicate, since, a.regex, a.ignore_case, a.namespace), a.query, a.regex, a.ignore_case), cap))
     else:
         df = h.releases()
-    df.show(1000, truncate=False)
+    printed(df)
     return 0
 
 

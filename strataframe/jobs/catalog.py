@@ -9,6 +9,7 @@ from strataframe.functions import text
 from strataframe.operators import changes, commits, pairing, stanzas
 from strataframe.operators.history import History
 from strataframe.sources import artifact, star
+from strataframe.streaming.append import append_batch
 
 TERM, PREDICATE, SINCE, AT = "USER:0000003", "click", 20, 17
 #: SHA-1 prefixes of the commits 12 and 7.
@@ -19,6 +20,10 @@ STATE = """state AS (
          CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS commit_seq,
          event_type AS predicate, CAST(CAST(floor(value) AS INT) AS VARCHAR) AS value
   FROM events)"""
+PROSE = """state AS (
+  SELECT concat('DOC:', CAST(doc_id AS VARCHAR)) AS term_id, CAST(doc_id % 4 AS INT) AS commit_seq, coalesce(lang, 'none') AS predicate, coalesce(substr(text, 1, 80), '') AS value FROM documents
+  UNION ALL SELECT concat('CONV:', CAST(conv_id AS VARCHAR)), CAST(turn % 4 AS INT), coalesce(role, 'none'), coalesce(substr(text, 1, 80), '') FROM conversations
+  UNION ALL SELECT concat('PAGE:', CAST(page_id AS VARCHAR)), CAST(page_id % 4 AS INT), 'url', coalesce(substr(url, 1, 80), '') FROM pages)"""
 EVENTS = """ev AS (
   SELECT *, 'add' AS operation FROM (
     SELECT term_id, commit_seq, predicate, value FROM state EXCEPT ALL SELECT term_id, commit_seq + 1, predicate, value FROM state)
@@ -69,9 +74,24 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+#: Questions that are put to the written tables too.
+STORED = (
+    "term_timeline", "term_timeline_predicate", "timeline_last_n_commits", "term_header", "term_headers", "term_at", "all_terms_at", "commit_view", "commit_events", "pr_terms",
+    "resolve_ref_tag", "resolve_ref_sha", "range_events", "range_events_term", "search_substring", "search_regex", "search_predicate", "releases", "milestones",
+)
+
+
 def asked(name: str, oracle: str | None, f) -> None:
-    """A query to the history of the users."""
-    query(name, oracle and f"{ALL} {oracle}")(lambda spark, sf_dir: flat(f(star.history(spark, sf_dir))))
+    """A query to the history of the users: worked out from their events, and for some also from tables written once."""
+    sql = oracle and f"{ALL} {oracle}"
+    query(name, sql)(lambda spark, sf_dir: flat(f(star.history(spark, sf_dir))))
+    if name in STORED:
+        query(f"stored_{name}", sql)(lambda spark, sf_dir: flat(f(star.stored_history(spark, sf_dir))))
+
+
+def asked_prose(name: str, oracle: str, f) -> None:
+    """A query to the history of texts, whose entities have several namespaces."""
+    query(name, f"{ALL.replace(STATE, PROSE)} {oracle}")(lambda spark, sf_dir: flat(f(star.prose_history(spark, sf_dir))))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -204,7 +224,7 @@ def submissions(spark, d: str) -> DataFrame:
     version = F.when(i % 4 == 0, F.concat(F.lit("v"), (i % 50).cast("string"))).when(i % 4 == 1, "Unknown").when(i % 4 == 2, "not a tag!")
     return star.table(spark, d, "documents").select(
         i.alias("submission_id"), version.alias("version"), F.col("source").alias("released"), F.lit("").alias("creation_date"),
-        F.when(F.col("lang") == "en", "OBO").otherwise("OWL").alias("language"), F.array(F.struct(F.col("lang").alias("name"), F.lit("").alias("email"))).alias("contact"),
+        F.when(F.col("lang") == "en", "OBO").otherwise("OWL").alias("language"), F.array(F.struct(F.when(i % 7 != 0, F.col("lang")).alias("name"), F.lit("").alias("email"))).alias("contact"),
     )
 
 
@@ -212,9 +232,9 @@ TAG_SQL = "CASE WHEN regexp_matches(version, '^[A-Za-z0-9._/-]+$') AND lower(tri
 query("pick_tag", f"SELECT submission_id, {TAG_SQL} AS tag FROM ({SUBMISSIONS})")(lambda spark, d: submissions(spark, d).select("submission_id", text.release_tag(F.col("version"), F.col("submission_id")).alias("tag")))
 query(
     "dedup_submissions",
-    f"SELECT tag, released AS date, submission_id, CASE WHEN starts_with(tag, 'sub-') THEN concat('Submission #', CAST(submission_id AS VARCHAR)) ELSE tag END AS subject, lang AS author_name, 'bioportal@bioontology.org' AS author_email "
+    f"SELECT tag, released AS date, submission_id, CASE WHEN starts_with(tag, 'sub-') THEN concat('Submission #', CAST(submission_id AS VARCHAR)) ELSE tag END AS subject, CASE WHEN submission_id % 7 = 0 THEN 'BioPortal' ELSE lang END AS author_name, 'bioportal@bioontology.org' AS author_email "
     f"FROM (SELECT *, {TAG_SQL} AS tag FROM ({SUBMISSIONS}) WHERE lang = 'en') WHERE tag <> 'v8' QUALIFY row_number() OVER (PARTITION BY tag ORDER BY released, submission_id) = 1",
-)(lambda spark, d: commits.new_submissions(submissions(spark, d), spark.range(1).select(F.lit("v8").alias("tag"))).withColumn("author_name", F.lit("en")))
+)(lambda spark, d: commits.new_submissions(submissions(spark, d), spark.range(1).select(F.lit("v8").alias("tag"))))
 query(
     "new_releases",
     "SELECT concat('t', CAST(o_orderkey AS VARCHAR)) AS tag, o_orderdate AS date, concat('u', CAST(o_custkey AS VARCHAR)) AS author_name, concat('u', CAST(o_custkey AS VARCHAR), '@users.noreply.github.com') AS author_email, "
@@ -238,6 +258,11 @@ query(
         star.state(spark, d).groupBy("commit_seq").agg(F.floor(F.count(F.lit(1)) / 20).cast("string").alias("content")), "content", "commit_seq"
     ).select("commit_seq", "kept", "version")
 )
+query(
+    "unchanged_content_texts",
+    "WITH v AS (SELECT row_number() OVER (ORDER BY coalesce(text, ''), doc_id) AS n, doc_id, coalesce(text, '') AS t FROM documents) "
+    "SELECT n, doc_id, kept, max(CASE WHEN kept THEN n END) OVER (ORDER BY n) AS version FROM (SELECT n, doc_id, coalesce(lag(t) OVER (ORDER BY n) <> t, TRUE) AS kept FROM v)",
+)(lambda spark, d: commits.unchanged_content(star.in_text_order(spark, d), "text", "n").select("n", "doc_id", "kept", "version"))
 query("build_meta", f"WITH {COMMITS} SELECT '1' AS schema_version, '0' AS generator_version, 'events' AS source_path, min(commit_seq) AS first_commit_seq, max(commit_seq) AS last_commit_seq, CAST(count(*) AS INT) AS n_commits FROM com")(
     lambda spark, d: artifact.build_meta(star.commits(spark, d), "events", "0")
 )
@@ -263,6 +288,110 @@ query(
     f"{CARRIED} SELECT term_id, v AS commit_seq, sha1(CAST(v AS VARCHAR)) AS sha, p AS predicate, x AS value, operation FROM (SELECT *, 'add' AS operation FROM (SELECT * FROM now EXCEPT ALL SELECT * FROM old) UNION ALL SELECT *, 'remove' AS operation FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM now))",
 )(lambda spark, d: changes.build(star.documents(spark, d))["events"])
 
+def without_content(spark, d: str) -> DataFrame:
+    """The documents of stanzas, with those of every ninth day missing."""
+    return star.documents(spark, d).withColumn("content", F.when(F.col("commit_seq") % 9 != 4, F.col("content")))
+
+
+# The same over the readable versions, which are numbered without gaps; a missing one ends no stretch.
+READABLE = f"""raw_{STATE}, axis AS (SELECT commit_seq, CAST(row_number() OVER (ORDER BY commit_seq) - 1 AS INT) AS v FROM (SELECT DISTINCT commit_seq FROM raw_state WHERE commit_seq % 9 <> 4)),
+state AS (SELECT term_id, v AS commit_seq, predicate, value FROM raw_state JOIN axis USING (commit_seq))"""
+CARRIED_OVER = CARRIED.replace(STATE, READABLE)
+query(
+    "missing_content_skipped",
+    f"{CARRIED_OVER} SELECT commit_seq, sha1(CAST(commit_seq AS VARCHAR)) AS sha, term_id, 'ParseError' AS error FROM e JOIN axis USING (v) WHERE ch AND NOT ok "
+    "UNION ALL SELECT DISTINCT commit_seq, sha1(CAST(commit_seq AS VARCHAR)), NULL, 'BlobMissing' FROM raw_state WHERE commit_seq % 9 = 4",
+)(lambda spark, d: changes.build(without_content(spark, d))["skipped"])
+query(
+    "missing_content_events",
+    f"{CARRIED_OVER} SELECT term_id, commit_seq, sha1(CAST(commit_seq AS VARCHAR)) AS sha, p AS predicate, x AS value, operation FROM (SELECT *, 'add' AS operation FROM (SELECT * FROM now EXCEPT ALL SELECT * FROM old) UNION ALL SELECT *, 'remove' AS operation FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM now)) JOIN axis USING (v)",
+)(lambda spark, d: changes.build(without_content(spark, d))["events"])
+query(
+    "id_mismatch",
+    f"WITH {STATE} SELECT 3 AS commit_seq, sha1('3') AS sha, term_id, CASE WHEN bool_or({BAD}) THEN 'ParseError' ELSE 'IdMismatch' END AS error FROM state WHERE commit_seq = 3 GROUP BY term_id HAVING bool_or({BAD}) OR CAST(substr(term_id, 6) AS INT) % 5 = 0",
+)(lambda spark, d: changes.build(star.documents(spark, d, mismatch=True).filter("commit_seq = 3"))["skipped"])
+
+
+def appended(spark, d: str) -> DataFrame:
+    """The events of two batches, the second built on what the first left."""
+    root, versions = artifact.shared_folder(spark, "appended"), star.documents(spark, d)
+    for n, (low, high) in enumerate(((0, 15), (15, 1 << 30))):
+        append_batch(versions.filter(F.col("commit_seq").between(low, high - 1)), root, n)
+    return spark.read.parquet(f"{root}/events").drop("batch")
+
+
+query("appended_events", ORACLES["build_events"])(appended)
+
+# What lists of releases and submissions bring.
+query(
+    "content_sniff",
+    r"SELECT doc_id, regexp_matches(CASE doc_id % 4 WHEN 0 THEN concat('format-version: 1.2', chr(10), coalesce(text, '')) WHEN 1 THEN concat(' ', chr(10), 'format-version:2', coalesce(text, '')) WHEN 2 THEN concat('x', chr(10), 'format-version: 1') ELSE coalesce(text, '') END, '^\s*format-version:\s*\d') AS is_document FROM documents",
+)(
+    lambda spark, d: star.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select(
+        "doc_id",
+        text.looks_like_document(
+            F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("format-version: 1.2\n"), "t")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" \nformat-version:2"), "t")).when(F.col("doc_id") % 4 == 2, "x\nformat-version: 1").otherwise(F.col("t"))
+        ).alias("is_document"),
+    )
+)
+
+
+def listing(spark, d: str) -> DataFrame:
+    """Pages of submissions: lists, and objects that hold one."""
+    name = F.struct(F.col("source").alias("name"), F.lit("x@example.org").alias("email"))
+    one = F.struct(
+        F.col("doc_id").alias("submissionId"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("version"), F.lit("").alias("released"), F.lit("2020-01-01").alias("creationDate"),
+        F.when(F.col("lang") == "en", "OBO").otherwise("OWL").alias("hasOntologyLanguage"), F.substring("text", 1, 50).alias("description"), F.array(name).alias("contact"), F.lit(1).alias("other"),
+    )
+    return star.table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array(one))).otherwise(F.to_json(F.struct(F.array(one).alias("collection"), F.lit("next").alias("nextPage")))).alias("body"))
+
+
+query(
+    "submission_listing",
+    "SELECT doc_id AS submission_id, concat('v', CAST(doc_id AS VARCHAR)) AS version, '' AS released, '2020-01-01' AS creation_date, CASE WHEN lang = 'en' THEN 'OBO' ELSE 'OWL' END AS language, substr(text, 1, 50) AS description, source AS contact_name FROM documents",
+)(lambda spark, d: commits.submissions(listing(spark, d)).withColumn("contact_name", F.col("contact")[0]["name"]).drop("contact"))
+
+# Texts as values: letters of several alphabets, and three namespaces.
+asked_prose("prose_search_icase", f"{DETAIL} WHERE contains(lower(e.value), 'ichä')", lambda h: h.search("ICHÄ", ignore_case=True))
+asked_prose("prose_search_case", f"{DETAIL} WHERE contains(e.value, 'Der ')", lambda h: h.search("Der "))
+asked_prose("prose_search_regex_icase", f"{DETAIL} WHERE regexp_matches(e.value, '[^ ]Ä( |,)', 'i')", lambda h: h.search("[^ ]Ä( |,)", regex=True, ignore_case=True))
+asked_prose("prose_search_regex", f"{DETAIL} WHERE regexp_matches(e.value, '^[A-Z][a-zé]+ ')", lambda h: h.search("^[A-Z][a-zé]+ ", regex=True))
+asked_prose("prose_search_namespace", f"{DETAIL} WHERE contains(lower(e.value), 'the') AND starts_with(e.term_id, 'CONV:')", lambda h: h.search("THE", ignore_case=True, namespace="CONV"))
+asked_prose("prose_range_namespace", f"{DETAIL} WHERE e.commit_seq > 0 AND e.commit_seq <= 2 AND starts_with(e.term_id, 'PAGE:')", lambda h: h.range_events(2, 0, namespace="PAGE"))
+SHA_2 = "da4b9237ba"
+asked_prose("prose_commit_events_namespace", "SELECT e.term_id, s.name, e.operation, e.predicate, e.value FROM ev e LEFT JOIN snap s ON s.term_id = e.term_id AND s.commit_seq = e.commit_seq WHERE e.commit_seq = 2 AND starts_with(e.term_id, 'DOC:')", lambda h: h.commit_events(SHA_2, "DOC"))
+asked_prose("prose_timeline", f"{TIMELINE} WHERE e.term_id = 'DOC:6'", lambda h: h.timeline("DOC:6"))
+
+# Commits as a reader sees them.
+NESTED = "(SELECT commit_seq, string_agg(concat('    ⤷ ', substr(sha1(concat(CAST(commit_seq AS VARCHAR), '/', message)), 1, 7), '  ', message), chr(10) ORDER BY newest DESC, sha1(concat(CAST(commit_seq AS VARCHAR), '/', message)) DESC) AS nested FROM (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS commit_seq, event_type AS message, max(ts) AS newest FROM events GROUP BY 1, 2) WHERE commit_seq % 3 = 1 GROUP BY 1)"
+HEADER = "concat_ws(chr(10), concat(substr(sha, 1, 7), '  ', strftime(committed_date, '%Y-%m-%d'), '  ', author_name, '  ', CASE WHEN commit_seq % 3 = 1 THEN concat('Title ', CAST(commit_seq AS VARCHAR), ' (#7)') ELSE string_split(message, chr(10))[1] END), CASE WHEN commit_seq % 3 = 1 THEN concat('      ', string_split(message, chr(10))[1]) END, '      PR #' || CAST(pr_number AS VARCHAR), '      ' || snapshot_url"
+asked("commit_header", f"SELECT commit_seq, {HEADER}) AS header FROM com", lambda h: h.commit_headers())
+asked("commit_header_commits", f"SELECT commit_seq, {HEADER}, nested) AS header FROM com LEFT JOIN {NESTED} USING (commit_seq)", lambda h: h.commit_headers(show_commits=True))
+asked(
+    "timeline_branch_commits", f"SELECT DISTINCT commit_seq, nested FROM ev LEFT JOIN {NESTED} USING (commit_seq) WHERE term_id = '{TERM}'",
+    lambda h: h.timeline(TERM).select("commit_seq", F.array_join(F.transform("branch_commits", lambda c: F.concat(F.lit("    ⤷ "), F.substring(c["sha"], 1, 7), F.lit("  "), c["message"])), "\n").alias("nested")).distinct(),
+)
+
+
+def messy(spark, d: str) -> DataFrame:
+    """Clause lines that are spaced at random, and what they say."""
+    i = F.col("doc_id").cast("string")
+    word = F.regexp_extract("text", r"([a-z]+)", 1)
+    return star.table(spark, d, "documents").select("doc_id", F.explode(F.array(
+        F.concat(F.lit('synonym:   "'), word, F.lit(',  {x}"   EXACT  [A:1,B:'), i, F.lit('  , C:2 ]   {note = "a,b",source="S:'), i, F.lit('"}   !   label  here ')),
+        F.concat(F.lit("is_a: X:"), i, F.lit('{source="q",k="1"} ! '), word),
+        F.concat(F.lit("name:  "), word, F.lit("  and, more")),
+        F.concat(F.lit('def: "It ends. [no] '), word, F.lit('"[R:'), i, F.lit("]")),
+    )).alias("line"))
+
+
+CANONICAL = r"""WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, regexp_extract(text, '([a-z]+)', 1) AS w FROM documents)
+SELECT doc_id, 'synonym' AS predicate, concat('"', w, ',  {x}" EXACT [A:1, B:', i, ', C:2] {note="a,b", source="S:', i, '"} ! label  here') AS value FROM d
+UNION ALL SELECT doc_id, 'is_a', concat('X:', i, ' {source="q", k="1"}', CASE WHEN w <> '' THEN concat(' ! ', w) ELSE '' END) FROM d
+UNION ALL SELECT doc_id, 'name', trim(concat(w, '  and, more')) FROM d
+UNION ALL SELECT doc_id, 'def', concat('"It ends. [no] ', w, '" [R:', i, ']') FROM d"""
+query("canonical_clauses", CANONICAL)(lambda spark, d: messy(spark, d).select("doc_id", stanzas.canonical(F.col("line")).alias("c")).select("doc_id", "c.predicate", "c.value"))
+
 # Clause-aware views: no SQL can pair greedily; tests compare them with small worked cases.
 query("pair_events", None)(lambda spark, d: pairing.pair_changes(changes.state_delta(star.state(spark, d))))
 query("edit_kind", None)(lambda spark, d: pairing.edit_kinds(pairing.pair_changes(changes.state_delta(star.state(spark, d)))))
@@ -278,3 +407,23 @@ def qualified(spark, d: str) -> DataFrame:
 
 query("qualifier_block", None)(lambda spark, d: pairing.edit_texts(pairing.pair_changes(qualified(spark, d))))
 query("search_delta_filtered", None)(lambda spark, d: pairing.search_hits(qualified(spark, d).filter(F.col("value").contains("S:3")), "S:3"))
+
+
+def with_sides(changed: DataFrame, of) -> DataFrame:
+    """The changes of the groups for whose numbers of removals and additions ``of`` holds."""
+    n = changed.groupBy("term_id", "commit_seq", "predicate").agg(F.count_if(F.col("operation") == "remove").alias("r"), F.count_if(F.col("operation") == "add").alias("a"))
+    return changed.join(n.filter(of(F.col("r"), F.col("a"))).drop("r", "a"), ["term_id", "commit_seq", "predicate"], "left_semi")
+
+
+# Of pairing, what SQL can say: changes without a partner, and single partners of one body.
+query(
+    "render_unpaired",
+    f"WITH {STATE}, {EVENTS} SELECT term_id, commit_seq, predicate, operation AS kind, concat(CASE operation WHEN 'add' THEN '+ ' ELSE '- ' END, predicate, ': ', value) AS lines FROM ev QUALIFY min(operation) OVER (PARTITION BY term_id, commit_seq, predicate) = max(operation) OVER (PARTITION BY term_id, commit_seq, predicate)",
+)(lambda spark, d: pairing.rendered(pairing.pair_changes(with_sides(changes.state_delta(star.state(spark, d)), lambda r, a: (r == 0) | (a == 0)))).select("term_id", "commit_seq", "predicate", "kind", "lines"))
+QUALIFIED = f"""WITH {STATE}, {EVENTS}, q AS (SELECT term_id, commit_seq, predicate, operation, CAST(value AS INT) % 7 AS body,
+  concat('X:', CAST(CAST(value AS INT) % 7 AS VARCHAR), ' {{source="S:', CAST(CAST(value AS INT) % 5 AS VARCHAR), '", note="n', CAST(CAST(value AS INT) % 3 AS VARCHAR), '"}} ! name ', CAST(CAST(value AS INT) % 2 AS VARCHAR)) AS value FROM ev),
+g AS (SELECT term_id, commit_seq, predicate, min(value) FILTER (WHERE operation = 'remove') AS before, min(value) FILTER (WHERE operation = 'add') AS after, min(body) AS lo, max(body) AS hi FROM q GROUP BY 1, 2, 3
+  HAVING count(*) = 2 AND count(*) FILTER (WHERE operation = 'add') = 1)"""
+query("pair_same_body", f"{QUALIFIED} SELECT term_id, commit_seq, predicate, 'edit' AS kind, before, after FROM g WHERE lo = hi")(
+    lambda spark, d: pairing.pair_changes(with_sides(qualified(spark, d), lambda r, a: (r == 1) & (a == 1))).filter("kind = 'edit' and split(before, ' ')[0] = split(after, ' ')[0]")
+)

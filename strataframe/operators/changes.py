@@ -138,13 +138,18 @@ def presence_of_documents(versions: DataFrame, numbered: DataFrame) -> DataFrame
 
 
 def missing_content(versions: DataFrame) -> DataFrame:
-    return versions.filter("content is null").select("commit_seq", "sha", F.lit(None).cast("string").alias("term_id"), F.lit("BlobMissing").alias("error"))
+    """A skipped row for each version without content, also where it comes in parts."""
+    gone = versions.filter("content is null").select("commit_seq", "sha")
+    return (gone.distinct() if "part" in versions.columns else gone).select("commit_seq", "sha", F.lit(None).cast("string").alias("term_id"), F.lit("BlobMissing").alias("error"))
 
 
-def build(versions: DataFrame) -> dict[str, DataFrame]:
-    """The change tables of versions (commit_seq int, sha string, content string; null content: missing), whole or in parts."""
+def build(versions: DataFrame, keep=lambda presence: presence) -> dict[str, DataFrame]:
+    """The change tables of versions (commit_seq int, sha string, content string; null content: missing), whole or in parts.
+
+    ``keep`` may write the presence table and give it back, so that the tables don't each work it out.
+    """
     numbered = number_readable(versions)
-    out = change_tables(presence_of_documents(versions, numbered), numbered)
+    out = change_tables(keep(presence_of_documents(versions, numbered)), numbered)
     out["skipped"] = out["skipped"].unionByName(missing_content(versions))
     return out
 

@@ -32,14 +32,40 @@ def releases_asof(tags: DataFrame, commits: DataFrame) -> DataFrame:
 def unchanged_content(versions: DataFrame, content: str, order: str) -> DataFrame:
     """Rows whose content differs from the row before: a new version. Others only lend their tag to the last kept one.
 
-    Adds ``kept`` and ``version``, the order value of the kept row that the row stands for. The digest
-    of the content is ordered as one sequence, as versions of one document are.
+    Adds ``kept`` and ``version``, the order value of the kept row that the row stands for. ``order`` names each row; null
+    content counts as empty. Contents are hashed where they are, and only (order, digest) goes through the
+    window, as one sequence.
     """
-    rows = versions.select("*", F.sha1(F.coalesce(F.col(content), F.lit(""))).alias("__digest"))
-    w = Window.orderBy(order)
-    marked = rows.withColumn("kept", F.coalesce(F.lag("__digest").over(w) != F.col("__digest"), F.lit(True)))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("version", F.max(F.when(F.col("kept"), F.col(order))).over(upto)).drop("__digest")
+    told = versions.select(F.col(order).alias("__order"), F.sha1(F.coalesce(F.col(content), F.lit(""))).alias("__digest"))
+    w = Window.orderBy("__order")
+    marked = told.withColumn("kept", F.coalesce(F.lag("__digest").over(w) != F.col("__digest"), F.lit(True)))
+    version = F.max(F.when(F.col("kept"), F.col("__order"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("version")
+    return versions.join(marked.select("__order", "kept", version), F.col(order) == F.col("__order")).drop("__order")
+
+
+def submissions(pages: DataFrame) -> DataFrame:
+    """pages (body string: a JSON list of submissions, or an object with one as ``collection``) -> the rows of
+    ``new_submissions``'s ``listed``. Other keys are left out; a page that isn't JSON gives no rows."""
+    one = "struct<submissionId:bigint,version:string,released:string,creationDate:string,hasOntologyLanguage:string,description:string,contact:array<struct<name:string,email:string>>>"
+    plain = F.from_json("body", f"array<{one}>")
+    paged = F.from_json("body", f"struct<collection:array<{one}>>")["collection"]
+    # an object read as a list gives one row of nulls, so the first character tells which it is
+    found = pages.select(F.explode(F.when(F.ltrim("body").startswith("["), plain).otherwise(paged)).alias("s")).filter("s is not null")
+    return found.select(
+        F.col("s.submissionId").alias("submission_id"), "s.version", "s.released", F.col("s.creationDate").alias("creation_date"),
+        F.col("s.hasOntologyLanguage").alias("language"), "s.description", "s.contact",
+    )
+
+
+class NoSuchLanguage(ValueError):
+    """None of the submissions is in the language that was asked for."""
+
+
+def require_language(listed: DataFrame, language: str = "OBO") -> DataFrame:
+    """``listed``, if any of it is in the language."""
+    if listed.filter(F.col("language") == language).isEmpty():
+        raise NoSuchLanguage(f"no submission in {language}")
+    return listed
 
 
 def new_releases(listed: DataFrame, known_tags: DataFrame, asset: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.functions.text import MERGE_SUBJECT, date_prefix, first_line, short_sha, subject
+
 COMMIT = ["commit_seq", "committed_date", "sha", "author_name", "pr_number", "message", "branch_commits", "snapshot_url"]
 ROW = ["commit_seq", "committed_date", "sha", "author_name", "pr_number", "message", "operation", "predicate", "value", "branch_commits", "snapshot_url"]
 
@@ -25,6 +27,10 @@ class History:
     def __init__(self, events: DataFrame, commits: DataFrame, term_snapshots: DataFrame, releases: DataFrame | None = None):
         self.events, self.commits, self.snapshots, self._releases = events, commits, term_snapshots, releases
 
+    @property
+    def releases_table(self) -> DataFrame | None:
+        return self._releases
+
     def _with_commits(self, events: DataFrame) -> DataFrame:
         return events.drop("sha").join(self.commits.select(*COMMIT), "commit_seq")
 
@@ -113,6 +119,29 @@ class History:
         """The first commit whose sha starts so."""
         return self.commits.filter(F.col("sha").startswith(sha_prefix)).orderBy("commit_seq").limit(1).select(*COMMIT)
 
+    def commit_headers(self, pr_link: str | None = None, show_commits: bool = False, hide_sha: bool = False, prefix: str = "") -> DataFrame:
+        """(commit_seq, header) of every commit: sha, day, author and subject, then lines for what belongs to it.
+
+        A merge that brings a title is headed by that, with its own subject below and its branch commits only on demand;
+        others show their branch commits. ``pr_link``: what a pull request's number is appended to. ``prefix`` stands
+        before the subject.
+        """
+        message = F.coalesce("message", F.lit(""))
+        promoted = message.rlike(MERGE_SUBJECT) & (subject(message) != first_line(message))
+        lead = F.concat(*([] if hide_sha else [short_sha(F.col("sha")), F.lit("  ")]), date_prefix(F.col("committed_date")), F.lit("  "), F.when(F.col("author_name") != "", F.concat("author_name", F.lit("  "))).otherwise(""))
+        branch = F.transform("branch_commits", lambda c: F.concat(F.lit("    ⤷ "), short_sha(c["sha"]), F.lit("  "), first_line(F.coalesce(c["message"], F.lit("")))))
+        shown = F.when(F.lit(True) if show_commits else ~promoted, branch)
+        lines = F.concat(
+            F.array(
+                F.concat(lead, F.lit(prefix), F.when(promoted, subject(message)).otherwise(first_line(message))),
+                F.when(promoted, F.concat(F.lit("      "), first_line(message))),
+                F.concat(F.lit(f"      {pr_link}" if pr_link else "      PR #"), F.col("pr_number").cast("string")),
+                F.concat(F.lit("      "), F.col("snapshot_url")),
+            ),
+            F.coalesce(shown, F.array().cast("array<string>")),
+        )
+        return self.commits.select("commit_seq", F.array_join(F.array_compact(lines), "\n").alias("header")).orderBy("commit_seq")
+
     def commit_events(self, sha_prefix: str, namespace: str | None = None) -> DataFrame:
         own = self.events.join(self.commit(sha_prefix).select("commit_seq"), "commit_seq", "left_semi").filter(self._in(namespace))
         return self._with_names(own).select("term_id", "name", "operation", "predicate", "value").orderBy("term_id", "operation", "predicate", "value")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.clauses import delta_matches, edit_kind, edit_lines, pair_counted
+from strataframe.functions.text import truncated
 
 OPS = "term_id string, commit_seq int, predicate string, kind string, before string, after string"
 GROUP = ["term_id", "commit_seq", "predicate"]
@@ -76,6 +77,13 @@ def edit_texts(ops: DataFrame, cap: int | None = 200) -> DataFrame:
     return _on_edits(ops, OPS + ", lines string", lambda p: p.assign(lines=[lines(x) for x in zip(p["predicate"], p["before"], p["after"])]))
 
 
+def rendered(ops: DataFrame, cap: int | None = 200) -> DataFrame:
+    """OPS with their lines: marker and text, joined by line breaks. Additions and removals stay in the JVM."""
+    short = lambda c: truncated(c, cap) if cap is not None else c
+    plain = F.concat(F.when(F.col("kind") == "add", "+ ").otherwise("- "), "predicate", F.lit(": "), short(F.coalesce("before", "after")))
+    return edit_texts(ops, cap).unionByName(ops.filter("kind <> 'edit'").withColumn("lines", plain))
+
+
 def search_hits(matched: DataFrame, query: str, regex: bool = False, ignore_case: bool = False) -> DataFrame:
     """OPS of matched changes, without edits that the query hits only in what they kept."""
     ops = pair_changes(matched)

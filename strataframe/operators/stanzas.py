@@ -15,8 +15,16 @@ STANZA = r"(?m)(?=^\[[^\]\n]+\]\n)"
 ID_LINE = r"(?m)^id: [^\S\n]*(\S+)"
 # What a line must look like to be read: any clause, and those with quoted text.
 ANY_CLAUSE = r"^[A-Za-z_][A-Za-z0-9_-]*:(?: .*)?$"
-SYNONYM = r'^"(?:[^"\\]|\\.)*" (?:EXACT|BROAD|NARROW|RELATED)(?: [^\s\[]+)? \[.*\].*$'
-DEFINITION = r'^"(?:[^"\\]|\\.)*" \[.*\].*$'
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+SYNONYM = rf"^{QUOTED} (?:EXACT|BROAD|NARROW|RELATED)(?: [^\s\[]+)? \[.*\].*$"
+DEFINITION = rf"^{QUOTED} \[.*\].*$"
+# A value is a body, a block of qualifiers and a comment; quotes and escapes hide what stands in them.
+VALUE = rf'^((?:[^"\\{{!]++|{QUOTED}|\\.|[{{!])*?)[ \t]*(\{{(?:[^"{{}}\\]++|{QUOTED}|\\.)*+\}})?[ \t]*((?<![^ \t])![ \t].*|(?<![^ \t])!)?$'
+OUTSIDE = r'(?=[^"]*(?:"[^"]*"[^"]*)*$)'
+#: Clauses whose value is running text, in which blanks and commas mean nothing.
+FREE_TEXT = ("name", "comment", "created_by", "creation_date")
+#: Clauses that end in a list of references.
+WITH_XREFS = ("synonym", "def")
 
 
 def stanza_id(stanza: Column) -> Column:
@@ -39,15 +47,41 @@ def lines_of(stanza: Column) -> Column:
     return F.filter(F.slice(lines, 2, F.size(lines)), lambda x: (x != "") & ~x.startswith("!") & ~x.startswith("id:"))
 
 
+def list_of(inner: Column) -> Column:
+    """A comma-separated list with one blank after each comma; commas in quotes stay."""
+    return F.array_join(F.transform(F.split(inner, "," + OUTSIDE), lambda x: F.trim(x)), ", ")
+
+
+def canonical(line: Column) -> Column:
+    """(predicate, value) of a clause line, written in one way: a document that is only spaced in another way
+    has the same clauses.
+
+    One blank between the parts of a value, none around ``=`` in qualifiers, one after each comma of the qualifiers and
+    of a list of references. The order of qualifiers is part of the value.
+    """
+    c = clause(F.regexp_replace(line, r"^([^:\s]+):[ \t]*(?=\S)", "$1: "))
+    value = F.trim(c["value"])
+    part = lambda k: F.regexp_extract(value, VALUE, k)
+    body = F.regexp_replace(F.trim(part(1)), r"[ \t]+" + OUTSIDE, " ")
+    xrefs = F.regexp_extract(body, r"\[([^\[\]]*)\]$", 1)
+    listed = F.when(c["predicate"].isin(*WITH_XREFS) & body.endswith("]"), F.concat(F.regexp_replace(body, r"\s*\[[^\[\]]*\]$", " ["), list_of(xrefs), F.lit("]"))).otherwise(body)
+    inner = F.regexp_replace(F.regexp_extract(part(2), r"^\{(.*)\}$", 1), r"[ \t]*=[ \t]*" + OUTSIDE, "=")
+    qualifiers = F.when(part(2) != "", F.concat(F.lit(" {"), list_of(inner), F.lit("}"))).otherwise("")
+    said = F.trim(F.substring(part(3), F.lit(2), F.length(part(3))))
+    comment = F.when(said != "", F.concat(F.lit(" ! "), said)).otherwise("")
+    whole = F.when(value.rlike(VALUE), F.concat(listed, qualifiers, comment)).otherwise(value)
+    return F.struct(c["predicate"].alias("predicate"), F.when(c["predicate"].isin(*FREE_TEXT), value).otherwise(whole).alias("value"))
+
+
 def clauses_of(stanza: Column) -> Column:
-    """Sorted array of (predicate, value)."""
-    return F.array_sort(F.transform(lines_of(stanza), clause))
+    """Sorted array of (predicate, value), each in its one way of writing."""
+    return F.array_sort(F.transform(lines_of(stanza), canonical))
 
 
 def parse_error(stanza: Column, term_id: Column) -> Column:
     """Null, or why the stanza can't be read. Rows fail one by one, so a bad stanza costs no other."""
     bad = F.exists(
-        F.transform(lines_of(stanza), lambda x: F.struct(x.alias("line"), clause(x).alias("c"))),
+        F.transform(lines_of(stanza), lambda x: F.struct(x.alias("line"), canonical(x).alias("c"))),
         lambda x: ~x["line"].rlike(ANY_CLAUSE)
         | ((x["c"]["predicate"] == "synonym") & ~x["c"]["value"].rlike(SYNONYM))
         | ((x["c"]["predicate"] == "def") & ~x["c"]["value"].rlike(DEFINITION)),

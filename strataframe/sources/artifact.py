@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataframe.operators.history import History
 from strataframe.schemas import REQUIRED, SCHEMA_VERSION, TABLES
@@ -43,16 +47,32 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", ro
     """Part files of the declared schema; an empty table is written as one too. Entities are clustered for skipping."""
     spark = df.sparkSession
     want = spark.createDataFrame([], TABLES[name]).schema
-    shaped = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in want])
+    have = set(df.columns)
+    shaped = df.select(*[(df[f.name] if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
     if "term_id" in df.columns:
         # row groups of few entities: a filter on one reads few of them
         shaped = shaped.repartitionByRange("term_id", "commit_seq").sortWithinPartitions("term_id", "commit_seq")
     shaped.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{root.rstrip('/')}/{name}")
 
 
-def build_meta(commits: DataFrame, source_path: str, generator: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``); a temporary one in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="strataframe-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
+def write_history(history: History, root: str) -> None:
+    """Commits, events, snapshots and releases of a history, to be opened and asked often."""
+    for name, df in (("commits", history.commits), ("events", history.events), ("term_snapshots", history.snapshots), ("releases", history.releases_table)):
+        if df is not None:
+            write_table(df, root, name)
+
+
+def build_meta(commits: DataFrame, source_path: str, generator: str) -> DataFrame:
     return commits.agg(F.min("commit_seq").alias("first_commit_seq"), F.max("commit_seq").alias("last_commit_seq"), F.count(F.lit(1)).cast("int").alias("n_commits")).select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(generator).alias("generator_version"), F.lit(source_path).alias("source_path"),
         "first_commit_seq", "last_commit_seq", "n_commits",

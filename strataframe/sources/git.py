@@ -6,6 +6,7 @@ needed, by one ``git cat-file`` per partition, from a clone that all executors s
 
 from __future__ import annotations
 
+import os
 import subprocess
 from datetime import datetime, timezone
 
@@ -26,6 +27,16 @@ def clone(url: str, to: str, ref: str | None = None, since: str | None = None, d
     subprocess.run(["git", "clone", "--filter=blob:none", "--no-checkout", *(["--branch", ref] if ref else []), *cut, url, to], check=True)
 
 
+def synced(url: str, to: str, path: str, ref: str | None = None, since: str | None = None) -> str:
+    """A clone with all contents of ``path``; doing it again fetches what is new. ``since`` counts for the first time only."""
+    if os.path.isdir(os.path.join(to, ".git")):
+        git(to, "fetch", "--tags")
+    else:
+        clone(url, to, ref, since)
+    backfill(to, path)
+    return to
+
+
 def backfill(repo: str, path: str) -> None:
     """Fetch the contents of one path at once."""
     git(repo, "sparse-checkout", "set", "--no-cone", path)
@@ -42,9 +53,9 @@ def when(text: str) -> datetime:
 
 
 def branch_commits(repo: str, main: str, merged: str) -> list[tuple]:
-    """What a merge brought in, newest first; none where the range can't be listed."""
+    """What a merge brought in, newest first, with subjects as messages; none where the range can't be listed."""
     try:
-        out = git(repo, "log", "--no-merges", f"--format=%H{FIELD}%an{FIELD}%aI{FIELD}%B{RECORD}", f"{main}..{merged}")
+        out = git(repo, "log", "--no-merges", f"--format=%H{FIELD}%an{FIELD}%aI{FIELD}%s{RECORD}", f"{main}..{merged}")
     except subprocess.CalledProcessError:
         return []
     rows = (r.strip("\n").split(FIELD, 3) for r in out.split(RECORD) if r.strip())
@@ -76,10 +87,15 @@ def file_history(repo: str, path: str, ref: str = "HEAD") -> tuple[list[tuple],
 
 
 def tags(repo: str) -> list[tuple[str, str, datetime]]:
+    """(name, commit, author date) of each tag that leads to a commit, through annotated tags; one listing for all."""
+    kinds = ["objecttype", "objectname", "authordate:iso-strict"]
+    fields = FIELD.join(["%(refname:short)", *(f"%({k})" for k in kinds), *(f"%(*{k})" for k in kinds)])
     out = []
-    for tag in git(repo, "tag").split():
-        sha, date = git(repo, "log", "-1", f"--format=%H{FIELD}%aI", f"{tag}^{{commit}}").strip().split(FIELD)
-        out.append((tag, sha, when(date)))
+    for line in git(repo, "for-each-ref", "refs/tags", f"--format={fields}").splitlines():
+        tag, *own = line.split(FIELD)
+        kind, sha, date = own[3:] if own[3] else own[:3]
+        if kind == "commit":
+            out.append((tag, sha, when(date)))
     return out
 
 
@@ -104,17 +120,15 @@ def versions_frame(spark: SparkSession, repo: str, rows: list[tuple], per_task:
     def read(batches):
         with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
             for batch in batches:
-                out = []
-                for blob in batch["blob"]:
+                for seq, sha, blob in zip(batch["commit_seq"], batch["sha"], batch["blob"]):
                     p.stdin.write(f"{blob}\n".encode())
                     p.stdin.flush()
-                    head = p.stdout.readline().split()
-                    if len(head) < 3:  # "<name> missing"
-                        out.append(None)
-                        continue
-                    out.append(p.stdout.read(int(head[2])).decode("utf-8", "replace"))
-                    p.stdout.read(1)
-                yield pd.DataFrame({"commit_seq": batch["commit_seq"], "sha": batch["sha"], "content": out})
+                    size = p.stdout.readline().split()
+                    text = None  # "<name> missing"
+                    if len(size) == 3:
+                        text = p.stdout.read(int(size[2])).decode("utf-8", "replace")
+                        p.stdout.read(1)
+                    yield pd.DataFrame({"commit_seq": [seq], "sha": [sha], "content": [text]})  # one at a time: they are large
             p.stdin.close()
 
     return listed.mapInPandas(read, "commit_seq int, sha string, content string")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators.changes import change_tables, number_readable, presence_of_state
 from strataframe.operators.commits import derive, releases_asof
 from strataframe.operators.history import History
+from strataframe.sources.artifact import open_history, shared_folder, write_history
 
 #: What stands for the name and the obsolete flag in these tables.
 NAME, OBSOLETE = "signup", ("error", "100")
@@ -83,18 +84,55 @@ def history(spark: SparkSession, sf_dir: str) -> History:
     return History(made["events"], full, made["term_snapshots"], releases_asof(tags(spark, sf_dir), log))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Where the histories of this application's driver tables have been written.
+_written: dict[tuple[str, str], str] = {}
+
+
+def stored_history(spark: SparkSession, sf_dir: str) -> History:
+    """``history``, built and written once an application, and opened from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        root = shared_folder(spark, "history")
+        write_history(history(spark, sf_dir), root)
+        _written[key] = root
+    return open_history(spark, _written[key])
+
+
+def prose_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of three namespaces, with texts as values: documents, turns of conversations and pages."""
+    start = lambda c: F.coalesce(F.substring(c, 1, 80), F.lit(""))
+    read = lambda name, prefix, i, at, predicate, value: table(spark, sf_dir, name).select(
+        F.concat(F.lit(prefix), F.col(i).cast("string")).alias("term_id"), (F.col(at) % 4).cast("int").alias("commit_seq"), predicate.alias("predicate"), start(F.col(value)).alias("value")
+    )
+    docs = read("documents", "DOC:", "doc_id", "doc_id", F.coalesce("lang", F.lit("none")), "text")
+    turns = read("conversations", "CONV:", "conv_id", "turn", F.coalesce("role", F.lit("none")), "text")
+    return docs.unionByName(turns).unionByName(read("pages", "PAGE:", "page_id", "page_id", F.lit("url"), "url"))
+
+
+def in_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents numbered by text, so that equal ones follow each other."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = rows.select("doc_id", F.row_number().over(Window.orderBy("text", "doc_id")).cast("long").alias("n"))
+    return rows.join(order, "doc_id")
+
+
+def prose_history(spark: SparkSession, sf_dir: str) -> History:
+    made = change_tables(presence_of_state(prose_state(spark, sf_dir)), numbered(spark, sf_dir).filter("vidx < 4"), NAME, OBSOLETE)
+    log = commits(spark, sf_dir)
+    return History(made["events"], log.withColumn("branch_commits", F.lit(None).cast("array<struct<sha:string>>")), made["term_snapshots"], releases_asof(tags(spark, sf_dir), log))
+
+
+def documents(spark: SparkSession, sf_dir: str, mismatch: bool = False) -> DataFrame:
     """Versions of a document of stanzas, in parts: a user is an entity, its events of a day are clauses; a day is a version.
 
-    A part holds one stanza, so no row grows with the number of users. Every seventh event of value 13 is
-    written so that its stanza can't be read.
+    A part holds one stanza, so no row grows with the number of users. Errors of value 13 are
+    written so that their stanza can't be read. With ``mismatch`` every fifth user's id line has more than its id.
     """
     rows = state(spark, sf_dir)
     line = F.when((F.col("predicate") == "error") & (F.col("value") == "13"), F.lit('synonym: "x" WRONGSCOPE []')).otherwise(F.concat_ws(": ", "predicate", "value"))
     lines = rows.groupBy("commit_seq", "term_id", line.alias("line")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     body = F.transform(F.array_sort(F.collect_list(F.struct("line", "n"))), lambda x: F.repeat(F.concat(x["line"], F.lit("\n")), x["n"]))
     terms = lines.groupBy("commit_seq", "term_id").agg(F.array_join(body, "").alias("body"))
-    content = F.concat(F.lit("format-version: 1.2\n\n[Term]\nid: "), F.col("term_id"), F.lit(" ! user\n"), F.col("body"), F.lit("\n[Typedef]\nid: part_of\n"))
+    more = F.when(F.lit(mismatch) & (F.substring_index("term_id", ":", -1).cast("int") % 5 == 0), " again").otherwise("")
+    content = F.concat(F.lit("format-version: 1.2\n\n[Term]\nid: "), F.col("term_id"), more, F.lit(" ! user\n"), F.col("body"), F.lit("\n[Typedef]\nid: part_of\n"))
     return terms.select("commit_seq", F.sha1(F.col("commit_seq").cast("string")).alias("sha"), F.col("term_id").alias("part"), content.alias("content"))
-
-

@@ -37,7 +37,7 @@ def append_batch(versions: DataFrame, root: str, batch: int) -> None:
     spark = versions.sparkSession
     position = _read(spark, f"{root}/position", POSITION + ", batch int").filter(F.col("batch") < batch).orderBy(F.desc("batch")).first()
     last_seq, last_vidx, before = (position.last_seq, position.last_vidx, position.batch) if position else (-1, -1, None)
-    span = versions.agg(F.min("commit_seq").alias("lo"), F.max("commit_seq").alias("hi"), F.count("content").alias("readable")).first()
+    span = versions.agg(F.min("commit_seq").alias("lo"), F.max("commit_seq").alias("hi")).first()
     if span.lo is None:
         return
     if span.lo <= last_seq:
@@ -49,7 +49,8 @@ def append_batch(versions: DataFrame, root: str, batch: int) -> None:
     tables["skipped"] = tables["skipped"].unionByName(missing_content(versions))
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
-    top = last_vidx + span.readable
+    top = numbered.agg(F.max("vidx")).first()[0]
+    top = last_vidx if top is None else top
     heads_of(presence, top).write.mode("overwrite").parquet(f"{root}/heads/batch={batch}")
     # written last: a batch without a position is done again
     spark.createDataFrame([(span.hi, top)], POSITION).coalesce(1).write.mode("overwrite").parquet(f"{root}/position/batch={batch}")
@@ -58,9 +59,12 @@ def append_batch(versions: DataFrame, root: str, batch: int) -> None:
 def append_stream(spark: SparkSession, source: str, root: str, checkpoint: str, files_per_batch: int = 16):
     """Start the stream over the files in ``source``; it ends when what is there has been built."""
     stream = spark.readStream.schema(VERSIONS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return (
-        stream.writeStream.foreachBatch(lambda df, n: append_batch(df.persist(), root, n))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def build(df, n):
+        held = df.persist()
+        try:
+            append_batch(held, root, n)
+        finally:
+            held.unpersist()
+
+    return stream.writeStream.foreachBatch(build).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from strataframe.jobs import catalog
@@ -23,6 +25,27 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_a_question_to_stored_tables_reads_its_entity_alone(spark):
+    plan = catalog.QUERIES["stored_term_timeline"](spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert f"EqualTo(term_id,{catalog.TERM})" in plan and "RoundRobin" not in plan
+    # nothing of the history is worked out anew: two scans, each named in the tree and below it
+    assert plan.count("Scan parquet") == 4 and "Window" not in plan
+
+
+def test_the_entry_hides_only_missing_parts(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/strataframe", tmp_path / "strataframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))]
+    (tmp_path / "corpus_pipeline.py").write_text("import strataframe.no_such_part\n")
+    assert "no_such_part" in run().stderr
+
+
 def test_delta_takes_one_shuffle(spark):
     plan = catalog.QUERIES["events_delta"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan.split("Subquery")[0]

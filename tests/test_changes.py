@@ -80,15 +80,24 @@ def test_random_histories_follow_the_rules(spark):
         assert rows(made["term_snapshots"], "term_id", "commit_seq") == shots
 
 
-def test_five_versions(spark):
-    a, b = "M:0000001", "M:0000002"
-    history = [{a: ["name: disease"]}, {a: ["name: disease", 'synonym: "illness" EXACT []']}, {a: ['synonym: "illness" EXACT []', "name: disease"]}, {a: ["name: disease", 'synonym: "illness" EXACT []', "xref: DOID:4"]}]
-    history.append(history[-1] | {b: ["name: cancer", "is_obsolete: true"]})
+def test_births_reorderings_and_flags(spark):
+    oak, elm = "T:31", "T:8"
+    first = ["name: oak", "xref: W:5", 'def: "A tree." [W:5]']
+    history = [{elm: ["name: elm"]}, {elm: ["name: elm"], oak: first}, {elm: ["name: elm"], oak: first[::-1]}, {elm: ["name: elm", "is_obsolete: true"], oak: [*first, "xref: W:5"]}]
     made = changes.build(frame(spark, [document(d) for d in history]))
-    assert rows(made["events"], *EVENT) == sorted([(a, 0, "name", "disease", "add"), (a, 1, "synonym", '"illness" EXACT []', "add"), (a, 3, "xref", "DOID:4", "add"), (b, 4, "name", "cancer", "add"), (b, 4, "is_obsolete", "true", "add")], key=str)
+    want = [(elm, 0, "name", "elm", "add"), *((oak, 1, *x.split(": ", 1), "add") for x in first), (elm, 3, "is_obsolete", "true", "add"), (oak, 3, "xref", "W:5", "add")]
+    assert rows(made["events"], *EVENT) == sorted(want, key=str)
     shots = {(r.term_id, r.commit_seq): r for r in made["term_snapshots"].collect()}
-    assert set(shots) == {(a, 0), (a, 1), (a, 3), (b, 4)}  # another order of the same clauses is no change
-    assert shots[b, 4].is_obsolete and shots[b, 4].name == "cancer" and not shots[a, 3].is_obsolete
+    assert set(shots) == {(elm, 0), (oak, 1), (elm, 3), (oak, 3)}  # another order of the same clauses is no change
+    assert shots[elm, 3].is_obsolete and shots[oak, 3].name == "oak" and not shots[oak, 3].is_obsolete and len(shots[oak, 3].clauses) == 4
+
+
+def test_another_spacing_is_no_change(spark):
+    one = {"T:1": ['synonym: "a, b" EXACT [W:1, W:2] {s="1", n="x,y"} ! c', "name: two  words"]}
+    two = {"T:1": ['synonym:  "a, b"   EXACT [W:1,W:2]{s = "1",n="x,y"}   !  c', "name: two  words  "]}
+    made = changes.build(frame(spark, [document(one), document(two)]))
+    assert rows(made["term_snapshots"], "commit_seq") == [(0,)]
+    assert [r.value for r in made["events"].orderBy("predicate").collect()] == ["two  words", '"a, b" EXACT [W:1, W:2] {s="1", n="x,y"} ! c']
 
 
 def test_milestones(spark):
@@ -120,10 +129,10 @@ def test_window_keeps_numbers(spark):
 
 
 def test_stanzas(spark):
-    text = document({"U:2 ! uterine cervix": ["name: cervix"], "A:1": ["name: a [Term] inline", "comment"]}) + "\n[Term]\nname: no id\n"
+    text = document({"K:6 ! a kind of kite": ["name: kite"], "A:1": ["name: a [Term] inline", "comment"]}) + "\n[Term]\nname: no id\n"
     got = stanzas.stanzas(frame(spark, [text, None, ""])).select("term_id", stanzas.clauses_of(F.col("stanza")).alias("c"), stanzas.parse_error(F.col("stanza"), F.col("term_id")).alias("e"))
     found = {r.term_id: ([tuple(c) for c in r.c], r.e) for r in got.collect()}
-    assert found == {"U:2": ([("name", "cervix")], None), "A:1": ([("comment", ""), ("name", "a [Term] inline")], "ParseError")}
+    assert found == {"K:6": ([("name", "kite")], None), "A:1": ([("comment", ""), ("name", "a [Term] inline")], "ParseError")}
 
 
 def test_content_hash_is_of_the_sorted_clauses(spark):
