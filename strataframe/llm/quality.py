@@ -91,7 +91,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: fl
     """Share of positives among the unlabelled rows, from features of both sets alone.
 
     Half of each set fits a classifier of one against the other, the other half is scored. ``least_share``:
-    of the positives that a set must hold, so that chance doesn't name the ratio.
+    of the positives that a set must hold. The least of many ratios is too small by chance, so the set is chosen by what its ratio
+    may be at most, by one standard error of the two shares.
     """
     (p1, p2), (u1, u2) = ((x[::2], x[1::2]) for x in (positive, unlabelled))
     if not len(p2) or not len(u2):
@@ -101,7 +102,10 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: fl
     cuts = sp[: max(1, int(len(sp) * (1 - least_share)))]
     held_p = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
     held_u = 1 - np.searchsorted(su, cuts, "left") / len(su)
-    return float(np.clip((held_u / held_p).min(), 0.01, 0.99))
+    error = lambda share, n: np.sqrt(share * (1 - share) / n)
+    most = (held_u + error(held_u, len(su))) / np.maximum(held_p - error(held_p, len(sp)), 1e-9)
+    k = int(np.argmin(most))
+    return float(np.clip(held_u[k] / held_p[k], 0.01, 0.99))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
