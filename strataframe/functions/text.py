@@ -82,7 +82,8 @@ def release_tag(version: Column, submission: Column) -> Column:
 
 def looks_like_document(content: Column) -> Column:
     """Whether the first 2048 bytes start, blanks aside, with a format version."""
-    return F.decode(F.substring(content.cast("binary"), 1, 2048), "UTF-8").rlike(FORMAT_HEADER)
+    # byte by byte: a cut may fall within a character
+    return F.decode(F.substring(content.cast("binary"), 1, 2048), "ISO-8859-1").rlike(FORMAT_HEADER)
 
 
 def human_size(n: int) -> str:
