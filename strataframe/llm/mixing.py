@@ -5,6 +5,10 @@ source; a range's word total is summed over the cluster, the totals of a source
 added up in range order, and within a range the rows are sorted by key and summed on from there.
 So no source, however hot, meets in one task: a task holds a 4096th of a source at
 most, and the only frame that is gathered by source has a row per range.
+
+Rows that repeat id and text share a key and would be one range, so they are counted first, with partial sums, and one row with
+their number goes through the ranges. At the end it is told apart into parts of ``COPIES``, which are dealt anew
+before they become rows again. Texts are read once: both branches read the counted rows.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import BLANKS, text_of
+from strataframe.llm.common import BLANKS, shuffle_partitions, text_of
 
 #: Weights by rank of the source name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -21,6 +25,8 @@ SHARE, REPEATS = 1.5, 2
 #: Hex digits of the key that name its range: 3 make 4096 ranges a source.
 RANGE_DIGITS = 3
 BUCKETS = 16**RANGE_DIGITS
+#: Rows that a part of repeated rows becomes, at most.
+COPIES = 1024
 
 
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -80,30 +86,28 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, r
     Extra columns are left out.
     """
     place = ["no_source", "source_key", "mix_range"]
-    rows = sized(docs, seed).repartition(*place)
-    ranges = rows.groupBy(*place).agg(F.sum("size").alias("range_size"))
+    order = ["mix_key", "doc_id", "tie", "size"]
+    rows = sized(docs, seed).groupBy(*place, *order).agg(F.count(F.lit(1)).alias("copies"))
+    words = F.col("size") * F.col("copies")
+    ranges = rows.groupBy(*place).agg(F.sum(words).alias("range_size"))
     by_source = ranges.groupBy("no_source", "source_key").agg(F.sum("range_size").alias("source_size"))
     so_far = Window.partitionBy("no_source", "source_key").orderBy("mix_range")
     ranges = ranges.withColumn("ahead", F.sum("range_size").over(so_far) - F.col("range_size"))
     plan = ranges.join(targets(by_source, weights, share, repeats), ["no_source", "source_key"])
-    within = Window.partitionBy(*place).orderBy("mix_key", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    start = F.col("ahead") + F.col("through") - F.col("size")
-    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - start))
-    return (
-        rows.withColumn("through", F.sum("size").over(within))
-        .join(plan, place)
-        .select(
-            "doc_id",
-            F.when(~F.col("no_source"), F.col("source_key")).alias("source"),
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * epochs + extra).cast("long").alias("taken"),
-        )
-    )
+    # what the last epoch has left at the first of the copies
+    left = budget - F.col("epochs") * F.col("source_size") - (F.col("ahead") + F.col("through") - words)
+    placed = rows.withColumn("through", F.sum(words).over(within)).join(plan, place).withColumn("epochs", epochs).withColumn("left", left)
+    parts = placed.select(
+        "doc_id", F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "size", "source_size", "target", "epochs", "left", "copies", "mix_key",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("part"),
+    ).repartition(shuffle_partitions(docs.sparkSession), "mix_key", "part")
+    first = F.col("part") * COPIES
+    each = parts.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1)))
+    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - F.col("copy") * F.col("size")))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs") + extra).cast("long").alias("taken"))
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:

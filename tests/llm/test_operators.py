@@ -283,6 +283,24 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_of_rows_that_repeat_very_often(spark):
+    rows = [(7, "one two three", "a")] * 2600 + [(i, f"some words {i}", "a") for i in range(100, 140)] + [(None, "x y", "a")] * 1100 + [(1, "other " * 4000, "b")]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    own = [r for r in got if r.source == "a"]
+    budget, epochs = round(own[0].target), round(own[0].target) // own[0].source_size
+    left, want = budget - epochs * own[0].source_size, Counter()
+    name = lambda d, t: "text " + hashlib.sha256(t.encode()).hexdigest() if d is None else str(d)
+    for d, t, _ in sorted((r for r in rows if r[2] == "a"), key=lambda r: hashlib.md5(f"0:{name(r[0], r[1])}".encode()).hexdigest()):
+        size = len(words(t))
+        extra = max(0, min(size, left))
+        want[d, size, size * epochs + extra] += 1
+        left -= size
+    assert Counter((r.doc_id, r.size, r.taken) for r in own) == want and len({r.taken for r in own if r.doc_id == 7}) > 1
+    plan = mixing.mix(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_rows_without_an_id_are_spread_over_ranges(spark):
     docs = frame(spark, [(None, f"text {i}", "a") for i in range(60)])
     assert mixing.sized(docs).select("mix_range").distinct().count() > 50
