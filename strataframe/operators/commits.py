@@ -29,18 +29,36 @@ def releases_asof(tags: DataFrame, commits: DataFrame) -> DataFrame:
     return found.filter("side = 1 and seq is not null").select("tag", "sha", F.col("at").alias("date"), F.col("seq").alias("commit_seq"))
 
 
-def unchanged_content(versions: DataFrame, content: str, order: str) -> DataFrame:
+#: Stretches that a long sequence of versions is cut into, at most.
+STRETCHES = 256
+
+
+def unchanged_content(versions: DataFrame, content: str, order: str, stretches: int = STRETCHES) -> DataFrame:
     """Rows whose content differs from the row before: a new version. Others only lend their tag to the last kept one.
 
-    Adds ``kept`` and ``version``, the order value of the kept row that the row stands for. ``order`` names each row; null
-    content counts as empty. Contents are hashed where they are, and only (order, digest) goes through the
-    window, as one sequence.
+    Adds ``kept`` and ``version``, the order value of the kept row that the row stands for. ``order`` is a number and names
+    each row; null content counts as empty. Contents are hashed where they are, and only (order, digest) goes through
+    windows. The sequence is cut at quantiles of ``order`` into stretches, which have a window each; what one
+    needs of those before it is a row a stretch.
     """
-    told = versions.select(F.col(order).alias("__order"), F.sha1(F.coalesce(F.col(content), F.lit(""))).alias("__digest"))
-    w = Window.orderBy("__order")
-    marked = told.withColumn("kept", F.coalesce(F.lag("__digest").over(w) != F.col("__digest"), F.lit(True)))
-    version = F.max(F.when(F.col("kept"), F.col("__order"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("version")
-    return versions.join(marked.select("__order", "kept", version), F.col(order) == F.col("__order")).drop("__order")
+    places = [k / stretches for k in range(1, stretches)]
+    cuts = sorted(set(versions.approxQuantile(order, places, 0.5 / stretches))) if places else []
+    at = F.lit(0)
+    if cuts:
+        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(order)))
+    told = versions.select(at.alias("__part"), F.col(order).alias("__order"), F.sha1(F.coalesce(F.col(content), F.lit(""))).alias("__digest"))
+    w = Window.partitionBy("__part").orderBy("__order")
+    marked = told.withColumn("__new", F.lag("__digest").over(w) != F.col("__digest"))  # null: the first of its stretch
+    ends = marked.groupBy("__part").agg(
+        F.min("__order").alias("start"), F.min_by("__digest", "__order").alias("first"), F.max_by("__digest", "__order").alias("last"), F.max(F.when(F.col("__new"), F.col("__order"))).alias("inner")
+    )
+    over = Window.orderBy("__part")  # of a row a stretch
+    linked = ends.withColumn("__first_kept", F.coalesce(F.lag("last").over(over) != F.col("first"), F.lit(True)))
+    newest = F.coalesce("inner", F.when(F.col("__first_kept"), F.col("start")))
+    carried = linked.select("__part", "__first_kept", F.max(newest).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    done = marked.join(carried, "__part").withColumn("kept", F.coalesce("__new", "__first_kept"))
+    version = F.coalesce(F.max(F.when(F.col("kept"), F.col("__order"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__carried")).alias("version")
+    return versions.join(done.select("__order", "kept", version), F.col(order) == F.col("__order")).drop("__order")
 
 
 def submissions(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.operators.changes import change_tables, number_readable, presence_of_state
@@ -100,9 +100,8 @@ def stored_history(spark: SparkSession, sf_dir: str) -> History:
 
 def prose_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of three namespaces, with texts as values: documents, turns of conversations and pages."""
-    start = lambda c: F.coalesce(F.substring(c, 1, 80), F.lit(""))
     read = lambda name, prefix, i, at, predicate, value: table(spark, sf_dir, name).select(
-        F.concat(F.lit(prefix), F.col(i).cast("string")).alias("term_id"), (F.col(at) % 4).cast("int").alias("commit_seq"), predicate.alias("predicate"), start(F.col(value)).alias("value")
+        F.concat(F.lit(prefix), F.col(i).cast("string")).alias("term_id"), (F.col(at) % 4).cast("int").alias("commit_seq"), predicate.alias("predicate"), F.coalesce(value, F.lit("")).alias("value")
     )
     docs = read("documents", "DOC:", "doc_id", "doc_id", F.coalesce("lang", F.lit("none")), "text")
     turns = read("conversations", "CONV:", "conv_id", "turn", F.coalesce("role", F.lit("none")), "text")
@@ -110,10 +109,10 @@ def prose_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents numbered by text, so that equal ones follow each other."""
+    """Documents with a number ``n`` that begins with a digest of the text, so that equal ones follow each other."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = rows.select("doc_id", F.row_number().over(Window.orderBy("text", "doc_id")).cast("long").alias("n"))
-    return rows.join(order, "doc_id")
+    digest = F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("long")
+    return rows.withColumn("n", digest * 10_000_000_000 + F.col("doc_id"))
 
 
 def prose_history(spark: SparkSession, sf_dir: str) -> History:

@@ -4,7 +4,7 @@ import subprocess
 import pytest
 
 from strataframe.jobs.build import build_from_git
-from strataframe.operators.commits import releases_asof
+from strataframe.operators.commits import releases_asof, unchanged_content
 from strataframe.sources import artifact, git
 
 
@@ -126,3 +126,21 @@ def test_releases_stop_at_the_first_later_commit(spark):
     commits = spark.sql("select * from values (0, timestamp_ntz'2021-01-01 00:00:00'), (1, timestamp_ntz'2021-03-01 00:00:00'), (2, timestamp_ntz'2021-01-03 00:00:00') as t(commit_seq, committed_date)")
     tags = spark.sql("select * from values ('a', 's', timestamp_ntz'2021-01-05 00:00:00'), ('b', 's', timestamp_ntz'2021-03-01 00:00:00'), ('c', 's', timestamp_ntz'2020-01-01 00:00:00') as t(tag, sha, date)")
     assert sorted((r.tag, r.commit_seq) for r in releases_asof(tags, commits).collect()) == [("a", 0), ("b", 2)]
+
+
+@pytest.mark.parametrize("stretches", [1, 3, 50])
+def test_unchanged_content_over_stretches(spark, stretches):
+    import random
+
+    rng = random.Random(stretches)
+    rows = [(n, rng.choice(["a", "a", "b", "", None])) for n in sorted(rng.sample(range(-100, 500), 60))]
+    want, before, version = {}, None, None
+    for n, text in rows:
+        kept = before is None or before != (text or "")
+        before, version = text or "", n if kept else version
+        want[n] = kept, version
+    rng.shuffle(rows)
+    versions = spark.createDataFrame(rows, "n long, text string")
+    got = {r.n: (r.kept, r.version) for r in unchanged_content(versions, "text", "n", stretches).collect()}
+    assert got == want
+    assert unchanged_content(versions.filter("n > 1000"), "text", "n").count() == 0
