@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import decontam, exact, lines, mixing, quality, secrets, simhash, substrings, suffixes, toxicity
+from strataframe.llm import decontam, exact, lines, mixing, pii, quality, secrets, simhash, substrings, suffixes, toxicity
 from strataframe.llm.common import table
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontam": decontam.op9_decontam,
     "op10_exact": _documents(exact.op10_exact),
+    "op13_pii": _documents(pii.op13_pii),
 }
 ORACLES = {
     "op3_lines": lines.ORACLE,
