@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from strataframe.llm import decontam, exact, lines, mixing, pii, quality, secrets, simhash, substrings, suffixes, toxicity
+from strataframe.llm import decontam, exact, lines, mixing, pii, quality, repair, secrets, simhash, substrings, suffixes, toxicity
 from strataframe.llm.common import table
 
 
+def _conversations(f):
+    return lambda spark, sf_dir: f(table(spark, sf_dir, "conversations"))
+
+
 def _documents(f):
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontam": decontam.op9_decontam,
     "op10_exact": _documents(exact.op10_exact),
+    "op11_repair": _conversations(repair.op11_repair),
     "op13_pii": _documents(pii.op13_pii),
 }
 ORACLES = {
@@ -29,4 +34,5 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op7_suffixes": suffixes.ORACLE,
     "op10_exact": exact.ORACLE,
+    "op11_repair": repair.ORACLE,
 }
