@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import decontam, exact, lines, mixing, pii, quality, repair, secrets, simhash, substrings, suffixes, toxicity
+from strataframe.llm import decontam, exact, lines, mixing, pii, quality, repair, secrets, simhash, substrings, suffixes, toxicity, trie
 from strataframe.llm.common import table
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_decontam": decontam.op9_decontam,
     "op10_exact": _documents(exact.op10_exact),
     "op11_repair": _conversations(repair.op11_repair),
+    "op12_trie": _conversations(trie.op12_trie),
     "op13_pii": _documents(pii.op13_pii),
 }
 ORACLES = {
@@ -35,4 +36,5 @@ ORACLES = {
     "op7_suffixes": suffixes.ORACLE,
     "op10_exact": exact.ORACLE,
     "op11_repair": repair.ORACLE,
+    "op12_trie": trie.ORACLE,
 }

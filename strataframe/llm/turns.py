@@ -22,8 +22,11 @@ from strataframe.llm.common import shuffle_partitions
 ORDER = ("conv_id", "turn", "role", "text")
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """rows with part (int) and place (long, from 0 within conversation and part), sorted. No two rows may agree in all of ORDER."""
+def in_order(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """rows with part (int) and place (long, from 0 within conversation and part), sorted. No two rows may agree in all of ORDER.
+
+    A row takes one place, or as many as the column ``weight`` says; then its place is the first of them.
+    """
     schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())])
     keys = [F.col(c).asc_nulls_first() for c in ORDER]
 
@@ -35,22 +38,24 @@ def in_order(rows: DataFrame) -> DataFrame:
             ids, null = b.column("conv_id").fill_null(0).to_numpy(zero_copy_only=False), b.column("conv_id").is_null().to_numpy(zero_copy_only=False)
             new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])])
             starts = np.flatnonzero(new)
-            place = np.arange(b.num_rows) - starts[np.cumsum(new) - 1]
+            takes = b.column(weight).to_numpy(zero_copy_only=False) if weight else np.ones(b.num_rows, np.int64)
+            place = np.cumsum(takes) - takes
+            place -= place[starts][np.cumsum(new) - 1]
             if before == (ids[0], null[0]):
                 place[: starts[1] if len(starts) > 1 else None] += seen
-            before, seen = (ids[-1], null[-1]), int(place[-1]) + 1
+            before, seen = (ids[-1], null[-1]), int(place[-1] + takes[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(place)], names=[f.name for f in schema.fields])
 
     return rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def starts(counts: DataFrame) -> DataFrame:
-    """(conv_id, part, n) -> (conv_id, part, before, total) of the conversations whose n are over 1 in all.
+def starts(counts: DataFrame, of: str = "total > 1") -> DataFrame:
+    """(conv_id, part, n) -> (conv_id, part, before, total) of some conversations, such as those whose n are over 1 in all.
 
     before is the sum of n over the conversation's former parts. One list a conversation, of a struct a part.
     """
     by = F.sort_array(F.collect_list(F.struct("part", "n")))
-    whole = counts.groupBy("conv_id").agg(by.alias("by"), F.sum("n").alias("total")).filter("total > 1")
+    whole = counts.groupBy("conv_id").agg(by.alias("by"), F.sum("n").alias("total")).filter(of)
     summed = F.transform("by", lambda x, i: F.struct(x["part"].alias("part"), F.aggregate(F.slice("by", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("before")))
     return whole.select("conv_id", F.explode(F.when(F.size("by") > 1, summed).otherwise(F.transform("by", lambda x: F.struct(x["part"].alias("part"), F.lit(0).cast("long").alias("before"))))).alias("x"), "total").select("conv_id", "x.part", "x.before", "total")
 

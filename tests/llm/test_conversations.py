@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.llm import repair
+from strataframe.llm import repair, trie
 from tests.oracle import norm
 
 SCHEMA = "conv_id long, turn long, role string, text string, part string, place string, n string, chunk string, shard string"
@@ -109,3 +109,35 @@ def test_repaired_turns(spark):
         body = initials.removeprefix("s")
         assert body and body == "ua" * (len(body) // 2)
         assert all((r.turn is None and r.text == "") if r.edit == "I" else any(x[0] == r.conv_id and (x[3] or " ") == r.text for x in rows) for r in turns_)
+
+
+def families(seed: int, n: int, deep: int):
+    """Conversations that share long beginnings, some whole, among others that share nothing."""
+    r = random.Random(seed)
+    trunk = [(r.choice(["user", "assistant"]), f"turn {i}") for i in range(deep)]
+    out = []
+    for c in range(n):
+        keep = r.choice([0, 1, deep // 3, deep // 2, deep - 1, deep, deep])
+        body = trunk[:keep] + [("user", r.choice(TEXTS)) for _ in range(r.choice([0, 0, 1, 3, deep]))]
+        out += [(c, i, role, text) for i, (role, text) in enumerate(body)]
+    return out
+
+
+@pytest.mark.parametrize("segment", [256, 3])
+def test_trie_against_sql(spark, monkeypatch, segment):
+    monkeypatch.setattr(trie, "SEGMENT", segment)
+    rows = turns(1) + turns(2, ids=[None, -7, 1 << 40]) + [(77, 1, "user", "again")] * 20
+    agrees(trie.op12_trie(frame(spark, rows)), trie.ORACLE, rows)
+
+
+@pytest.mark.parametrize("segment,piece", [(256, 10_000), (4, 2)])
+def test_trie_of_shared_beginnings(spark, monkeypatch, segment, piece):
+    monkeypatch.setattr(trie, "SEGMENT", segment)
+    monkeypatch.setattr(trie, "PIECE", piece)
+    rows = families(3, 90, 13)
+    agrees(trie.op12_trie(frame(spark, rows)), trie.ORACLE, rows)
+
+
+def test_trie_of_nothing(spark):
+    assert trie.op12_trie(frame(spark, [])).count() == 0
+    assert [tuple(r)[:7] for r in trie.op12_trie(frame(spark, [(5, 0, "user", "é")])).orderBy("depth").collect()] == [(5, 0, None, 1, 1, 1, 0), (5, 1, 5, 1, 0, 1, 0)]
