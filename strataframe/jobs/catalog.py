@@ -273,7 +273,7 @@ query("stanza_split", f"WITH {STATE} SELECT term_id, commit_seq, count(*) AS n_l
     lambda spark, d: stanzas.stanzas(star.documents(spark, d)).select("term_id", "commit_seq", F.size(stanzas.lines_of(F.col("stanza"))).cast("long").alias("n_lines"))
 )
 # Carried over failures and gaps: a stretch of versions, what is good in it, and what it had last.
-CARRIED = f"""WITH {STATE}, lines AS (SELECT term_id, commit_seq AS v, CASE WHEN {BAD} THEN 'synonym' ELSE predicate END AS p, CASE WHEN {BAD} THEN '"x" WRONGSCOPE []' ELSE value END AS x, {BAD} AS bad FROM state),
+CARRIED = f"""WITH {STATE}, lines AS (SELECT term_id, commit_seq AS v, CASE WHEN {BAD} THEN 'synonym' ELSE predicate END AS p, CASE WHEN {BAD} THEN '"y" VAGUELY [Z:9]' ELSE value END AS x, {BAD} AS bad FROM state),
 here AS (SELECT term_id, v, string_agg(p || ': ' || x, chr(10) ORDER BY p || ': ' || x) AS b, NOT bool_or(bad) AS ok FROM lines GROUP BY 1, 2),
 a AS (SELECT *, lag(v) OVER w AS pv, lag(b) OVER w AS pb FROM here WINDOW w AS (PARTITION BY term_id ORDER BY v)),
 e AS (SELECT *, sum(CASE WHEN pv IS NULL OR v <> pv + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY term_id ORDER BY v) AS ep, (pv IS NULL OR v <> pv + 1 OR b <> pb) AS ch FROM a),
@@ -392,6 +392,30 @@ UNION ALL SELECT doc_id, 'name', trim(concat(w, '  and, more')) FROM d
 UNION ALL SELECT doc_id, 'def', concat('"It ends. [no] ', w, '" [R:', i, ']') FROM d"""
 query("canonical_clauses", CANONICAL)(lambda spark, d: messy(spark, d).select("doc_id", stanzas.canonical(F.col("line")).alias("c")).select("doc_id", "c.predicate", "c.value"))
 
+
+
+def long_clauses(spark, d: str) -> DataFrame:
+    """Whole texts as quoted definitions, and as lists of as many escaped and quoted items as they have words, each in a stanza of its own."""
+    i, blank = F.col("doc_id").cast("string"), "[ \\x09-\\x0d]+"
+    said = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), r'(["\\])', r"\\$1")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\{}!\[\],=:]', ""), blank, " "))
+    words = lambda mark: F.array_join(F.split(bare, " "), mark)
+    stanza = F.concat(F.lit("[Term]\nid: X:"), i, F.lit('\ndef:  "'), said, F.lit('"   [R:'), i, F.lit(']\nsubset: '), words("\\,  "), F.lit("\nnote: "), words('!b{ "q, {" '), F.lit('\nname: x  {a = "'), words('\\"'), F.lit('",b="2"}\n'))
+    return star.table(spark, d, "documents").select("doc_id", stanza.alias("stanza"))
+
+
+LONG_CLAUSES = r"""WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '(["\\])', '\\\1', 'g') AS said,
+  trim(regexp_replace(regexp_replace(coalesce(text, ''), '["\\{}!\[\],=:]', '', 'g'), '[ \x09-\x0d]+', ' ', 'g')) AS bare FROM documents)
+SELECT doc_id, predicate, md5(value) AS value, length(value) AS n_chars FROM (
+  SELECT doc_id, 'def' AS predicate, concat('"', said, '" [R:', i, ']') AS value FROM d
+  UNION ALL SELECT doc_id, 'subset', replace(bare, ' ', '\, ') FROM d
+  UNION ALL SELECT doc_id, 'note', replace(bare, ' ', '!b{ "q, {" ') FROM d
+  UNION ALL SELECT doc_id, 'name', concat('x {a="', replace(bare, ' ', '\"'), '", b="2"}') FROM d)"""
+query("long_clauses", LONG_CLAUSES)(
+    lambda spark, d: long_clauses(spark, d).select("doc_id", F.explode(stanzas.clauses_of(F.col("stanza"))).alias("c")).select("doc_id", "c.predicate", F.md5("c.value").alias("value"), F.length("c.value").cast("long").alias("n_chars"))
+)
+query("long_clauses_unread", r"""SELECT doc_id, CAST(NULL AS VARCHAR) AS error FROM documents""")(lambda spark, d: long_clauses(spark, d).select("doc_id", stanzas.parse_error(F.col("stanza"), F.concat(F.lit("X:"), F.col("doc_id").cast("string"))).alias("error")))
+
 # Clause-aware views: no SQL can pair greedily; tests compare them with small worked cases.
 query("pair_events", None)(lambda spark, d: pairing.pair_changes(changes.state_delta(star.state(spark, d))))
 query("edit_kind", None)(lambda spark, d: pairing.edit_kinds(pairing.pair_changes(changes.state_delta(star.state(spark, d)))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators.stanzas import clauses_of, content_hash, counted_hash, expanded, is_obsolete, name_of, once_each, parse_error, stanzas
+from strataframe.operators.stanzas import content_hash, counted_hash, expanded, is_obsolete, name_of, once_each, read, stanzas
 
 
 def signed_delta(rows: DataFrame, keys: list[str], sign: str = "sign") -> DataFrame:
@@ -129,9 +129,8 @@ def presence_of_documents(versions: DataFrame, numbered: DataFrame) -> DataFrame
     w = Window.partitionBy("term_id").orderBy("vidx")
     seen = heads.select("term_id", "vidx", "h.raw", "h.pos")
     fresh = seen.withColumn("v0", F.lag("vidx").over(w)).withColumn("r0", F.lag("raw").over(w)).filter("v0 is null or vidx <> v0 + 1 or raw <> r0").select("term_id", "vidx", "pos")
-    error = parse_error(F.col("stanza"), F.col("term_id"))
-    parsed = found.join(fresh, ["term_id", "vidx", "pos"]).select("term_id", "vidx", error.alias("error"), clauses_of(F.col("stanza")).alias("clauses"))
-    parsed = parsed.select("term_id", "vidx", "error", F.when(F.col("error").isNull(), F.col("clauses")).alias("clauses"))
+    parsed = found.join(fresh, ["term_id", "vidx", "pos"]).select("term_id", "vidx", read(F.col("stanza"), F.col("term_id")).alias("r"))
+    parsed = parsed.select("term_id", "vidx", "r.error", F.when(F.col("r.error").isNull(), F.col("r.clauses")).alias("clauses"))
     return seen.join(parsed, ["term_id", "vidx"], "left").select(
         "term_id", "vidx", "raw", F.col("error").isNull().alias("ok"), once_each(F.col("clauses")).alias("clauses"), content_hash(F.col("clauses")).alias("content_hash"), "error"
     )

@@ -1,4 +1,4 @@
-"""From document text to the clauses of its entities, in the JVM.
+"""From document text to the clauses of its entities.
 
 A document is a header and stanzas; an entity is a ``[Term]`` stanza with an id. Clauses are kept as a sorted
 multiset and hashed, so a stanza that is only written in another order doesn't count as changed.
@@ -6,25 +6,22 @@ multiset and hashed, so a stanza that is only written in another order doesn't c
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strataframe.functions.text import clause, or_null
+from strataframe.functions.reader import Reader
+from strataframe.functions.text import or_null
 
 STANZA = r"(?m)(?=^\[[^\]\n]+\]\n)"
 ID_LINE = r"(?m)^id: [^\S\n]*(\S+)"
-# What a line must look like to be read: any clause, and those with quoted text.
-ANY_CLAUSE = r"^[A-Za-z_][A-Za-z0-9_-]*:(?: .*)?$"
-QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-SYNONYM = rf"^{QUOTED} (?:EXACT|BROAD|NARROW|RELATED)(?: [^\s\[]+)? \[.*\].*$"
-DEFINITION = rf"^{QUOTED} \[.*\].*$"
-# A value is a body, a block of qualifiers and a comment; quotes and escapes hide what stands in them.
-VALUE = rf'^((?:[^"\\{{!]++|{QUOTED}|\\.|[{{!])*?)[ \t]*(\{{(?:[^"{{}}\\]++|{QUOTED}|\\.)*+\}})?[ \t]*((?<![^ \t])![ \t].*|(?<![^ \t])!)?$'
-OUTSIDE = r'(?=[^"]*(?:"[^"]*"[^"]*)*$)'
-#: Clauses whose value is running text, in which blanks and commas mean nothing.
-FREE_TEXT = ("name", "comment", "created_by", "creation_date")
-#: Clauses that end in a list of references.
-WITH_XREFS = ("synonym", "def")
+CLAUSE = T.StructType([T.StructField("predicate", T.StringType()), T.StructField("value", T.StringType())])
+READ = T.StructType([T.StructField("clauses", T.ArrayType(CLAUSE)), T.StructField("error", T.StringType())])
+_PAIR = pa.struct([("predicate", pa.string()), ("value", pa.string())])
 
 
 def stanza_id(stanza: Column) -> Column:
@@ -47,9 +44,10 @@ def lines_of(stanza: Column) -> Column:
     return F.filter(F.slice(lines, 2, F.size(lines)), lambda x: (x != "") & ~x.startswith("!") & ~x.startswith("id:"))
 
 
-def list_of(inner: Column) -> Column:
-    """A comma-separated list with one blank after each comma; commas in quotes stay."""
-    return F.array_join(F.transform(F.split(inner, "," + OUTSIDE), lambda x: F.trim(x)), ", ")
+@F.arrow_udf(CLAUSE)
+def _canonical(lines: pa.Array) -> pa.Array:
+    reader = Reader()
+    return pa.array([None if x is None else dict(zip(("predicate", "value"), reader.line(x)[0])) for x in lines.to_pylist()], _PAIR)
 
 
 def canonical(line: Column) -> Column:
@@ -59,35 +57,36 @@ def canonical(line: Column) -> Column:
     One blank between the parts of a value, none around ``=`` in qualifiers, one after each comma of the qualifiers and
     of a list of references. The order of qualifiers is part of the value.
     """
-    c = clause(F.regexp_replace(line, r"^([^:\s]+):[ \t]*(?=\S)", "$1: "))
-    value = F.trim(c["value"])
-    part = lambda k: F.regexp_extract(value, VALUE, k)
-    body = F.regexp_replace(F.trim(part(1)), r"[ \t]+" + OUTSIDE, " ")
-    xrefs = F.regexp_extract(body, r"\[([^\[\]]*)\]$", 1)
-    listed = F.when(c["predicate"].isin(*WITH_XREFS) & body.endswith("]"), F.concat(F.regexp_replace(body, r"\s*\[[^\[\]]*\]$", " ["), list_of(xrefs), F.lit("]"))).otherwise(body)
-    inner = F.regexp_replace(F.regexp_extract(part(2), r"^\{(.*)\}$", 1), r"[ \t]*=[ \t]*" + OUTSIDE, "=")
-    qualifiers = F.when(part(2) != "", F.concat(F.lit(" {"), list_of(inner), F.lit("}"))).otherwise("")
-    said = F.trim(F.substring(part(3), F.lit(2), F.length(part(3))))
-    comment = F.when(said != "", F.concat(F.lit(" ! "), said)).otherwise("")
-    whole = F.when(value.rlike(VALUE), F.concat(listed, qualifiers, comment)).otherwise(value)
-    return F.struct(c["predicate"].alias("predicate"), F.when(c["predicate"].isin(*FREE_TEXT), value).otherwise(whole).alias("value"))
+    return _canonical(line)
+
+
+@F.arrow_udf(READ)
+def _read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    reader = Reader()
+    for texts, ids in batches:
+        rows = [((), None) if t is None else reader.stanza(t, i) for t, i in zip(texts.to_pylist(), ids.to_pylist())]
+        flat = [c for clauses, _ in rows for c in clauses]
+        pairs = pa.StructArray.from_arrays([pa.array([c[k] for c in flat], pa.string()) for k in (0, 1)], fields=list(_PAIR))
+        offsets = pa.array(itertools.accumulate((len(c) for c, _ in rows), initial=0), pa.int32())
+        yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pairs), pa.array([e for _, e in rows], pa.string())], names=["clauses", "error"])
+
+
+def read(stanza: Column, term_id: Column) -> Column:
+    """READ of a stanza, in one linear pass: its sorted clauses, each in its one way of writing, and null or why it can't be read.
+
+    Stanzas fail one by one, so a bad one costs no other. A line may be of any length and hold any marks.
+    """
+    return _read(stanza, term_id)
 
 
 def clauses_of(stanza: Column) -> Column:
     """Sorted array of (predicate, value), each in its one way of writing."""
-    return F.array_sort(F.transform(lines_of(stanza), canonical))
+    return read(stanza, F.lit(None).cast("string"))["clauses"]
 
 
 def parse_error(stanza: Column, term_id: Column) -> Column:
-    """Null, or why the stanza can't be read. Rows fail one by one, so a bad stanza costs no other."""
-    bad = F.exists(
-        F.transform(lines_of(stanza), lambda x: F.struct(x.alias("line"), canonical(x).alias("c"))),
-        lambda x: ~x["line"].rlike(ANY_CLAUSE)
-        | ((x["c"]["predicate"] == "synonym") & ~x["c"]["value"].rlike(SYNONYM))
-        | ((x["c"]["predicate"] == "def") & ~x["c"]["value"].rlike(DEFINITION)),
-    )
-    full_id = F.trim(F.regexp_replace(F.regexp_extract(stanza, r"(?m)^id: ([^\n]*)", 1), r"(?:\s+\{.*)?(?:\s*!.*)?$", ""))
-    return F.when(bad, F.lit("ParseError")).when(full_id != term_id, F.lit("IdMismatch"))
+    """Null, or why the stanza can't be read."""
+    return read(stanza, term_id)["error"]
 
 
 def content_hash(clauses: Column) -> Column:

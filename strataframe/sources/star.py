@@ -128,7 +128,7 @@ def documents(spark: SparkSession, sf_dir: str, mismatch: bool = False) -> DataF
     written so that their stanza can't be read. With ``mismatch`` every fifth user's id line has more than its id.
     """
     rows = state(spark, sf_dir)
-    line = F.when((F.col("predicate") == "error") & (F.col("value") == "13"), F.lit('synonym: "x" WRONGSCOPE []')).otherwise(F.concat_ws(": ", "predicate", "value"))
+    line = F.when((F.col("predicate") == "error") & (F.col("value") == "13"), F.lit('synonym: "y" VAGUELY [Z:9]')).otherwise(F.concat_ws(": ", "predicate", "value"))
     lines = rows.groupBy("commit_seq", "term_id", line.alias("line")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     body = F.transform(F.array_sort(F.collect_list(F.struct("line", "n"))), lambda x: F.repeat(F.concat(x["line"], F.lit("\n")), x["n"]))
     terms = lines.groupBy("commit_seq", "term_id").agg(F.array_join(body, "").alias("body"))

@@ -39,7 +39,7 @@ def simulate(documents):
             if raw.get(t) == lines:
                 continue
             raw[t] = lines
-            if any("WRONGSCOPE" in x for x in lines):
+            if any("VAGUELY" in x for x in lines):
                 skipped.append((i, t, "ParseError"))
                 continue
             now = sorted(tuple(x.split(": ", 1)) for x in lines)
@@ -65,7 +65,7 @@ def random_history(seed: int, n: int = 14):
             elif p < 0.7:
                 now[t] = [f"{r.choice(['name', 'xref'])}: v{r.randint(0, 2)}" for _ in range(r.randint(1, 3))]
                 if r.random() < 0.25:
-                    now[t].append('synonym: "x" WRONGSCOPE []')
+                    now[t].append('synonym: "y" VAGUELY [Z:9]')
         out.append(dict(now))
     return out
 
@@ -118,8 +118,8 @@ def test_replaying_events_gives_the_states(spark):
             if e.commit_seq <= seq:
                 net[e.term_id, e.predicate, e.value] += 1 if e.operation == "add" else -1
         assert min(net.values(), default=0) >= 0
-        want = Counter((t, *line.split(": ", 1)) for t, lines in d.items() if not any("WRONG" in x for x in lines) for line in lines)
-        got = Counter({k: n for k, n in net.items() if n and not any("WRONG" in x for x in d.get(k[0], []))})
+        want = Counter((t, *line.split(": ", 1)) for t, lines in d.items() if not any("VAGUELY" in x for x in lines) for line in lines)
+        got = Counter({k: n for k, n in net.items() if n and not any("VAGUELY" in x for x in d.get(k[0], []))})
         assert got == want
 
 
