@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.operators.changes import build, last_versions
-from strataframe.operators.commits import releases_asof
+from strataframe.operators.changes import tables_of_changes
+from strataframe.operators.commits import derive, releases_asof
 from strataframe.operators.pairing import in_order, pair_changes, rendered, search_hits
-from strataframe.sources import artifact, git
+from strataframe.schemas import TABLES
+from strataframe.sources import artifact, git, git_source
+from strataframe.streaming.entities import keyed_stream
 
 VERSION = "0.1"
 
@@ -18,26 +20,41 @@ VERSION = "0.1"
 def build_from_git(spark: SparkSession, repo: str, path: str, out: str, limit: int | None = None) -> dict[str, int]:
     """Write all tables; returns their row counts.
 
-    Contents are read from git once, and the presence of entities is worked out once; both are written below ``out`` as
-    tables that the others are made from, and may be removed afterwards.
+    Contents are read from git once, a stanza at a time, and only stanzas that changed leave the reader. These, and what they say, are
+    written below ``out`` as tables that the others are made from, and may be removed afterwards.
     """
-    commit_rows, version_rows = git.file_history(repo, path)
-    commits = git.commits_frame(spark, commit_rows)
-    listed = version_rows if limit is None else version_rows[-limit:]
-    if limit is not None:
-        commits = last_versions(commits, limit)
 
     def kept(df, name):
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/_build/{name}")
         return spark.read.schema(df.schema).parquet(f"{out}/_build/{name}")
 
-    tables = build(kept(git.versions_frame(spark, repo, listed), "contents"), lambda presence: kept(presence, "presence"))
-    tables |= {"commits": commits, "releases": releases_asof(git.tags_frame(spark, git.tags(repo)), commits), "build_meta": artifact.build_meta(commits, path, VERSION)}
+    window = {} if limit is None else {"window": str(limit)}
+    rows = git_source.git_table(spark, repo, path, "changes", **window)
+    tables = tables_of_changes(kept(rows, "changes"), lambda parsed: kept(parsed, "parsed")) | commit_tables(spark, repo, path, **window)
     for name, df in tables.items():
         artifact.write_table(df, out, name)
     return {name: artifact.read_table(spark, out, name).count() for name in tables}
 
 
+def commit_tables(spark: SparkSession, repo: str, path: str, **window) -> dict[str, DataFrame]:
+    """commits, releases and build_meta: a row a commit or tag."""
+    commits = derive(git_source.git_table(spark, repo, path, "commits", **window)).select(*spark.createDataFrame([], TABLES["commits"]).columns)
+    return {"commits": commits, "releases": releases_asof(git_source.git_table(spark, repo, path, "tags"), commits), "build_meta": artifact.build_meta(commits, path, VERSION)}
+
+
+def sync(spark: SparkSession, url: str, path: str, clone: str, out: str, since: str | None = None) -> None:
+    """Clone, or fetch what is new, and append it to the tables below ``out``; to be called again whenever there may be more.
+
+    Entities are kept as the state of a stream, whose checkpoint is below ``out`` too.
+    """
+    git.synced(url, clone, path, since=since)
+    git_source.register(spark)
+    changes = spark.readStream.format("git_history").options(file=path).load(clone)
+    keyed_stream(changes, out, f"{out}/_checkpoint").awaitTermination()
+    for name, df in commit_tables(spark, clone, path).items():
+        artifact.write_table(df, out, name)
+
+
 def printed(df) -> None:
     """All rows, a line each, as they come; never the whole result at once."""
     print("\t".join(df.columns))
@@ -50,6 +67,9 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build")
     b.add_argument("repo"), b.add_argument("path"), b.add_argument("out"), b.add_argument("--limit", type=int)
+    y = sub.add_parser("sync")
+    y.add_argument("url"), y.add_argument("path"), y.add_argument("clone"), y.add_argument("out"), y.add_argument("--since")
+    sub.add_parser("repack").add_argument("clone")
     for name, *extra in (("term", "term_id"), ("commit", "sha"), ("pr", "number"), ("diff", "a", "b"), ("search", "query"), ("releases",)):
         q = sub.add_parser(name)
         q.add_argument("artifact")
@@ -61,10 +81,16 @@ def main(argv: list[str] | None = None) -> int:
         for x in ("--regex", "--ignore-case", "--full", "--commits"):
             q.add_argument(x, action="store_true")
     a = p.parse_args(argv)
+    if a.command == "repack":
+        git.repack(a.clone)
+        return 0
     spark = SparkSession.builder.appName("strataframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "build":
         print(build_from_git(spark, a.repo, a.path, a.out, a.limit))
         return 0
+    if a.command == "sync":
+        sync(spark, a.url, a.path, a.clone, a.out, a.since)
+        return 0
     try:
         h = artifact.open_history(spark, a.artifact)
     except artifact.ArtifactNotFound as e:

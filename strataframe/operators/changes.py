@@ -153,6 +153,56 @@ def build(versions: DataFrame, keep=lambda presence: presence) -> dict[str, Data
     return out
 
 
+def change_rows(versions: DataFrame) -> DataFrame:
+    """CHANGES of versions (commit_seq, sha, content; whole or in parts, null content: missing)."""
+    numbered = number_readable(versions)
+    found = stanzas(versions.filter("content is not null").join(numbered.select("commit_seq", "vidx"), "commit_seq").drop("sha"))
+    found = found.withColumn("place", F.struct("part", "pos") if "part" in versions.columns else F.struct("pos")).withColumn("raw", F.sha1("stanza"))
+    last = found.groupBy("term_id", "vidx").agg(F.max_by(F.struct("raw", "place"), "place").alias("h")).select("term_id", "vidx", "h.raw", "h.place")
+    w = Window.partitionBy("term_id").orderBy("vidx")
+    near = last.select("*", F.lag("vidx").over(w).alias("v0"), F.lag("raw").over(w).alias("r0"), F.lead("vidx").over(w).alias("v1"))
+    fresh = near.filter("v0 is null or vidx <> v0 + 1 or raw <> r0").select("term_id", "vidx", "place")
+    top = numbered.agg(F.max("vidx")).scalar()
+    none = lambda kind: F.lit(None).cast(kind)
+    gone = near.filter((F.col("v1").isNull() | (F.col("v1") != F.col("vidx") + 1)) & (F.col("vidx") < top)).select("term_id", (F.col("vidx") + 1).alias("vidx"), none("string").alias("raw"), none("string").alias("stanza"))
+    kept = found.join(fresh, ["term_id", "vidx", "place"]).select("term_id", "vidx", "raw", "stanza").unionByName(gone)
+    rows = kept.join(numbered, "vidx").select("commit_seq", "sha", "term_id", F.when(F.col("raw").isNotNull(), 0).alias("pos"), "raw", "stanza")
+    lost = versions.filter("content is null").select("commit_seq", "sha").distinct()
+    return rows.unionByName(lost.select("commit_seq", "sha", none("string").alias("term_id"), none("int").alias("pos"), none("string").alias("raw"), none("string").alias("stanza")))
+
+
+def tables_of_changes(rows: DataFrame, keep=lambda parsed: parsed, name_predicate: str = "name", obsolete: tuple[str, str] = ("is_obsolete", "true")) -> dict[str, DataFrame]:
+    """term_snapshots, events and skipped out of CHANGES: work and rows follow what changed, not the number of entities a version has.
+
+    ``keep`` may write what was parsed and give it back, so that the tables don't each read the stanzas.
+    """
+    axis = rows.select("commit_seq", "sha").distinct()
+    own = rows.filter("term_id is not null").groupBy("term_id", "commit_seq").agg(F.max_by(F.struct("raw", "stanza"), F.coalesce("pos", F.lit(-1))).alias("x")).select("term_id", "commit_seq", "x.*")
+    parsed = own.select("term_id", "commit_seq", "raw", F.when(F.col("raw").isNotNull(), read(F.col("stanza"), F.col("term_id"))).alias("r"))
+    clauses = F.when(F.col("raw").isNotNull() & F.col("r.error").isNull(), F.col("r.clauses"))
+    held = keep(parsed.select("term_id", "commit_seq", "raw", "r.error", clauses.alias("clauses"), content_hash(clauses).alias("content_hash")))
+    w = Window.partitionBy("term_id").orderBy("commit_seq")
+    # a row that says gone ends its stretch
+    ended = F.coalesce(F.sum(F.col("raw").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = held.drop("clauses").withColumn("ep", ended)
+    stretch = Window.partitionBy("term_id", "ep").orderBy("commit_seq")
+    told = told.withColumn("same", F.coalesce(F.lag("raw").over(stretch) == F.col("raw"), F.lit(False))).filter("not same").drop("same")
+    good = told.filter("content_hash is not null").select("*", F.lag("commit_seq").over(stretch).alias("before"), F.lag("content_hash").over(stretch).alias("hash0")).filter("hash0 is null or hash0 <> content_hash")
+    last = good.groupBy("term_id", "ep").agg(F.max("commit_seq").alias("before"))
+    gone = told.filter("raw is null").join(last, ["term_id", "ep"]).select("term_id", "commit_seq", "before")
+    known = held.filter("clauses is not null").select("term_id", F.col("commit_seq").alias("at"), "clauses")
+    with_sha = lambda df: df.join(axis, "commit_seq")
+    snapshots = good.withColumn("at", F.col("commit_seq")).join(known, ["term_id", "at"])
+    snapshots = with_sha(snapshots).select("term_id", "commit_seq", "sha", name_of(F.col("clauses"), name_predicate).alias("name"), is_obsolete(F.col("clauses"), *obsolete).alias("is_obsolete"), "content_hash", "clauses")
+    side = lambda df, at, sign: df.select("term_id", "commit_seq", F.col(at).alias("at"), F.lit(sign).alias("sign"))
+    sides = side(good, "commit_seq", 1).unionByName(side(good.filter("before is not null"), "before", -1)).unionByName(side(gone, "before", -1))
+    flat = sides.join(known, ["term_id", "at"]).select("term_id", "commit_seq", "sign", F.explode("clauses").alias("c")).select("term_id", "commit_seq", "c.predicate", "c.value", "sign")
+    events = with_sha(signed_delta(flat, ["term_id", "commit_seq", "predicate", "value"])).select("term_id", "commit_seq", "sha", "predicate", "value", "operation")
+    skipped = with_sha(told.filter("error is not null")).select("commit_seq", "sha", "term_id", "error")
+    lost = rows.filter("term_id is null").select("commit_seq", "sha", F.lit(None).cast("string").alias("term_id"), F.lit("BlobMissing").alias("error"))
+    return {"term_snapshots": snapshots, "events": events, "skipped": skipped.unionByName(lost)}
+
+
 HEADS = "term_id string, vidx int, raw string, ok boolean, clauses array<struct<predicate:string,value:string>>, content_hash string"
 
 

@@ -16,3 +16,6 @@ TABLES = {
 }
 REQUIRED = ("commits", "term_snapshots", "events")
 SCHEMA_VERSION = "1"
+#: What changes from version to version: a stanza with other bytes; without ``raw`` one that is gone; without ``term_id`` a version whose
+#: content is missing. Of rows of one entity and version the greatest ``pos`` counts.
+CHANGES = "commit_seq int, sha string, term_id string, pos int, raw string, stanza string"

@@ -24,7 +24,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """
     for path in (f"{root.rstrip('/')}/{name}", f"{root.rstrip('/')}/{name}.parquet"):
         try:
-            return spark.read.schema(TABLES[name]).parquet(path)
+            df = spark.read.schema(TABLES[name]).parquet(path)
+            return df.select(*[x for x in df.columns if x != "batch"])  # the folders of a stream's batches
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
