@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions import text
-from strataframe.operators import changes, commits, pairing, stanzas
+from strataframe.operators import asof, changes, commits, pairing, stanzas
 from strataframe.operators.history import History
 from strataframe.sources import artifact, star
 from strataframe.streaming.append import append_batch
+from strataframe.streaming.entities import keyed_stream
 
 TERM, PREDICATE, SINCE, AT = "USER:0000003", "click", 20, 17
 #: SHA-1 prefixes of the commits 12 and 7.
@@ -131,6 +132,13 @@ asked("timeline_last_n_commits", f"SELECT * FROM ({TIMELINE} WHERE e.term_id = '
 asked("timeline_predicate_counts", f"SELECT predicate, count(*) AS n, min(commit_seq) AS first_seq FROM ev WHERE term_id = '{TERM}' GROUP BY 1", lambda h: h.predicate_counts(TERM))
 
 
+asked(
+    "timeline_predicate_order",
+    f"SELECT predicate, count(*) AS n, min(commit_seq) AS first_seq, CAST(row_number() OVER (ORDER BY count(*) DESC, min((commit_seq, operation, predicate, value))) AS INT) AS place FROM ev WHERE term_id = '{TERM}' GROUP BY 1",
+    lambda h: h.predicate_counts(TERM, numbered=True),
+)
+
+
 def under_former_ids(h: History) -> History:
     """The history with the ids of the commits before the fifteenth under another prefix."""
     old = F.when(F.col("commit_seq") < 15, F.concat(F.lit("OLD:"), F.substring_index("term_id", ":", -1))).otherwise(F.col("term_id"))
@@ -322,6 +330,47 @@ def appended(spark, d: str) -> DataFrame:
 
 query("appended_events", ORACLES["build_events"])(appended)
 
+
+# The same tables from what changed between versions alone, and from a stream with a state for each entity.
+query("build_events_from_changes", ORACLES["build_events"])(lambda spark, d: changes.tables_of_changes(changes.change_rows(star.documents(spark, d)))["events"])
+query("missing_content_from_changes", ORACLES["missing_content_skipped"])(lambda spark, d: changes.tables_of_changes(changes.change_rows(without_content(spark, d)))["skipped"])
+
+
+def keyed(spark, d: str) -> DataFrame:
+    """The events that a stream builds out of the changes, which come as files of ten days each, one stretch after the other."""
+    root = artifact.shared_folder(spark, "keyed")
+    changes.change_rows(star.documents(spark, d)).write.parquet(f"{root}/all")
+    rows = spark.read.parquet(f"{root}/all")
+    for part in range(3):
+        # an entity's changes of a stretch are in one file, so files of a stretch may come in any order
+        rows.filter(F.floor(F.col("commit_seq") / 10) == part).repartition("term_id").write.mode("append").parquet(f"{root}/changes")
+    keyed_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/changes"), root, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/events").drop("batch")
+
+
+query("keyed_state_events", ORACLES["build_events"])(keyed)
+
+# Frames and deltas: the same questions as to snapshots.
+query("keyframe_all_terms_at", ORACLES["all_terms_at"])(lambda spark, d: star.keyframes(spark, d).states_at(AT))
+query("keyframe_all_terms_at_strict", ORACLES["all_terms_at_strict"])(lambda spark, d: star.keyframes(spark, d).states_at(AT, strict=True))
+query("keyframe_term_at", ORACLES["term_at"])(lambda spark, d: star.keyframes(spark, d).states_at(AT, TERM))
+
+# States at many points at once.
+asked(
+    "states_at_releases", "SELECT r.tag, s.term_id, s.commit_seq, s.content_hash FROM rel r JOIN snap s ON s.commit_seq <= r.commit_seq QUALIFY row_number() OVER (PARTITION BY r.tag, s.term_id ORDER BY s.commit_seq DESC) = 1",
+    lambda h: asof.states_at_releases(h.snapshots, h.commits, h._releases),
+)
+
+
+def probes(spark, d: str) -> DataFrame:
+    """Each event of a user and the day before it, as a question for the user's state then."""
+    return star.state(spark, d).select("term_id", (F.col("commit_seq") - 1).alias("commit_seq"), "predicate", "value")
+
+
+query("states_before_events", f"{ALL} SELECT p.term_id, p.commit_seq - 1 AS commit_seq, p.predicate, p.value, s.commit_seq AS state_at FROM state p ASOF LEFT JOIN snap s ON s.term_id = p.term_id AND s.commit_seq <= p.commit_seq - 1")(
+    lambda spark, d: asof.asof(probes(spark, d), star.stored_history(spark, d).snapshots, "term_id", "commit_seq")
+)
+
 # What lists of releases and submissions bring.
 query(
     "content_sniff",
@@ -451,3 +500,16 @@ g AS (SELECT term_id, commit_seq, predicate, min(value) FILTER (WHERE operation
 query("pair_same_body", f"{QUALIFIED} SELECT term_id, commit_seq, predicate, 'edit' AS kind, before, after FROM g WHERE lo = hi")(
     lambda spark, d: pairing.pair_changes(with_sides(qualified(spark, d), lambda r, a: (r == 1) & (a == 1))).filter("kind = 'edit' and split(before, ' ')[0] = split(after, ' ')[0]")
 )
+
+# All clauses of one body on both sides as one edit.
+query(
+    "pair_bodies",
+    f"""WITH {STATE}, {EVENTS}, q AS (SELECT term_id, commit_seq, predicate, CASE operation WHEN 'add' THEN 1 ELSE -1 END AS sign, concat('X:', CAST(CAST(value AS INT) % 7 AS VARCHAR)) AS body,
+  concat('source="S:', CAST(CAST(value AS INT) % 5 AS VARCHAR), '"') AS q1, concat('note="n', CAST(CAST(value AS INT) % 3 AS VARCHAR), '"') AS q2 FROM ev),
+g AS (SELECT term_id, commit_seq, predicate, body, count(*) FILTER (sign < 0) AS n_before, count(*) FILTER (sign > 0) AS n_after FROM q GROUP BY ALL HAVING n_before > 0 AND n_after > 0),
+net AS (SELECT term_id, commit_seq, predicate, body, k, sum(sign) AS n FROM (SELECT * EXCLUDE (q1, q2), q1 AS k FROM q UNION ALL SELECT * EXCLUDE (q1, q2), q2 FROM q) GROUP BY ALL HAVING sum(sign) <> 0),
+d AS (SELECT term_id, commit_seq, predicate, body, string_agg(concat(k, '*', CAST(-n AS BIGINT)), '; ' ORDER BY k) FILTER (n < 0) AS removed, string_agg(concat(k, '*', CAST(n AS BIGINT)), '; ' ORDER BY k) FILTER (n > 0) AS added FROM net GROUP BY ALL)
+SELECT g.*, 'group' AS kind, coalesce(removed, '') AS removed, coalesce(added, '') AS added FROM g LEFT JOIN d USING (term_id, commit_seq, predicate, body)""",
+)(
+    lambda spark, d: pairing.pair_bodies(qualified(spark, d)).withColumns({c: F.array_join(F.transform(c, lambda x: F.concat(x["qualifier"], F.lit("*"), x["n"].cast("string"))), "; ") for c in ("removed", "added")})
+)

@@ -58,10 +58,17 @@ class History:
             own = own.withColumn("__rank", rank).filter(F.col("__rank") <= last_commits).drop("__rank", "__id")
         return self._with_commits(own).select(*ROW).orderBy("commit_seq", "operation", "predicate", "value")
 
-    def predicate_counts(self, term_id: str) -> DataFrame:
-        """How many changes each predicate has, most first; ties as they first occur."""
-        counts = self.events.filter(F.col("term_id") == term_id).groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.min("commit_seq").alias("first_seq"))
-        return counts.orderBy(F.desc("n"), "first_seq", "predicate")
+    def predicate_counts(self, term_id: str, numbered: bool = False) -> DataFrame:
+        """How many changes each predicate has, most first; ties as they first occur, where additions of a commit stand before its removals.
+
+        ``numbered``: with the place in this order, from 1.
+        """
+        first = F.min(F.struct("commit_seq", "operation", "predicate", "value"))
+        counts = self.events.filter(F.col("term_id") == term_id).groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+        order = [F.desc("n"), F.col("first")]
+        if numbered:  # a row a predicate of one entity
+            counts = counts.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        return counts.orderBy(*order).select("predicate", "n", "first.commit_seq", *["place"] * numbered).withColumnRenamed("commit_seq", "first_seq")
 
     def headers(self, term_id: str | None = None) -> DataFrame:
         """First and last change, number of changes and latest name, of one entity or of all."""

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.functions.clauses import delta_matches, edit_kind, edit_lines, pair_counted
+from pyspark.sql import types as T
+
+from strataframe.functions.clauses import delta_matches, edit_kind, edit_lines, pair_counted, parse_value
 from strataframe.functions.text import truncated
 
 OPS = "term_id string, commit_seq int, predicate string, kind string, before string, after string"
@@ -52,6 +54,37 @@ def pair_changes(changes: DataFrame, least: float = 0.5) -> DataFrame:
     return made.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "__n")
 
 
+_PARTS = T.StructType([T.StructField("body", T.StringType()), T.StructField("qualifiers", T.ArrayType(T.StringType()))])
+
+
+@F.arrow_udf(_PARTS)
+def _parts(predicates: pa.Array, values: pa.Array) -> pa.Array:
+    read = (parse_value(p, v) for p, v in zip(predicates.to_pylist(), values.to_pylist()))
+    return pa.array([None if x is None else {"body": x.body, "qualifiers": list(x.qualifiers)} for x in read], pa.struct([("body", pa.string()), ("qualifiers", pa.list_(pa.string()))]))
+
+
+def pair_bodies(changes: DataFrame) -> DataFrame:
+    """changes (term_id, commit_seq, predicate, value, operation) -> one edit for all removed and added clauses of one body.
+
+    (GROUP, kind, body, n_before, n_after, removed, added): how many clauses stand on each side, and the multiset difference of
+    their qualifiers, as sorted arrays of (qualifier, n). Nothing is paired one by one, so any number of clauses on either
+    side is two sums, and a body that holds much of a table is added up before it is shuffled. Bodies of one side alone, and values that can't be read,
+    are no such edit.
+    """
+    counted = changes.groupBy(*GROUP, F.coalesce("value", F.lit("")).alias("value"), "operation").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("p", _parts("predicate", "value")).filter("p is not null").select(*GROUP, "p.*", F.when(F.col("operation") == "add", F.col("n")).otherwise(-F.col("n")).alias("n"))
+    side = lambda sign: F.coalesce(F.sum(F.when(F.col("n") * sign > 0, F.col("n") * sign)), F.lit(0))
+    groups = parts.groupBy(*GROUP, "body").agg(side(-1).alias("n_before"), side(1).alias("n_after")).filter("n_before > 0 and n_after > 0")
+    net = parts.select(*GROUP, "body", "n", F.explode("qualifiers").alias("qualifier")).groupBy(*GROUP, "body", "qualifier").agg(F.sum("n").alias("net")).filter("net <> 0")
+    of = lambda sign: F.sort_array(F.collect_list(F.when(F.col("net") * sign > 0, F.struct("qualifier", (F.col("net") * sign).alias("n")))))
+    changed = net.groupBy(*GROUP, "body").agg(of(-1).alias("removed"), of(1).alias("added"))
+    none = F.array().cast("array<struct<qualifier:string,n:bigint>>")
+    keys = [*GROUP, "body"]
+    right = changed.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return groups.join(right, same, "left").select(*GROUP, F.lit("group").alias("kind"), "body", "n_before", "n_after", F.coalesce("removed", none).alias("removed"), F.coalesce("added", none).alias("added"))
+
+
 def in_order(ops: DataFrame) -> DataFrame:
     """Sorted as a reader expects: by entity, commit and predicate, edits before removals before additions."""
     rank = F.when(F.col("kind") == "edit", 0).when(F.col("kind") == "remove", 1).otherwise(2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataframe.operators.changes import change_tables, number_readable, presence_of_state
 from strataframe.operators.commits import derive, releases_asof
 from strataframe.operators.history import History
+from strataframe.operators.keyframes import Keyframes
 from strataframe.sources.artifact import open_history, shared_folder, write_history
 
 #: What stands for the name and the obsolete flag in these tables.
@@ -98,6 +99,19 @@ def stored_history(spark: SparkSession, sf_dir: str) -> History:
     return open_history(spark, _written[key])
 
 
+EVERY = 7
+
+
+def keyframes(spark: SparkSession, sf_dir: str) -> Keyframes:
+    """The users' history as frames and deltas, built and written once an application."""
+    key = (spark.sparkContext.applicationId, f"keyframes {sf_dir}")
+    if key not in _written:
+        root = shared_folder(spark, "keyframes")
+        Keyframes.of(stored_history(spark, sf_dir).events, EVERY).write(root)
+        _written[key] = root
+    return Keyframes.open(spark, _written[key], EVERY)
+
+
 def prose_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of three namespaces, with texts as values: documents, turns of conversations and pages."""
     read = lambda name, prefix, i, at, predicate, value: table(spark, sf_dir, name).select(
