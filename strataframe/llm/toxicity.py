@@ -21,6 +21,8 @@ from strataframe.llm.learning import held_out, sample
 
 #: Labelled rows that are fitted on, words of a category, and inner folds.
 MAX_LABELLED, WORDS, INNER = 20_000, 192, 5
+#: Sampled rows that must have a word before it can be chosen: what fewer have says little of others.
+LEAST_ROWS = 5
 #: Standard deviations from which a word is told from chance among very many; where none is, the first few are taken.
 CLEAR, FEW = 4.0, 16
 #: The chain: name and the label column with its value that means yes.
@@ -102,14 +104,17 @@ def fit_chain(words: list[bytes], x: np.ndarray, y: np.ndarray, names: list[str]
     return Chain(words, links, thresholds)
 
 
-def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = MAX_LABELLED, n_words: int = WORDS) -> Chain | None:
-    """None where the training fold has no labelled row. Of several labels of a doc_id the largest counts."""
+def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = MAX_LABELLED, n_words: int = WORDS, least_rows: int = LEAST_ROWS) -> Chain | None:
+    """None where the training fold has no labelled row. Of several labels of a doc_id the largest counts; of rows that repeat
+    an id, the text of least hash. Only words of ``least_rows`` sampled rows or more can be chosen."""
     value = [F.max((F.col(c) == v).cast("int")).alias(name) for name, c, v in chain]
     names = [name for name, _, _ in chain]
     seen = labels.filter(labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"])).groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg(*value)
     # bounded by max_labelled, so it is broadcast
     chosen = F.broadcast(sample(seen, max_labelled))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), utf8(docs).alias("text")).join(chosen, "doc_id")
+    # of an id one row, that whose text has the least hash, so the bound on ids is one on rows
+    texts = texts.groupBy("doc_id", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     # of equal texts one: many copies of a single text would make its every word look telling
     texts = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "text", *names), "doc_id").alias("r")).select("r.*")
 
@@ -121,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = M
 
     types = ", ".join(f"{n} int" for n in names)
     spread = texts.select("text", *names).mapInArrow(distinct_words, f"words array<binary>, {types}").select(F.explode("words").alias("w"), *names)
-    counts = spread.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).filter("n >= 5")
+    counts = spread.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).filter(F.col("n") >= least_rows)
     totals = seen.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first()
     if not totals[0]:
         return None

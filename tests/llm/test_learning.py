@@ -144,3 +144,13 @@ def test_a_repeated_id_takes_one_place_in_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1) for i in (5, *range(100, 110))], "doc_id long, quality int")
     quality.train(frame(spark, docs), labels, max_unlabelled=21)
     assert seen[0][1] == 21 and seen[0][0] <= 11
+
+
+def test_a_repeated_id_is_one_labelled_row(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda words, x, y, *rest: fitted.append((x.shape, words)))
+    docs = [(5, f"{prose(5, 20)} {i}", "a") for i in range(3000)] + [(i, f"{prose(i, 20)} rare", "a") for i in range(100, 104)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in (5, *range(100, 120))], "doc_id long, quality int, toxic int")
+    for least, has in ((1, True), (5, False)):
+        toxicity.train(frame(spark, docs), labels, max_labelled=20, least_rows=least)
+        assert fitted[-1][0][0] <= 5 and (b"rare" in fitted[-1][1]) == has
