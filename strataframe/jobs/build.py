@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from strataframe.operators import commits as lists
+from strataframe.operators import views
 from strataframe.operators.changes import tables_of_changes
 from strataframe.operators.commits import derive, releases_asof
-from strataframe.operators.pairing import in_order, pair_changes, rendered, search_hits
 from strataframe.schemas import TABLES
 from strataframe.sources import artifact, git, git_source
 from strataframe.streaming.entities import keyed_stream
@@ -55,6 +55,16 @@ def sync(spark: SparkSession, url: str, path: str, clone: str, out: str, since:
         artifact.write_table(df, out, name)
 
 
+def fresh(spark: SparkSession, what: str, pages: str, known: str | None, asset: str) -> DataFrame:
+    """What saved pages of releases or submissions bring that the releases of the tables below ``known`` don't have."""
+    read = spark.read.text(pages, wholetext=True).withColumnRenamed("value", "body")
+    tags = artifact.read_table(spark, known, "releases") if known else None
+    tags = spark.createDataFrame([], "tag string") if tags is None else tags.select("tag")
+    if what == "new-releases":
+        return lists.new_releases(lists.releases_listed(read), tags, asset)
+    return lists.new_submissions(lists.require_language(lists.submissions(read)), tags)
+
+
 def printed(df) -> None:
     """All rows, a line each, as they come; never the whole result at once."""
     print("\t".join(df.columns))
@@ -70,6 +80,9 @@ def main(argv: list[str] | None = None) -> int:
     y = sub.add_parser("sync")
     y.add_argument("url"), y.add_argument("path"), y.add_argument("clone"), y.add_argument("out"), y.add_argument("--since")
     sub.add_parser("repack").add_argument("clone")
+    for name in ("new-releases", "new-submissions"):
+        q = sub.add_parser(name)
+        q.add_argument("pages"), q.add_argument("--known"), q.add_argument("--asset", default="")
     for name, *extra in (("term", "term_id"), ("commit", "sha"), ("pr", "number"), ("diff", "a", "b"), ("search", "query"), ("releases",)):
         q = sub.add_parser(name)
         q.add_argument("artifact")
@@ -78,6 +91,8 @@ def main(argv: list[str] | None = None) -> int:
         for x in ("--only", "--at", "--since", "--namespace", "--term", "--predicate"):
             q.add_argument(x)
         q.add_argument("--limit", type=int)
+        q.add_argument("--pr-link")
+        q.add_argument("--former", action="append")
         for x in ("--regex", "--ignore-case", "--full", "--commits"):
             q.add_argument(x, action="store_true")
     a = p.parse_args(argv)
@@ -91,33 +106,37 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "sync":
         sync(spark, a.url, a.path, a.clone, a.out, a.since)
         return 0
+    if a.command in ("new-releases", "new-submissions"):
+        printed(fresh(spark, a.command, a.pages, a.known, a.asset))
+        return 0
     try:
         h = artifact.open_history(spark, a.artifact)
     except artifact.ArtifactNotFound as e:
         print(e)
         return 1
     since = h.resolve(a.since) if a.since else None
-    cap = None if a.full else 200
+    shown = {"cap": None if a.full else 200, "show_commits": a.commits, "pr_link": a.pr_link}
     if a.command == "term" and a.at:
-        df = h.states_at(h.resolve(a.at), a.term_id)
-    elif a.command == "term":
-        df = h.timeline(a.term_id, a.only, since, a.limit)
+        printed(h.states_at(h.resolve(a.at), a.term_id))
+        return 0
+    if a.command == "releases":
+        printed(h.releases())
+        return 0
+    if a.command == "term":
+        view = views.term_view(h, a.term_id, a.only, since, a.limit, tuple(a.former or ()), **shown)
     elif a.command == "commit":
-        head = h.commit(a.sha).first()
-        if head is None:
+        if h.commit(a.sha).first() is None:
             print(f"no commit {a.sha}")
             return 0
-        printed(h.commit_headers(show_commits=a.commits).filter(F.col("commit_seq") == head.commit_seq).select("header"))
-        df = h.commit_events(a.sha, a.namespace)
+        view = views.commit_view(h, a.sha, a.namespace, **shown)
     elif a.command == "pr":
-        df = h.pr_terms(int(a.number))
+        view = views.pr_view(h, int(a.number), a.namespace, **shown)
     elif a.command == "diff":
-        df = in_order(rendered(pair_changes(h.range_events(a.a, a.b, a.term, a.namespace)), cap))
-    elif a.command == "search":
-        df = in_order(rendered(search_hits(h.search(a.query, a.term, a.predicate, since, a.regex, a.ignore_case, a.namespace), a.query, a.regex, a.ignore_case), cap))
+        view = views.diff_view(h, a.a, a.b, a.term, a.namespace, **shown)
     else:
-        df = h.releases()
-    printed(df)
+        view = views.search_view(h, a.query, a.term, a.predicate, since, a.regex, a.ignore_case, a.namespace, **shown)
+    for row in view.select("line").toLocalIterator():
+        print(row.line)
     return 0
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions import text
-from strataframe.operators import asof, changes, commits, pairing, stanzas
+from strataframe.operators import asof, changes, commits, pairing, stanzas, views
 from strataframe.operators.history import History
-from strataframe.sources import artifact, star
+from strataframe.sources import artifact, star, triples
 from strataframe.streaming.append import append_batch
 from strataframe.streaming.entities import keyed_stream
 
@@ -400,6 +400,46 @@ query(
     "SELECT doc_id AS submission_id, concat('v', CAST(doc_id AS VARCHAR)) AS version, '' AS released, '2020-01-01' AS creation_date, CASE WHEN lang = 'en' THEN 'OBO' ELSE 'OWL' END AS language, text AS description, source AS contact_name FROM documents",
 )(lambda spark, d: commits.submissions(listing(spark, d)).withColumn("contact_name", F.col("contact")[0]["name"]).drop("contact"))
 
+
+def release_pages(spark, d: str) -> DataFrame:
+    """Pages of releases: lists, and single ones."""
+    rows = star.table(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    one = F.struct(
+        F.concat(F.lit("t"), key).alias("tag_name"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), F.col("o_orderpriority").alias("body"), F.concat(F.lit("https://example.org/"), key).alias("html_url"),
+        (F.col("o_orderstatus") == "O").alias("draft"), (F.col("o_orderkey") % 3 == 0).alias("prerelease"), F.when(F.col("o_orderkey") % 11 != 0, F.struct(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("login"))).alias("author"),
+        F.array(F.struct(F.lit("notes.txt").alias("name"), F.lit(5).alias("size")), F.struct(F.when(F.col("o_orderkey") % 5 != 0, "onto.obo").alias("name"), F.lit(7).alias("size"))).alias("assets"), F.lit(3).alias("id"),
+    )
+    return rows.select(F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.array(one))).otherwise(F.to_json(one)).alias("body"))
+
+
+query(
+    "release_listing",
+    "SELECT concat('t', CAST(o_orderkey AS VARCHAR)) AS tag_name, o_orderdate AS published_at, o_orderpriority AS body, concat('https://example.org/', CAST(o_orderkey AS VARCHAR)) AS html_url, o_orderstatus = 'O' AS draft, o_orderkey % 3 = 0 AS prerelease, "
+    "CASE WHEN o_orderkey % 11 <> 0 THEN concat('u', CAST(o_custkey AS VARCHAR)) END AS author_login, CASE WHEN o_orderkey % 5 <> 0 THEN 'notes.txt,onto.obo' ELSE 'notes.txt' END AS assets FROM orders",
+)(lambda spark, d: commits.releases_listed(release_pages(spark, d)).withColumn("assets", F.array_join("assets", ",")))
+
+# The same histories, written as N-Triples.
+PREFIXES = {"https://example.org/entity/": "", "https://example.org/predicate#": ""}
+
+
+def as_triples(state: DataFrame) -> DataFrame:
+    """(commit_seq, line): each clause as a triple, with a comment line and a blank one for some."""
+    text = F.col("value")
+    for char, name in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\u000D")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    line = F.concat(F.lit("<https://example.org/entity/"), "term_id", F.lit(">\t<https://example.org/predicate#"), "predicate", F.lit('> "'), text, F.lit('" .'))
+    return state.select("commit_seq", F.explode(F.when(F.hash("term_id") % 5 == 0, F.array(F.lit("# a comment . "), F.lit("  "), F.concat(line, F.lit(" # said")))).otherwise(F.array(line))).alias("line"))
+
+
+def triple_events(state: DataFrame, numbered: DataFrame) -> DataFrame:
+    found = triples.state_of(triples.triples(as_triples(state), PREFIXES))
+    return changes.change_tables(changes.presence_of_state(found), numbered, star.NAME, star.OBSOLETE)["events"]
+
+
+query("triples_events", ORACLES["events_by_content"])(lambda spark, d: triple_events(star.state(spark, d), star.numbered(spark, d)))
+query("triples_prose_events", f"{ALL.replace(STATE, PROSE)} SELECT e.*, c.sha FROM ev e JOIN com c USING (commit_seq)")(lambda spark, d: triple_events(star.prose_state(spark, d), star.numbered(spark, d).filter("vidx < 4")))
+
 # Texts as values: letters of several alphabets, and three namespaces.
 asked_prose("prose_search_icase", f"{DETAIL} WHERE contains(lower(e.value), 'ichä')", lambda h: h.search("ICHÄ", ignore_case=True))
 asked_prose("prose_search_case", f"{DETAIL} WHERE contains(e.value, 'Der ')", lambda h: h.search("Der "))
@@ -513,3 +553,19 @@ SELECT g.*, 'group' AS kind, coalesce(removed, '') AS removed, coalesce(added, '
 )(
     lambda spark, d: pairing.pair_bodies(qualified(spark, d)).withColumns({c: F.array_join(F.transform(c, lambda x: F.concat(x["qualifier"], F.lit("*"), x["n"].cast("string"))), "; ") for c in ("removed", "added")})
 )
+
+# Views as lines.
+TERM_HEADER = f"""h AS ({HEADERS} WHERE x.term_id = '{TERM}'), mine AS (SELECT * FROM ev WHERE term_id = '{TERM}'), shown AS (SELECT * FROM mine QUALIFY dense_rank() OVER (ORDER BY commit_seq DESC) <= 3)
+SELECT 1 AS place, concat(term_id, CASE WHEN coalesce(current_name, '') <> '' THEN concat(' — ', current_name) ELSE '' END) AS line FROM h
+UNION ALL SELECT 2, concat('showing ', CAST((SELECT count(*) FROM shown) AS VARCHAR), ' of ', CAST((SELECT count(*) FROM mine) AS VARCHAR), ' events across 3 commits')
+UNION ALL SELECT 3, concat('first ', strftime(first_date, '%Y-%m-%d'), ' (', substr(first_sha, 1, 7), ')  ·  last ', strftime(last_date, '%Y-%m-%d'), ' (', substr(last_sha, 1, 7), CASE WHEN last_pr IS NOT NULL THEN concat(', PR #', CAST(last_pr AS VARCHAR)) ELSE '' END, ')') FROM h
+UNION ALL SELECT 4, concat('by predicate: ', string_agg(concat(predicate, ' ', CAST(n AS VARCHAR)), ', ' ORDER BY n DESC, first)) FROM (SELECT predicate, count(*) AS n, min((commit_seq, operation, predicate, value)) AS first FROM shown GROUP BY 1)"""
+query("term_view_header", f"{ALL}, {TERM_HEADER}")(lambda spark, d: views.numbered_lines((lambda h: views.term_header(h, TERM, h.timeline(TERM, last_commits=3), h.timeline(TERM)))(star.history(spark, d))))
+query("diff_view_titles", f"{ALL}, part AS ({DETAIL} WHERE e.commit_seq > 3 AND e.commit_seq <= 10) SELECT term_id, concat(term_id, CASE WHEN coalesce(max_by(name, commit_seq) FILTER (WHERE name IS NOT NULL), '') <> '' THEN concat(' — ', max_by(name, commit_seq) FILTER (WHERE name IS NOT NULL)) ELSE '' END) AS line FROM part GROUP BY 1 "
+      "UNION ALL SELECT '', concat(CAST(count(*) AS VARCHAR), ' events across ', CAST(count(DISTINCT term_id) AS VARCHAR), ' terms and ', CAST(count(DISTINCT commit_seq) AS VARCHAR), ' commits between 3 and 10') FROM part")(
+    lambda spark, d: views.diff_view(star.history(spark, d), 3, 10).filter("step = 0").select("term_id", "line")
+)
+query("commit_view_titles", f"{ALL}, part AS ({COMMIT_EVENTS}) SELECT term_id, concat(term_id, CASE WHEN coalesce(name, '') <> '' THEN concat(' — ', name) ELSE '' END) AS line FROM (SELECT DISTINCT term_id, name FROM part) UNION ALL SELECT '', concat(CAST(count(DISTINCT term_id) AS VARCHAR), ' terms changed') FROM part")(
+    lambda spark, d: views.commit_view(star.history(spark, d), SHA_12).filter("step = 1 or step = 2").select("term_id", "line")
+)
+query("term_view", None)(lambda spark, d: views.term_view(star.stored_history(spark, d), TERM, last_commits=5).drop("place"))

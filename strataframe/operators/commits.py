@@ -75,6 +75,20 @@ def submissions(pages: DataFrame) -> DataFrame:
     )
 
 
+def releases_listed(pages: DataFrame) -> DataFrame:
+    """pages (body string: a JSON list of releases, or one alone) -> the rows of ``new_releases``'s ``listed``.
+
+    Other keys are left out, missing ones are null, assets without a name don't count; a page that isn't JSON gives no rows.
+    """
+    one = "struct<tag_name:string,published_at:timestamp,body:string,html_url:string,draft:boolean,prerelease:boolean,author:struct<login:string>,assets:array<struct<name:string>>>"
+    listed = F.when(F.ltrim("body").startswith("["), F.from_json("body", f"array<{one}>")).otherwise(F.array(F.from_json("body", one)))
+    found = pages.select(F.explode(listed).alias("r")).filter("r.tag_name is not null")
+    return found.select(
+        "r.tag_name", F.to_utc_timestamp("r.published_at", F.current_timezone()).cast("timestamp_ntz").alias("published_at"), "r.body", "r.html_url", "r.draft", "r.prerelease",
+        F.when(F.col("r.author.login") != "", F.col("r.author.login")).alias("author_login"), F.coalesce(F.array_compact("r.assets.name"), F.array().cast("array<string>")).alias("assets"),
+    )
+
+
 class NoSuchLanguage(ValueError):
     """None of the submissions is in the language that was asked for."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.functions.patterns import java_pattern
 from strataframe.functions.text import MERGE_SUBJECT, date_prefix, first_line, short_sha, subject
 
 COMMIT = ["commit_seq", "committed_date", "sha", "author_name", "pr_number", "message", "branch_commits", "snapshot_url"]
@@ -12,9 +13,9 @@ ROW = ["commit_seq", "committed_date", "sha", "author_name", "pr_number", "messa
 
 
 def text_match(c: Column, query: str, regex: bool = False, ignore_case: bool = False) -> Column:
-    """Whether ``query`` is in the text; regular expressions are Java's, folding case beyond ASCII too."""
+    """Whether ``query`` is in the text; patterns are those of linear-time engines (see ``patterns``), folding case beyond ASCII too."""
     if regex:
-        return c.rlike(("(?iu)" if ignore_case else "") + query)
+        return c.rlike(java_pattern(query, ignore_case))
     return F.lower(c).contains(query.lower()) if ignore_case else c.contains(query)
 
 
