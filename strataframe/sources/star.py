@@ -9,7 +9,9 @@ from strataframe.operators.changes import change_tables, number_readable, presen
 from strataframe.operators.commits import derive, releases_asof
 from strataframe.operators.history import History
 from strataframe.operators.keyframes import Keyframes
+from strataframe.schemas import BRANCH_COMMIT
 from strataframe.sources.artifact import open_history, shared_folder, write_history
+from strataframe.sources.search_index import index_events
 
 #: What stands for the name and the obsolete flag in these tables.
 NAME, OBSOLETE = "signup", ("error", "100")
@@ -78,8 +80,9 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_readable(commits(spark, sf_dir).select("commit_seq", "sha", F.lit("").alias("content")))
 
 
-def history(spark: SparkSession, sf_dir: str) -> History:
-    made = change_tables(presence_of_state(state(spark, sf_dir)), numbered(spark, sf_dir), NAME, OBSOLETE)
+def history(spark: SparkSession, sf_dir: str, keep=lambda presence: presence) -> History:
+    """``keep`` may write the presence of entities and give it back, so that the tables don't each work it out."""
+    made = change_tables(keep(presence_of_state(state(spark, sf_dir))), numbered(spark, sf_dir), NAME, OBSOLETE)
     log = commits(spark, sf_dir)
     full = log.join(branch_commits(spark, sf_dir), "commit_seq", "left")
     return History(made["events"], full, made["term_snapshots"], releases_asof(tags(spark, sf_dir), log))
@@ -94,11 +97,27 @@ def stored_history(spark: SparkSession, sf_dir: str) -> History:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         root = shared_folder(spark, "history")
-        write_history(history(spark, sf_dir), root)
+        write_history(history(spark, sf_dir, lambda presence: written(presence, f"{root}/_build/presence")), root)
         _written[key] = root
     return open_history(spark, _written[key])
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_prose(spark: SparkSession, sf_dir: str) -> str:
+    """Where the history of texts has been written, with an index of its events."""
+    key = (spark.sparkContext.applicationId, f"prose {sf_dir}")
+    if key not in _written:
+        root = shared_folder(spark, "prose")
+        write_history(prose_history(spark, sf_dir, lambda presence: written(presence, f"{root}/_build/presence")), root)
+        index_events(spark, root)
+        _written[key] = root
+    return _written[key]
+
+
 EVERY = 7
 
 
@@ -129,10 +148,10 @@ def in_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", digest * 10_000_000_000 + F.col("doc_id"))
 
 
-def prose_history(spark: SparkSession, sf_dir: str) -> History:
-    made = change_tables(presence_of_state(prose_state(spark, sf_dir)), numbered(spark, sf_dir).filter("vidx < 4"), NAME, OBSOLETE)
+def prose_history(spark: SparkSession, sf_dir: str, keep=lambda presence: presence) -> History:
+    made = change_tables(keep(presence_of_state(prose_state(spark, sf_dir))), numbered(spark, sf_dir).filter("vidx < 4"), NAME, OBSOLETE)
     log = commits(spark, sf_dir)
-    return History(made["events"], log.withColumn("branch_commits", F.lit(None).cast("array<struct<sha:string>>")), made["term_snapshots"], releases_asof(tags(spark, sf_dir), log))
+    return History(made["events"], log.withColumn("branch_commits", F.lit(None).cast(f"array<{BRANCH_COMMIT}>")), made["term_snapshots"], releases_asof(tags(spark, sf_dir), log))
 
 
 def documents(spark: SparkSession, sf_dir: str, mismatch: bool = False) -> DataFrame:
