@@ -205,7 +205,7 @@ asked("search_icase", f"{DETAIL} WHERE contains(lower(e.value), lower('7E')) OR
 asked("search_regex", f"{DETAIL} WHERE regexp_matches(e.value, '^1[0-3]$')", lambda h: h.search("^1[0-3]$", regex=True))
 asked("search_regex_icase", f"{DETAIL} WHERE regexp_matches(e.value, '^(2|3)1$', 'i')", lambda h: h.search("^(2|3)1$", regex=True, ignore_case=True))
 asked("search_since", f"{DETAIL} WHERE contains(e.value, '4') AND e.commit_seq >= {SINCE}", lambda h: h.search("4", since=SINCE))
-asked("search_predicate", f"{DETAIL} WHERE contains(e.value, '5') AND e.predicate = '{PREDICATE}' AND e.term_id = '{TERM}'", lambda h: h.search("5", term_id=TERM, predicate=PREDICATE))
+asked("search_predicate", f"{DETAIL} WHERE contains(e.value, '3') AND e.predicate = '{PREDICATE}' AND e.term_id = '{TERM}'", lambda h: h.search("3", term_id=TERM, predicate=PREDICATE))
 asked("search_namespace", f"{DETAIL} WHERE contains(e.value, '99') AND starts_with(e.term_id, 'USER:')", lambda h: h.search("99", namespace="USER"))
 query("commit_count", f"WITH {COMMITS} SELECT count(*) AS n_commits, CASE WHEN count(*) > 0 THEN 'built' ELSE 'not built' END AS status FROM com")(
     lambda spark, d: star.commits(spark, d).agg(F.count(F.lit(1)).alias("n_commits"), F.when(F.count(F.lit(1)) > 0, "built").otherwise("not built").alias("status"))

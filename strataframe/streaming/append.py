@@ -3,7 +3,8 @@
 Versions come as files of a stream (commit_seq, sha, content; in order). A micro-batch is built from its own
 versions and the heads that the batch before it left, so its work follows the batch and the number of
 entities, not the length of the history. The axis is a total order, so there is nothing to wait for: no
-watermark. A version at or before the last one that was built means that history was rewritten; the batch
+watermark. Heads of all entities are written again each batch; where only what changed is at hand, ``entities`` keeps them as a
+stream's state instead. A version at or before the last one that was built means that history was rewritten; the batch
 is refused, and the caller builds anew.
 """
 
@@ -44,7 +45,10 @@ def append_batch(versions: DataFrame, root: str, batch: int) -> None:
         raise HistoryRewritten(f"version {span.lo} comes after {last_seq}")
     numbered = number_readable(versions).withColumn("vidx", (F.col("vidx") + last_vidx + 1).cast("int"))
     heads = spark.createDataFrame([], HEADS) if before is None else _read(spark, f"{root}/heads/batch={before}", HEADS)
-    presence = seeded(presence_of_documents(versions, numbered), heads)
+    # worked out once for the tables and the heads
+    path = f"{root}/_presence/batch={batch}"
+    seeded(presence_of_documents(versions, numbered), heads).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    presence = spark.read.parquet(path)
     tables = change_tables(presence, numbered)  # the join with the new versions leaves the seeds out
     tables["skipped"] = tables["skipped"].unionByName(missing_content(versions))
     for name, df in tables.items():
