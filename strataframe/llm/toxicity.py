@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The label columns are the links of the chain, in order; each link is a linear model over
-the presence of words and over the probabilities of the links before it. These inputs are
+the presence of words and of beginnings of words, and over the probabilities of the links before it. These inputs are
 out-of-fold while a link is fitted: a row's earlier probabilities come from models that didn't see it, so a later
 link learns how far to trust them. Words are chosen by how much oftener the labelled rows of
 a category have them. Fitting takes a bounded sample of labelled rows; word counts over it are
@@ -20,11 +20,13 @@ from strataframe.llm.decontam import words_of
 from strataframe.llm.learning import held_out, sample
 
 #: Labelled rows that are fitted on, words of a category, and inner folds.
-MAX_LABELLED, WORDS, INNER = 20_000, 192, 5
+MAX_LABELLED, WORDS, INNER = 20_000, 256, 5
 #: Sampled rows that must have a word before it can be chosen: what fewer have says little of others.
 LEAST_ROWS = 5
 #: Standard deviations from which a word is told from chance among very many; where none is, the first few are taken.
 CLEAR, FEW = 4.0, 16
+#: Lengths in bytes of the beginnings of longer words that are looked at besides whole words: insults come in compounds and with endings.
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: The chain: name and the label column with its value that means yes.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
@@ -48,6 +50,12 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
+def signs(text: bytes) -> set[bytes]:
+    """What a link may look at in a text: its words, and the beginnings of longer ones, marked."""
+    words = set(words_of(text))
+    return words | {b"\0" + w[:k] for w in words for k in BEGINNINGS if len(w) > k}
+
+
 class Chain:
     def __init__(self, words: list[bytes], links: list[tuple[str, np.ndarray]], thresholds: list[float]):
         self.words = {w: i for i, w in enumerate(words)}
@@ -55,7 +63,7 @@ class Chain:
 
     def present(self, text: bytes) -> list[int]:
         own = self.words
-        return [own[w] for w in own.keys() & set(words_of(text))]
+        return [own[w] for w in own.keys() & signs(text)]
 
     def predict(self, present: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(present), len(self.words)))
@@ -120,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = M
 
     def distinct_words(batches):
         for b in batches:
-            sets = [sorted(set(words_of(t))) for t in b.column("text").to_pylist()]
+            sets = [sorted(signs(t)) for t in b.column("text").to_pylist()]
             arrays = [pa.array(sets, pa.list_(pa.binary()))] + [b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=["words", *names])
 
@@ -145,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_labelled: int = M
 
     def presence(batches):
         for b in batches:
-            x = [[known[w] for w in known.keys() & set(words_of(t))] for t in b.column("text").to_pylist()]
+            x = [[known[w] for w in known.keys() & signs(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.int32()))] + [b.column(n) for n in names], names=["doc_id", "x", *names])
 
     rows = texts.select("doc_id", "text", *names).mapInArrow(presence, f"doc_id long, x array<int>, {types}").collect()
