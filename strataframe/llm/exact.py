@@ -159,6 +159,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op10_exact(docs: DataFrame) -> DataFrame:
+    """The row that stays for each row, and its group; see ``decisions`` for odd rows."""
     return decisions(docs).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

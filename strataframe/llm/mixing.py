@@ -111,6 +111,7 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, r
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
+    """Size, target and words taken of each row; see ``mix`` for odd rows."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

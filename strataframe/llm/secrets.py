@@ -95,6 +95,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op1_secrets(docs: DataFrame) -> DataFrame:
+    """Counts and digest of the base spans of each row, and all spans; see ``find_secrets`` for odd rows."""
     spans = F.arrays_zip("kinds", "starts", "ends")
     base = F.filter(spans, lambda s: s["kinds"].isin("assign", "access", "hex"))
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string"))), ",")

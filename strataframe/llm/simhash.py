@@ -262,4 +262,5 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of each row; see ``near_groups`` for odd rows."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -249,6 +249,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op4_substrings(docs: DataFrame) -> DataFrame:
+    """Words of each row, how many go, and the digest of the rest; see ``without_repeats`` for odd rows."""
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -222,6 +222,7 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
 
 
 def op7_suffixes(docs: DataFrame) -> DataFrame:
+    """Bytes of each row, how many go in how many runs, and the digest of the rest; see ``without_repeated_bytes`` for odd rows."""
     return without_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

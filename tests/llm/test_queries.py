@@ -40,3 +40,24 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     mixed = kept["mixing"][1].collect()
     assert mixed and {r.doc_id for r in mixed} <= ids(kept["mixing"][0]) and all(0 < r.taken <= 2 * r.size for r in mixed)
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, mixed))
+
+
+@pytest.mark.parametrize("none", [False, True])
+def test_pipeline_of_odd_tables(spark, tmp_path, none):
+    """Nulls, repeats, very long and empty texts, clashing names; and no rows at all."""
+    import corpus_pipeline
+    from tests.llm.cases import frame
+
+    sf = str(tmp_path)
+    frame(spark, [] if none else None).write.parquet(f"{sf}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{sf}/{name}.parquet")
+    docs = table(spark, sf, "documents")
+    given, columns = docs, docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, given, sf).write.parquet(f"{sf}/{name}")
+        given = spark.read.parquet(f"{sf}/{name}")
+        assert i == 4 or given.columns == columns
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, given.collect()))
+    assert (given.count() == 0) == none
