@@ -105,7 +105,8 @@ def index_events(spark: SparkSession, root: str) -> int:
     if fresh:
         values = _events(spark, root, fresh).select(F.regexp_extract(F.input_file_name(), "^.*/events/(.*)$", 1).alias("file"), "value").distinct()
         both = values.select("file", F.explode(F.array_distinct(F.array("value", F.lower("value")))).alias("v")).filter(F.length("v") >= SIZE)
-        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("v") - SIZE + 1), lambda i: F.substring("v", i, F.lit(SIZE))))
+        # one walk over a value: a substring by position would count its characters anew for each
+        pieces = F.array_distinct(F.regexp_extract_all("v", F.lit(f"(?s)(?=(.{{{SIZE}}}))"), F.lit(1)))
         found = both.select("file", F.explode(pieces).alias("gram")).distinct()
         found.select("gram", "file").repartitionByRange("gram").sortWithinPartitions("gram", "file").write.mode("append").option("compression", "zstd").parquet(f"{root}/_grams/postings")
         # last: what isn't listed here is scanned and indexed again, which only repeats rows
