@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import NO_ID, Scratch, id_key, one_of_each, row_key, utf8
+from strataframe.llm.common import Scratch, row_key, utf8
 from strataframe.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -108,22 +108,26 @@ def narrower_keys(key: Column, rest: Column, bits: int) -> Column:
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
-    """(64, words + 1) of uint64: bit i of plane j is bit j of row i."""
+    """(bits, words + 1) of uint64: bit i of plane j is bit j of row i. Rows are 64-bit numbers or rows of bytes."""
     n = len(fp)
     words = -(-n // 64) + 1
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    packed = np.zeros((64, words * 8), np.uint8)
+    bits = np.unpackbits(fp.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    packed = np.zeros((bits.shape[1], words * 8), np.uint8)
     rows = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
     packed[:, : rows.shape[1]] = rows
     return packed.view(np.uint64)
 
 
 def linked(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS):
-    """Yields (i, j) index arrays of the rows of one group within ``radius`` (1 or 3) bits, by offset."""
-    assert radius in (1, 3)
+    """Yields (i, j) index arrays of the rows of one group within ``radius`` bits, by offset.
+
+    The counters start so high that one more than ``radius`` overflows them.
+    """
     n = len(fp)
     planes = planes_of(fp)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    size = radius.bit_length()
+    start = (1 << size) - 1 - radius
     for s in range(1, n):
         same = np.zeros(planes.shape[1] * 64, np.uint8)
         same[: n - s] = group[s:] == group[:-s]
@@ -133,26 +137,23 @@ def linked(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS):
             return
         skip, bit = divmod(s, 64)
         over = ~lanes[at]
-        ones, twos = np.zeros_like(over), np.zeros_like(over)
+        counter = [np.full_like(over, full if start >> k & 1 else 0) for k in range(size)]
         src, nxt = at + skip, np.minimum(at + skip + 1, planes.shape[1] - 1)
         src = np.minimum(src, planes.shape[1] - 1)
-        for j in range(64):
-            p = planes[j]
+        for j, p in enumerate(planes):
             ahead = p[src] >> np.uint64(bit)
             if bit:
                 ahead |= p[nxt] << np.uint64(64 - bit)
-            d = p[at] ^ ahead
-            carry = ones & d
-            ones ^= d
-            if radius == 1:
-                over |= carry
-            else:
-                over |= twos & carry
-                twos ^= carry
+            carry = p[at] ^ ahead
+            for c in counter:
+                more = c & carry
+                c ^= carry
+                carry = more
+            over |= carry
             if j % 6 == 5:
                 live = over != full
                 if not live.all():
-                    at, src, nxt, over, ones, twos = (x[live] for x in (at, src, nxt, over, ones, twos))
+                    at, src, nxt, over, *counter = (x[live] for x in (at, src, nxt, over, *counter))
                     if not len(at):
                         break
         if len(at):
@@ -247,20 +248,6 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of ``docs``, with all its columns: of the least doc_id, null ids last, then of the least hash.
-
-    Groups are those of ``near_groups``: null and blank texts are one of them. Of rows that repeat id and text, the one
-    whose other columns have the least hash stays. No rows: no rows. Columns of any name ride along.
-    """
-    groups = near_groups(docs, radius)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")
-    stay = groups.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__sf_row"), F.col("first.id").alias("__sf_id"))
-    own = one_of_each(docs.withColumns({"__sf_own": row_key(docs), "__sf_own_id": id_key(docs)}), "__sf_own", "__sf_own_id")
-    kept = own.join(stay, (F.col("__sf_own") == F.col("__sf_row")) & (F.col("__sf_own_id") == F.col("__sf_id")), "left_semi")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
-
-
 def op2_simhash(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of each row; see ``near_groups`` for odd rows."""
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strataframe.llm import decontam, exact, lines, mixing, secrets, simhash, substrings, suffixes
+from strataframe.llm import decontam, exact, lines, mixing, secrets, similar, simhash, substrings, suffixes
 from tests.llm import brute
 from tests.llm.cases import documents, frame, prose
 
@@ -437,9 +437,9 @@ print("found", [(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).colle
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     base, other = prose(60, 300), prose(61, 300)
     docs = [(None, base, "a"), (None, base + "\n", "a"), (7, other, "a"), (7, other + "\n", "a"), (7, other, "a"), (8, other, "a"), (None, other, "a")]
-    kept = simhash.near_dedup(frame(spark, docs))
+    kept = similar.near_dedup(frame(spark, docs))
     assert kept.columns == frame(spark).columns and sorted(str(r.doc_id) for r in kept.collect()) == ["7", "None"]
-    assert [r.doc_id for r in simhash.near_dedup(frame(spark, [(None, base, "a"), (3, base, "a")])).collect()] == [3]
+    assert [r.doc_id for r in similar.near_dedup(frame(spark, [(None, base, "a"), (3, base, "a")])).collect()] == [3]
 
 
 def test_block_maxima_are_held_by_posting():
