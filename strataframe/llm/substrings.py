@@ -5,12 +5,13 @@ without a bound, so the shards are cut by anchor (see ``anchors``): copies of a
 anchor, so a document has to be streamed only through the automata of its own anchors.
 
 1. One Arrow pass emits a row per context: anchor, digest of its words, document, windows.
-2. Equal contexts are combined: all places but those of the first document are covered, as the automaton
-   that holds the first would say of each. The join is by (anchor, context), which AQE splits where one is hot.
-3. Distinct contexts of one anchor, the edges of copies, are a reference shard: the first
+2. Equal contexts are combined by their digest, so that words that very many documents share travel once.
+3. The distinct contexts of one anchor are a reference shard: the first
    document of each context brings its words, and they are streamed in order of documents through the shard's
    suffix automaton, which then takes them in. Windows that end where the matching statistic is 50
-   or more occur in an earlier document.
+   or more occur in an earlier document. If later documents have the same context, it is streamed once more for them, when the
+   automaton knows the first one's words. Every removed window comes from these statistics. Results go back to places
+   by (anchor, context), a join which AQE splits where one is hot.
 4. An anchor of more than ``SHARD`` distinct contexts is split by further k-grams (see ``matching``) into shards that
    are small enough, and these go the same way.
 5. All spans of a document go back to it; its words outside of them are what is kept.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm import anchors
 from strataframe.llm.common import NO_ID, Scratch, id_key, row_key, utf8
-from strataframe.llm.matching import CONTEXTS, RANGES, repeated_windows, spans_of_rows
+from strataframe.llm.matching import CONTEXTS, PASSAGES, RANGES, repeated_windows, spans_of_rows
 
 WINDOW, GRAM = 50, 16
 #: Distinct contexts of an anchor that one automaton takes; anchors of more are split.
@@ -68,25 +69,26 @@ def word_contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 
 def split_contexts(bounds, window: int, gram: int):
-    """depth -> a map from contexts (anchor, context, doc_id, words) to the contexts within them, of so many k-grams (PARTS).
+    """depth -> a map from PASSAGES to the contexts within them, of so many k-grams (PARTS).
 
-    ``bounds`` gives where the elements of some bytes start and end.
+    Those of a context with several places come twice, the second time as of its largest document. ``bounds`` gives where the elements of some bytes start and end.
     """
 
     def at_depth(depth: int):
         def run(batches):
             for b in batches:
-                for a, c, d, text in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "doc_id", "words"))):
+                for a, c, d, z, several, text in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "doc_id", "last_id", "several", "words"))):
                     starts, ends = bounds(text)
                     made = anchors.contexts(text, starts, ends, window, gram, depth)
                     n = len(made[0])
                     same = lambda v, t, n=n: pa.array([v] * n, t)
                     words = [text[x:y] for x, y in zip(starts[made[2]].tolist(), ends[made[3] + window - 1].tolist())]
                     row = int.from_bytes(c[:8], "little", signed=True) ^ a
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(made[0]), pa.array(made[1], pa.binary()), same(d, pa.int64()), same(row, pa.int64()), pa.array(made[2].astype(np.int32)), pa.array(made[3].astype(np.int32)), same(a, pa.int64()), same(c, pa.binary()), pa.array(words, pa.binary())],
-                        names=["anchor", "context", "doc_id", "row", "first", "last", "up_anchor", "up_context", "words"],
-                    )
+                    for later, doc in ((False, d), (True, z))[: 1 + several]:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(made[0]), pa.array(made[1], pa.binary()), same(doc, pa.int64()), same(row ^ later, pa.int64()), pa.array(made[2].astype(np.int32)), pa.array(made[3].astype(np.int32)), same(a, pa.int64()), same(c, pa.binary()), same(later, pa.bool_()), pa.array(words, pa.binary())],
+                            names=["anchor", "context", "doc_id", "row", "first", "last", "up_anchor", "up_context", "up_later", "words"],
+                        )
 
         return run
 
@@ -155,26 +157,43 @@ def runs_of(flags) -> list[tuple[int, int]]:
 
 
 def match_shards(window: int):
-    """Rows (anchor, doc_id, context, words) sorted by anchor and doc_id -> the windows that earlier documents have."""
+    """PASSAGES sorted by anchor and doc_id -> the windows that earlier documents have, of the first place and of later documents' places."""
+    kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32())
+
+    def matched(automaton, anchor, context, later, words):
+        stats = automaton.statistics(words)
+        return [(anchor, context, later, x, y) for x, y in runs_of([s >= window for s in stats[window - 1 :]])]
+
+    def take_in(automaton, waiting, anchor):
+        """A document's contexts go in, and those that later documents have too are streamed for these."""
+        for _, words, _ in waiting:
+            automaton.add(words)
+        return [x for c, words, again in waiting if again for x in matched(automaton, anchor, c, True, words)]
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], names=["anchor", "context", "later", "start", "end"])
 
     def run(batches):
         anchor = doc = automaton = None
         waiting = []
         for b in batches:
             found = []
-            for a, d, c, text in zip(*(b.column(n).to_pylist() for n in ("anchor", "doc_id", "context", "words"))):
+            for a, d, z, c, text in zip(*(b.column(n).to_pylist() for n in ("anchor", "doc_id", "last_id", "context", "words"))):
                 if a != anchor or automaton is None:
+                    if any(again for _, _, again in waiting):
+                        found += take_in(automaton, waiting, anchor)
                     anchor, doc, automaton, waiting = a, d, SuffixAutomaton(), []
                 if d != doc:  # a document doesn't match its own contexts
-                    for words in waiting:
-                        automaton.add(words)
+                    found += take_in(automaton, waiting, anchor)
                     doc, waiting = d, []
                 words = text.split(b" ")
-                stats = automaton.statistics(words)
-                found += [(a, c, x, y) for x, y in runs_of([s >= window for s in stats[window - 1 :]])]
-                waiting.append(words)
+                if automaton.length[-1]:
+                    found += matched(automaton, a, c, False, words)
+                waiting.append((c, words, z > d))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["anchor", "context", "start", "end"])
+                yield batch_of(found)
+        if any(again for _, _, again in waiting) and (found := take_in(automaton, waiting, anchor)):
+            yield batch_of(found)
 
     return run
 
@@ -194,12 +213,13 @@ def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
                 if row != seen:
                     seen, words = row, text.split()
                 out.append(b" ".join(words[first : last + window]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("anchor", "context", "kinds", "doc_id")), pa.array(out, pa.binary())], names=["anchor", "context", "kinds", "doc_id", "words"])
+            own = ["anchor", "context", "kinds", "doc_id", "last_id", "several"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.binary())], names=[*own, "words"])
 
     def bring(wanted):
         # rows that repeat bring the same words again, to no other effect than these
-        homes = rows.join(wanted, ["row", "doc_id"]).select("text", "row", "doc_id", "first", "last", "anchor", "context", "kinds")
-        return homes.mapInArrow(cut, "anchor long, context binary, kinds long, doc_id long, words binary")
+        homes = rows.join(wanted, ["row", "doc_id"]).select("text", "row", "doc_id", "first", "last", "anchor", "context", "kinds", "last_id", "several")
+        return homes.mapInArrow(cut, PASSAGES)
 
     def match(passages):
         return passages.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(match_shards(window), RANGES)
@@ -207,10 +227,10 @@ def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     def bounds(text):
         return word_bounds(text.split(b" "))
 
-    covered = F.col("home_id") < F.col("doc_id")
-    found, told = repeated_windows(contexts, bring, match, split_contexts(bounds, window, gram), covered, window - gram + 1, shard, scratch)
+    later = F.col("home_id") < F.col("doc_id")
+    found, told = repeated_windows(contexts, bring, match, split_contexts(bounds, window, gram), later, window - gram + 1, shard, scratch)
     scratch.drop("contexts")
-    return spans_of_rows(found, told, covered, window)
+    return spans_of_rows(found, told, later, window)
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

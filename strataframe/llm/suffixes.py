@@ -2,8 +2,8 @@
 
 Every byte that a 400-byte string covers which starts anywhere else too is removed. Anchors (see ``anchors``)
 bring the places that may share such a string together: a context is a run of window starts with one
-anchor and the bytes that they cover. A context that occurs twice is covered whole. Where an anchor has
-several distinct contexts, at the edges of copies, their bytes go to one task, and there:
+anchor and the bytes that they cover. Equal contexts are combined by their digest, so their bytes travel once, with whether they have
+several places. The distinct contexts of an anchor go to one task, and there:
 
 - The symbols are the ids of 100-byte blocks at every byte, so the suffix of a window start has its
   400 bytes in its first 4 symbols, and the predecessor of a suffix starts 100 bytes before it.
@@ -14,7 +14,8 @@ several distinct contexts, at the edges of copies, their bytes go to one task, a
   starts as one shard after the other, and each round walks it, reads the next symbol of the shard that it
   names and deals the places out by that symbol, stably. After t rounds it is right by t symbols and the
   boundaries that appeared up to then are where common prefixes are shorter. So 4 rounds give
-  the repeated intervals; the suffixes are not sorted again.
+  the repeated intervals; the suffixes are not sorted again. A suffix of a context with several places counts
+  as two, as it would stand twice in its shard. Every removed window comes from these intervals.
 
 An anchor of more than ``SHARD`` distinct contexts is split by further k-grams (see ``matching``) until each part has fewer,
 and these go the same way.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm import anchors
 from strataframe.llm.common import NO_ID, Scratch
-from strataframe.llm.matching import CONTEXTS, RANGES, spans_of_rows
+from strataframe.llm.matching import CONTEXTS, PASSAGES, RANGES, spans_of_rows
 from strataframe.llm.matching import repeated_windows as windows_told
 from strataframe.llm.substrings import context_rows, keyed_rows, runs_of, split_contexts
 
@@ -122,8 +123,11 @@ def merge(one: np.ndarray, two: np.ndarray, depth: int) -> tuple[np.ndarray, np.
     return z, interval
 
 
-def repeated_windows(group: np.ndarray, texts: list[bytes], window: int = WINDOW, block: int = BLOCK) -> list[tuple[int, int, int]]:
-    """(text number, start, end): the runs of window starts whose bytes start elsewhere in their group too."""
+def repeated_windows(group: np.ndarray, texts: list[bytes], window: int = WINDOW, block: int = BLOCK, several=None) -> list[tuple[int, int, int]]:
+    """(text number, start, end): the runs of window starts whose bytes start elsewhere in their group too.
+
+    ``several`` marks texts that stand for more than one place.
+    """
     t = Texts(group, texts, block)
     # every other context of a group goes to the second shard
     second = (np.arange(len(texts)) - np.searchsorted(group, group)) % 2 == 1
@@ -133,31 +137,32 @@ def repeated_windows(group: np.ndarray, texts: list[bytes], window: int = WINDOW
     place = np.empty(len(z), np.int64)
     place[z == 0], place[z == 1] = sa1, sa2
     repeated = np.zeros(len(z) + 1, bool)
-    repeated[place[(np.bincount(interval) > 1)[interval]]] = True
+    weight = None if several is None else 1 + np.asarray(several, np.int64)[t.owner[place]]
+    repeated[place[(np.bincount(interval, weight) > 1)[interval]]] = True
     repeated[:-1] &= t.left > window
     # a context's last window start is followed by places without a window, so runs end within it
     return [(int(t.owner[a]), a - int(t.base[t.owner[a]]), b - int(t.base[t.owner[a]])) for a, b in runs_of(repeated[:-1])]
 
 
 def merge_shards(window: int, block: int):
-    """Rows (anchor, context, words) sorted by anchor -> (anchor, context, start, end) of repeated windows."""
+    """PASSAGES sorted by anchor -> RANGES of repeated windows, which hold for all places."""
 
     def solve(rows):
-        anchor, context, texts = zip(*rows)
+        anchor, context, several, texts = zip(*rows)
         group = np.cumsum(np.concatenate(([0], np.diff(np.array(anchor, np.int64)) != 0)))
-        found = repeated_windows(group, list(texts), window, block)
-        columns = zip(*((anchor[i], context[i], a, b) for i, a, b in found)) if found else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["anchor", "context", "start", "end"])
+        found = repeated_windows(group, list(texts), window, block, several)
+        columns = zip(*((anchor[i], context[i], False, a, b) for i, a, b in found)) if found else ([], [], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32()))], names=["anchor", "context", "later", "start", "end"])
 
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for row in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "words"))):
+            for row in zip(*(b.column(n).to_pylist() for n in ("anchor", "context", "several", "words"))):
                 if size >= BATCH and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
         if held:
             yield solve(held)
 
@@ -172,20 +177,20 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     def cut(batches):
         for b in batches:
             out = [t[f : e + window] for t, f, e in zip(*(b.column(n).to_pylist() for n in ("text", "first", "last")))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("anchor", "context", "kinds", "doc_id")), pa.array(out, pa.binary())], names=["anchor", "context", "kinds", "doc_id", "words"])
+            own = ["anchor", "context", "kinds", "doc_id", "last_id", "several"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.binary())], names=[*own, "words"])
 
     def bring(wanted):
-        homes = rows.join(wanted, ["row", "doc_id"]).select("doc_id", "text", "first", "last", "anchor", "context", "kinds")
-        return homes.mapInArrow(cut, "anchor long, context binary, kinds long, doc_id long, words binary")
+        homes = rows.join(wanted, ["row", "doc_id"]).select("doc_id", "text", "first", "last", "anchor", "context", "kinds", "last_id", "several")
+        return homes.mapInArrow(cut, PASSAGES)
 
     def match(passages):
         return passages.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(merge_shards(window, block), RANGES)
 
-    # all places of a context that has several
-    covered = F.col("home_id").isNotNull()
-    found, told = windows_told(contexts, bring, match, split_contexts(byte_bounds, window, gram), covered, window - gram + 1, shard, scratch)
+    later = F.lit(False)
+    found, told = windows_told(contexts, bring, match, split_contexts(byte_bounds, window, gram), later, window - gram + 1, shard, scratch)
     scratch.drop("contexts")
-    return spans_of_rows(found, told, covered, window)
+    return spans_of_rows(found, told, later, window)
 
 
 def cut_spans(text: bytes, spans) -> tuple[int, bytes]:
