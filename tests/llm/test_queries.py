@@ -1,9 +1,12 @@
+import itertools
+
 import pytest
 
-from strataframe.llm import exact, quality, simhash
+from strataframe.llm import exact, quality
 from strataframe.llm.common import table
 from strataframe.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
+from tests.llm.test_similar import shingles
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +37,11 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     model = quality.train(docs, table(spark, SF, "labels"))
     assert ids(kept["quality"][1]) == {r.doc_id for r in quality.scores(docs, model).collect() if r.score >= 0.5}
     assert ids(kept["exact"][1]) == {r.doc_id for r in exact.op10_exact(kept["exact"][0]).collect() if r.kept}
-    assert ids(kept["near"][1]) == {r.component_id for r in simhash.op2_simhash(kept["near"][0]).collect()}
+    # no pair that stays is similar, and what goes has a similar text in the stage's input
+    given, stays = {r.doc_id: shingles(r.text) for r in kept["near"][0].collect()}, ids(kept["near"][1])
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert stays <= set(given) and not any(jaccard(given[a], given[b]) >= 0.8 for a, b in itertools.combinations(stays, 2))
+    assert all(max(jaccard(given[d], t) for e, t in given.items() if e != d) >= 0.65 for d in set(given) - stays)
     texts, items = ([(r[0], r.text) for r in df.collect()] for df in (kept["decontamination"][0], table(spark, SF, "benchmark")))
     assert ids(kept["decontamination"][1]) == ids(kept["decontamination"][0]) - {d for d, _ in brute.leaks(texts, items)}
     mixed = kept["mixing"][1].collect()
