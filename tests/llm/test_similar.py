@@ -87,3 +87,30 @@ def test_links_lead_to_components(spark):
     text = " ".join(prose(random.Random(9), 100))
     nodes = similar.sketches(spark.createDataFrame([(1, text), (2, text + " more"), (3, "else")], SCHEMA)).selectExpr("doc_id AS node", "fp", "bands")
     assert {(x.node, x.component) for x in connected_components(similar.similar_links(nodes)).collect()} == {(1, 1), (2, 1)}
+
+
+@pytest.mark.parametrize("chunk, cell", [(2048, 4096), (50, 4096), (50, 7), (1, 1)])
+def test_a_large_band_keeps_every_link(spark, chunk, cell, monkeypatch):
+    """Many texts that share one band alone: one large group, pairs, chains and single ones, against all pairs."""
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "PILOTS", 4)
+    r = random.Random(10)
+    flipped = lambda fp, n: fp ^ sum(1 << k for k in r.sample(range(512), n))
+    prints = [r.getrandbits(512)]
+    prints += [flipped(prints[0], 30) for _ in range(60 if cell > 1 else 10)]
+    for n in (88, 89) * (20 if cell > 1 else 3):  # pairs at the radius and beyond, chains of two links
+        one = r.getrandbits(512)
+        prints += [one, flipped(one, n), flipped(flipped(one, 88), 60)]
+    prints += [flipped(prints[0], 110) for _ in range(10)]  # links to some of the large group only
+    bands = [[7 if k % 3 else 8] + [100 + k, 10000 + k] for k in range(len(prints))]
+    rows = [(k, bytearray(fp.to_bytes(64, "little")), b) for k, (fp, b) in enumerate(zip(prints, bands))]
+    nodes = spark.createDataFrame(rows, "node long, fp binary, bands array<long>")
+    got = {x.node: x.component for x in connected_components(similar.similar_links(nodes, chunk=chunk)).collect()}
+    want = list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if bands[a][0] == bands[b][0] and (prints[a] ^ prints[b]).bit_count() <= similar.RADIUS and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+    assert [got.get(k, k) for k in range(len(prints))] == want
+    assert len(set(want)) < len(want) - 40 * (cell > 1)
