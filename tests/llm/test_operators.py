@@ -447,3 +447,21 @@ def test_block_maxima_are_held_by_posting():
     index = decontam.Index(items, 200, 40.0, Counter(w for _, t in items for w in decontam.words_of(t)))
     assert sum(x.nbytes for x in index.block_tops()) < 24 * sum(map(len, index.items)) + 64
     assert sorted(index.matches(b" ".join(t for _, t in items))) == list(range(200))
+
+
+def test_a_text_goes_to_python_once(spark):
+    """And not with each of its contexts, however many these are."""
+    texts = spark.createDataFrame([(k, k + 100, bytearray(b"w " * 3000)) for k in range(3)], "doc_id long, row long, text binary")
+    wanted = [(k, k + 100, n, n + 5, n, b"c%d" % n, 2, k, False) for k in (0, 2) for n in range(40)]
+    wanted = spark.createDataFrame(wanted, "doc_id long, row long, first int, last int, anchor long, context binary, kinds long, last_id long, several boolean")
+    got = substrings.passages_of(texts, wanted, lambda text, first, last: [b"%d of %d" % (f, len(first)) for f in first]).collect()
+    assert sorted((x.doc_id, x.last_id, x.anchor, bytes(x.context), bytes(x.words)) for x in got) == sorted((k, k, n, b"c%d" % n, b"%d of 40" % n) for k in (0, 2) for n in range(40))
+
+
+def test_pieces_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 100)
+    sizes = [0, 0, 60, 60, 10, 500, 0, 99, 1]
+    texts = [bytes([k]) * n for k, n in enumerate(sizes)]
+    made = [p.column("text").to_pylist() for p in substrings.pieces(substrings.pa.RecordBatch.from_pydict({"text": texts}))]
+    assert [t for p in made for t in p] == texts
+    assert all(sum(map(len, p)) <= 100 + max(map(len, p)) for p in made) and len(made) > 2
