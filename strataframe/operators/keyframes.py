@@ -18,6 +18,12 @@ DELTAS = "frame int, commit_seq int, term_id string, ep int, removal boolean, pr
 CLAUSE = ("term_id", "ep", "predicate", "value")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that holds a row an entity or more, and is never broadcast: Spark would judge it by its files,
+    and a few MB of these hold millions of entities."""
+    return df.hint("merge")
+
+
 def lives(events: DataFrame) -> DataFrame:
     """(term_id, commit_seq, ep, removal) of the commits that change an entity; a row each, no clauses."""
     sign = F.when(F.col("operation") == "add", 1).otherwise(-1)
@@ -32,7 +38,7 @@ def deltas_of(events: DataFrame, every: int) -> DataFrame:
     """DELTAS: signed events; those of frame j come after frame j - 1 and up to frame j's commit."""
     sign = F.when(F.col("operation") == "add", 1).otherwise(-1)
     own = events.groupBy("term_id", "commit_seq", "predicate", "value").agg(F.sum(sign).cast("int").alias("sign")).filter("sign <> 0")
-    return own.join(lives(events), ["term_id", "commit_seq"]).select(F.ceil(F.col("commit_seq") / every).cast("int").alias("frame"), "commit_seq", "term_id", "ep", "removal", "predicate", "value", "sign")
+    return own.join(shuffled(lives(events)), ["term_id", "commit_seq"]).select(F.ceil(F.col("commit_seq") / every).cast("int").alias("frame"), "commit_seq", "term_id", "ep", "removal", "predicate", "value", "sign")
 
 
 def frames_of(deltas: DataFrame, last: int) -> DataFrame:
@@ -42,7 +48,7 @@ def frames_of(deltas: DataFrame, last: int) -> DataFrame:
     steps = deltas.filter("not removal").groupBy(*CLAUSE, "frame").agg(F.sum("sign").alias("sign"))
     w = Window.partitionBy(*CLAUSE).orderBy("frame")
     counts = steps.select(*CLAUSE, "frame", F.sum("sign").over(w).cast("int").alias("n"), F.lead("frame").over(w).alias("next")).filter("n > 0")
-    held = counts.join(spans, ["term_id", "ep"]).withColumn("end", F.least(F.coalesce("next", "until"), "until")).filter("frame < end")
+    held = counts.join(shuffled(spans), ["term_id", "ep"]).withColumn("end", F.least(F.coalesce("next", "until"), "until")).filter("frame < end")
     held = held.withColumn("frame", F.explode(F.sequence("frame", F.col("end") - 1)))
     return held.select("frame", "term_id", "ep", (F.col("died").isNull() | (F.col("died") > F.col("frame"))).alias("alive"), "predicate", "value", "n")
 
@@ -78,4 +84,4 @@ class Keyframes:
         if strict:
             latest = latest.filter("not removed")
         net = rows.filter("counts").groupBy(*CLAUSE).agg(F.sum("sign").cast("int").alias("n")).filter("n > 0")
-        return net.join(latest, ["term_id", "ep"]).select("term_id", "predicate", "value", F.explode(F.sequence(F.lit(1), "n")).alias("__n")).drop("__n").orderBy("term_id", "predicate", "value")
+        return net.join(shuffled(latest), ["term_id", "ep"]).select("term_id", "predicate", "value", F.explode(F.sequence(F.lit(1), "n")).alias("__n")).drop("__n").orderBy("term_id", "predicate", "value")

@@ -35,6 +35,17 @@ def test_a_state_reads_one_frame_and_one_stretch(spark, tmp_path):
     assert "(frame#" in plan and plan.count("PartitionFilters: [isnotnull(frame") >= 2 and "EqualTo(term_id,T:3)" in plan
 
 
+def test_no_entities_go_through_the_driver(spark, tmp_path):
+    """Of tables whose files are small, however many entities these hold."""
+    spark.range(3000).selectExpr("concat('T:', id % 1000) AS term_id", "cast(id / 1000 AS int) AS commit_seq", "'s' AS sha", "'p' AS predicate", "string(id) AS value", "'add' AS operation").write.parquet(str(tmp_path / "e"))
+    k = Keyframes.of(spark.read.parquet(str(tmp_path / "e")), 2)
+    k.write(str(tmp_path))
+    written = Keyframes.open(spark, str(tmp_path), 2)
+    for df in (k.deltas, k.frames, written.states_at(1), written.states_at(1, "T:3", strict=True)):
+        df.collect()
+        assert "Join" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_asof_against_a_loop(spark, seed):
     r = random.Random(seed)
