@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -191,3 +192,21 @@ def test_clauses_are_counted_and_kept_out_of_the_windows(spark):
     for name in ("events", "term_snapshots"):
         plan = made[name]._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in plan.split("\n") if "Window [" in x and "clauses" in x]
+
+
+def test_long_values_go_by_digests(spark, tmp_path):
+    """The same events, which are counted without their values."""
+    r = random.Random(12)
+    given = [(f"T:{r.randrange(6)}", v, r.choice("pq"), r.choice(("a", "b", "long " * 20, ""))) for v in range(6) for _ in range(r.randrange(30))]
+    state = spark.createDataFrame(given, "term_id string, commit_seq int, predicate string, value string")
+    changes.presence_of_state(state).write.parquet(f"{tmp_path}/presence")
+    presence = spark.read.parquet(f"{tmp_path}/presence")
+    versions = spark.createDataFrame([(v, 10 * v, f"s{v}") for v in range(6)], "vidx int, commit_seq int, sha string")
+    columns = ("term_id", "commit_seq", "sha", "predicate", "value", "operation")
+    plain, long = (changes.change_tables(presence, versions, "p", ("q", "a"), long_values=x)["events"] for x in (False, True))
+    assert rows(long, *columns) == rows(plain, *columns) and plain.count() > 50
+    # clauses that repeat instead of being counted
+    repeated = presence.withColumn("clauses", F.flatten(F.transform("clauses", lambda c: F.array_repeat(c.withField("n", F.lit(1)), c["n"]))))
+    assert rows(changes.change_tables(repeated, versions, "p", ("q", "a"), long_values=True)["events"], *columns) == rows(plain, *columns)
+    summed = lambda df: re.findall(r"Aggregate \[[^\]]*\bvalue#\d+\],", df._jdf.queryExecution().optimizedPlan().toString())
+    assert summed(plain) and not summed(long)

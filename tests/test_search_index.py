@@ -1,9 +1,10 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from strataframe.operators.history import History
-from strataframe.sources import artifact
+from strataframe.sources import artifact, star
 from strataframe.sources.search_index import candidates, index_events, indexed_search, literals, needed
 
 EVENTS = "term_id string, commit_seq int, sha string, predicate string, value string, operation string"
@@ -43,3 +44,19 @@ def test_searches_find_what_a_scan_finds(spark, tmp_path):
     assert 0 < len([f for f in few.inputFiles() if "/events/" in f]) <= 2 and few.count() == 40
     assert indexed_search(spark, root, "nowhere to be found").count() == 0
     assert few.agg(F.min("commit_seq")).first()[0] == 0
+
+
+def test_building_leaves_no_shuffle_files(spark, tmp_path):
+    root = f"{tmp_path}/sf0.001"
+    os.symlink("/root/testdata/sf0.001", root)
+
+    def shuffled() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    at = star.stored_prose(spark, root)
+    presence = star.prose_once(spark, root)
+    assert not shuffled() - before and not os.path.exists(f"{at}/_build")
+    assert artifact.open_history(spark, at).events.count() == presence.events.count() > 0
+    assert spark.conf.get(artifact.CLEANUP) == "false"
