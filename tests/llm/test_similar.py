@@ -114,3 +114,50 @@ def test_a_large_band_keeps_every_link(spark, chunk, cell, monkeypatch):
                 want = [low if w == high else w for w in want]
     assert [got.get(k, k) for k in range(len(prints))] == want
     assert len(set(want)) < len(want) - 40 * (cell > 1)
+
+
+def grouped(docs):
+    """The least id of each text's group, where all pairs of similarity 0.8 link."""
+    sets, group = {d: shingles(t) for d, t in docs}, {d: d for d, _ in docs}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 5 * len(x & y) >= 4 * len(x | y) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("few, sampled", [(256, 64), (3, 1)])
+def test_all_pairs_are_found_without_bands(spark, few, sampled, monkeypatch):
+    """Sizes of one shingle to a hundred, pairs on either side of 0.8 and at it, and a passage that half of the texts hold."""
+    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "SAMPLED", sampled)
+    monkeypatch.setattr(similar, "similar_links", lambda nodes, radius: spark.createDataFrame([], "a long, b long"))
+    r = random.Random(11)
+    common, texts = prose(r, 30), [None, "", "a b c", "a b c d"]
+    for k in range(60):
+        base = prose(r, r.choice((3, 5, 8, 9, 13, 40, 100))) + common * (k % 2)
+        texts += [" ".join(base), " ".join(base + ["more"]), " ".join(edited(r, base, r.choice((0.02, 0.05)))), " ".join(base[: len(base) * 4 // 5]), " ".join(base).upper()]
+    docs = list(enumerate(texts))
+    got = groups(spark, docs)
+    least = {}
+    for d in sorted(got):
+        least.setdefault(got[d], d)
+    want = grouped(docs)
+    assert {d: least[c] for d, c in got.items()} == want and 60 < len(set(want.values())) < 250
+
+
+def test_pairs_that_bands_or_fingerprints_miss(spark):
+    r, docs = random.Random(12), []
+    while len(docs) < 8:
+        base = prose(r, 120)
+        other = edited(r, base, 0.022)
+        one, two = (" ".join(x) for x in (base, other))
+        if jaccard(one, two) >= 0.8:
+            (fp, bands), (fp2, bands2) = (similar.sketch(x.encode()) for x in (one, two))
+            apart = (int.from_bytes(fp, "little") ^ int.from_bytes(fp2, "little")).bit_count()
+            if apart > similar.RADIUS or not set(bands.tolist()) & set(bands2.tolist()):
+                docs += [(len(docs), one), (len(docs) + 1, two)]
+    got = groups(spark, docs)
+    assert all(got[d] == got[d + 1] for d in range(0, 8, 2)) and len(set(got.values())) == 4
+    assert [x.doc_id for x in similar.near_dedup(spark.createDataFrame(docs, SCHEMA)).orderBy("doc_id").collect()] == [0, 2, 4, 6]
