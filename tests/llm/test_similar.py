@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from strataframe.llm import similar
@@ -161,3 +162,14 @@ def test_pairs_that_bands_or_fingerprints_miss(spark):
     got = groups(spark, docs)
     assert all(got[d] == got[d + 1] for d in range(0, 8, 2)) and len(set(got.values())) == 4
     assert [x.doc_id for x in similar.near_dedup(spark.createDataFrame(docs, SCHEMA)).orderBy("doc_id").collect()] == [0, 2, 4, 6]
+
+
+def test_parities_never_say_too_much():
+    draw = np.random.default_rng(13)
+    for n in (4, 100, 255, 256, 900, 5000):
+        one = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+        for gone, more in ((0, 0), (n // 10, n // 9), (n // 2, 0), (0, 3 * n), (n, n)):
+            two = np.unique(np.concatenate((one[gone:], draw.integers(0, 1 << 63, more, dtype=np.uint64))))
+            apart = len(np.setxor1d(one, two))
+            assert similar.bits_apart(similar.parities(one), similar.parities(two)) <= apart
+            assert gone < n or similar.bits_apart(similar.parities(two), similar.parities(one)) > apart / 9
